@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riftscan.llm import decontamination, packing, quality, sharding
+from riftscan.llm import decontamination, jaccard, packing, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": packing.op2_packing,
     "op4_sharding": sharding.op4_sharding,
     "op6_quality": quality.op6_quality,
     "op8_decontamination": decontamination.op8_decontamination,
+    "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_decontamination": decontamination.OP8_SQL}
