@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riftscan.llm import decontamination, jaccard, packing, quality, sharding
+from riftscan.llm import decontamination, jaccard, packing, quality, repeats, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": packing.op2_packing,
     "op4_sharding": sharding.op4_sharding,
     "op6_quality": quality.op6_quality,
+    "op7_repeats": repeats.op7_repeats,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
 }
