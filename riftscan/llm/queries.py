@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riftscan.llm import decontamination, jaccard, packing, quality, repeats, sharding
+from riftscan.llm import decontamination, jaccard, language, packing, quality, repeats, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": language.op1_language,
     "op2_packing": packing.op2_packing,
     "op4_sharding": sharding.op4_sharding,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality": quality.op6_quality,
     "op7_repeats": repeats.op7_repeats,
     "op8_decontamination": decontamination.op8_decontamination,
