@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riftscan.llm import decontamination, jaccard, language, packing, quality, repeats, sharding, toxicity
+from riftscan.llm import decontamination, html, jaccard, language, packing, quality, repeats, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": language.op1_language,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_repeats": repeats.op7_repeats,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
+    "op10_html": html.op10_html,
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_decontamination": decontamination.OP8_SQL}
