@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riftscan.llm import decontamination, html, jaccard, language, packing, quality, repeats, sharding, toxicity
+from riftscan.llm import decontamination, html, jaccard, language, packing, pii, quality, repeats, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": language.op1_language,
     "op2_packing": packing.op2_packing,
+    "op3_pii": pii.op3_pii,
     "op4_sharding": sharding.op4_sharding,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality": quality.op6_quality,
