@@ -1,22 +1,67 @@
-"""The corpus pipeline: stages over documents, each reading what its predecessor wrote."""
+"""The corpus pipeline: five stages over documents, each reading what its predecessor wrote.
+
+Every stage but the last returns the columns of documents, so stages can be
+run, kept and repeated one by one; the last returns the packed pieces. Null
+texts: the quality stage rejects them (no words), and every later stage has a
+defined result for them should it be given any.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from riftscan.llm.base import table
+from riftscan.llm.decontamination import decontaminate
+from riftscan.llm.jaccard import keep_one
 from riftscan.llm.packing import pack_documents
+from riftscan.llm.pii import redact
+from riftscan.llm.pii import train as train_pii
+from riftscan.llm.quality import quality_filter
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule and the learned list keep."""
+    return quality_filter(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group."""
+    return keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the benchmark doesn't contaminate."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced in the text; n_chars follows the text."""
+    redacted = redact(docs, train_pii(spark))
+    if "n_chars" in docs.columns:
+        redacted = redacted.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return redacted
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs, payload="ids_crc32")
+    """Pieces of all documents in sequences."""
+    return pack_documents(docs, payload="ids_crc32").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
 
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("packing", packing),
+]
 
-STAGES = [("packing", packing)]
+#: The learned list, the trees and the tokenizer are not SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
