@@ -6,6 +6,7 @@ inside a column expression, and walking Arrow text batches in bounded slices.
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -48,8 +49,26 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def parallelism(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of an Arrow batch that goes to a Python worker, unless the session has a lower bound.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are bounded by bytes and not by rows alone.
+
+    Rows hold whole texts, so ten thousand of them may be far more than a
+    worker should hold at once.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        now = int(re.sub(r"[^0-9]", "", conf.get(name)))
+    except Exception as e:  # a release without the setting
+        if "SQL_CONF_NOT_FOUND" not in str(e):
+            raise
+        return df
+    if not 0 < now <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
 
 
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riftscan.llm.base import table
+from riftscan.llm.base import bounded, table
 
 CAPACITY = 2048
 END_ID = 1
 GROUP_DOCS = 4096
-#: Words whose ids a worker keeps; the cache is emptied when it is full.
-CACHE_WORDS = 700_000
+#: Words whose ids a worker keeps in each of two generations.
+CACHE_WORDS = 800_000
+#: Rows (of a batch that is bounded by bytes) whose words are looked up together.
+ROWS_AT_ONCE = 1024
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -43,9 +45,10 @@ class WordEncoder:
     """Ids of whole texts as little-endian uint32 bytes.
 
     The tokenizer drops white space and never joins what a space or newline
-    parts, so texts are cut there and each word is encoded once. A word of
-    letters alone is one unit that ends with an end-of-word token; such words
-    are encoded many at a time and told apart by those tokens.
+    parts, so texts are cut there and each word is encoded once (in lower case,
+    as the tokenizer has it). A word of letters alone is one unit that ends
+    with an end-of-word token; such words are encoded many at a time and told
+    apart by those tokens.
     """
 
     def __init__(self, path: str) -> None:
@@ -55,51 +58,69 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
-        self.forget()
-
-    def forget(self) -> None:
-        self.words: dict[str, bytes] = {"": b""}
-        self.stems: dict[str, bytes] = {}
         self.marks = {m: self.alone([m])[0] for m in (".", ",")}
+        self.words: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def alone(self, words: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
 
+    def recall(self, words: set[str]) -> set[str]:
+        """Take what the older generation has; what is left is new."""
+        words = words.difference(self.words)
+        again = words.intersection(self.older)
+        self.words.update(zip(again, map(self.older.__getitem__, again)))
+        return words - again
+
     def learn(self, new: set[str]) -> None:
-        parts, odd, stems = [], [], set()
-        for w in new:
-            stem, mark = (w[:-1], w[-1]) if w[-1] in ".," else (w, "")
-            if stem.isascii():
-                stem = stem.lower()
-            if stem.isalpha():
-                parts.append((w, stem, mark))
-                if stem not in self.stems:
-                    stems.add(stem)
-            else:
-                odd.append(w)
+        plain = {w for w in new if w.isalpha()}
+        other = new - plain
+        marked = {w for w in other if w[-1] in ".," and w[:-1].isalpha()}
+        odd = list(other - marked)
         self.words.update(zip(odd, self.alone(odd)))
-        order = list(stems)
+        plain |= self.recall({w[:-1] for w in marked})
+        order = list(plain)
         for k in range(0, len(order), 2000):
             some = order[k : k + 2000]
-            ids = np.asarray(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(some):
                 data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
-                self.stems.update((w, data[i:j]) for w, i, j in zip(some, at, at[1:]))
+                self.words.update(zip(some, [data[i:j] for i, j in zip(at, at[1:])]))
             else:  # lower case made more than letters of some word
-                self.stems.update(zip(some, self.alone(some)))
-        for w, stem, mark in parts:
-            self.words[w] = self.stems[stem] + self.marks[mark] if mark else self.stems[stem]
+                self.words.update(zip(some, self.alone(some)))
+        words, marks = self.words, self.marks
+        words.update([(w, words[w[:-1]] + marks[w[-1]]) for w in marked])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*cut).difference(self.words)
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.forget()
-            new = set().union(*cut).difference(self.words)
-        self.learn(new)
+        cut = [(t.lower() if is_latin(t) else t).replace("\n", " ").split(" ") for t in texts]
+        self.learn(self.recall(set().union(*cut)))
         get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
+        out = [b"".join(map(get, words)) for words in cut]
+        if len(self.words) > CACHE_WORDS:  # words met since the last turn stay within reach, others go
+            self.older, self.words = self.words, {"": b""}
+        return out
+
+
+def is_latin(text: str) -> bool:
+    """Whether lower case letter by letter, as the tokenizer makes it, is surely that of the whole."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """One for each worker process, so that later tasks find its words."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,15 +168,13 @@ def pack_documents(
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
+        known = encoder(path)
         for batch in batches:
-            if encoder is None:
-                encoder = WordEncoder(path)
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for k in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(k, ROWS_AT_ONCE)
                 out: dict[str, list] = {c: [] for c in ("doc_id", "pack_group", "start", "length", "doc_tokens", payload)}
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                for doc_id, group, ids in zip(part.column("doc_id").to_pylist(), part.column("pack_group").to_pylist(), encoder.encode(texts)):
+                for doc_id, group, ids in zip(part.column("doc_id").to_pylist(), part.column("pack_group").to_pylist(), known.encode(texts)):
                     ids += end
                     total = len(ids) // 4
                     for start in range(0, total, capacity):
@@ -179,7 +198,7 @@ def pack_documents(
     groups = max(1, -(-docs.count() // group_docs))
     fields = f"start bigint, length bigint, doc_tokens bigint, {payload} {kind}"
     return (
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(groups)).alias("pack_group"))
+        bounded(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(groups)).alias("pack_group"))
         .mapInArrow(tokenize, f"doc_id bigint, pack_group bigint, {fields}")
         .groupBy("pack_group")
         .applyInPandas(place, f"doc_id bigint, {fields}, sequence_id bigint, offset bigint")
