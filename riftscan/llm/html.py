@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riftscan.llm.base import table
+from riftscan.llm.base import bounded, table
 
 SAMPLE = 300
 MAX_PAGE = 60_000
@@ -229,7 +229,7 @@ def extract(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
                 texts = [main_text(h, weights) for h in part.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInArrow(of, "page_id bigint, url string, text string")
+    return bounded(pages).select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInArrow(of, "page_id bigint, url string, text string")
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riftscan.llm import shingles as sh
-from riftscan.llm.base import cut, table, text_slices
+from riftscan.llm.base import bounded, cut, table, text_slices
 from riftscan.llm.components import components
 
 THRESHOLD = 0.8
@@ -207,7 +207,7 @@ def with_uid(docs: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
     """uid, copy_id (least doc_id of the equal texts), n_copies, class_id (least doc_id of all that links connect), n_links (other texts)."""
-    texts = with_uid(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).where("uid is not null")
+    texts = with_uid(bounded(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).where("uid is not null")
     keyed = texts.mapInArrow(band_keys, "doc_id bigint, uid bigint, bands array<bigint>")
     classes = cut(keyed.groupBy("uid").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n_copies"), F.first("bands").alias("bands")))
     banded = classes.select("uid", F.explode("bands").alias("band"))

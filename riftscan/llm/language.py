@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riftscan.llm.base import table, text_slices
+from riftscan.llm.base import bounded, table, text_slices
 from riftscan.llm.letters import grams, letters
 from riftscan.llm.shingles import mix
 
@@ -91,7 +91,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Filters:
         return build([], [], 0, 64)
     languages = sorted(per_lang)
     share = min(1.0, sample / sum(per_lang.values()))
-    chosen = rows.where(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1_000_000)) < int(np.ceil(share * 1_000_000)))
+    chosen = bounded(rows).where(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1_000_000)) < int(np.ceil(share * 1_000_000)))
     counts = chosen.mapInArrow(count_grams, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rates = counts.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("rate")).where(F.col("rate") >= MIN_RATE)
@@ -129,7 +129,7 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
                 score = np.where(some & (top > 0) & (unknown > 0), np.clip(top / np.maximum(total, 1), 0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, m), pa.array(names[pick], pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(predict, "doc_id bigint, lang_pred string, score double")
+    return bounded(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(predict, "doc_id bigint, lang_pred string, score double")
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,8 +24,7 @@ own, so two different strings are taken as equal with a chance of about 1 in
 
 Rows of equal texts are copies, judged alike under one uid. Runs are combined
 within each task before the shuffle, so a passage that many texts share
-becomes few rows. Text itself is shuffled only if the places to be looked up
-in it are more than ``BROADCAST_BYTES``.
+becomes few rows. Texts are shuffled only to places that are in doubt or go.
 
 Defined results: a null or short text loses nothing; repeated rows count as
 other places; an empty table gives an empty result; other columns are ignored.
@@ -41,13 +40,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riftscan.llm.base import cut, table, text_slices
+from riftscan.llm.base import bounded, cut, table, text_slices
 from riftscan.llm.shingles import INVERSE, mix, powers, running, span_hash
 
 LENGTH = 200
 GRAM = 64
 STEP = 16
-#: A side of a join is broadcast up to this size; beyond it both sides are shuffled.
+#: Names of texts are broadcast, to leave other texts where they are, up to this size.
 BROADCAST_BYTES = 48_000_000
 _U = np.uint64
 _LOW = _U(0xFFFFFF)
@@ -186,10 +185,18 @@ def with_uid(docs: DataFrame) -> DataFrame:
     return docs.withColumn("uid", F.xxhash64(F.md5(F.coalesce("text", F.lit("")))))
 
 
-def by_uid(docs: DataFrame, lists: DataFrame, how: str, each: int) -> DataFrame:
-    """Join rows with the lists of their text; ``each`` is the bytes of a list's entry."""
-    total = lists.agg(F.coalesce(F.sum(F.size("places") * each + 48), F.lit(0))).first()[0]
-    return docs.join(F.broadcast(lists) if total <= BROADCAST_BYTES else lists, "uid", how)
+def by_uid(docs: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows joined with the lists of their text, and the rows that have none.
+
+    Only rows that have a list are shuffled with their text, as long as the
+    uids alone (not the lists) are within the bound of a broadcast.
+    """
+    keys = lists.select("uid")
+    if 40 * keys.count() > BROADCAST_BYTES:
+        every = docs.join(lists, "uid", "left")
+        return every.where("places is not null"), every.where("places is null").drop("buckets", "places")
+    keys = F.broadcast(keys)
+    return docs.join(keys, "uid", "left_semi").join(lists, "uid"), docs.join(keys, "uid", "left_anti")
 
 
 def lists_of(rows: DataFrame) -> DataFrame:
@@ -202,28 +209,26 @@ def repeated_places(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ste
     """uid, places: first windows and numbers of windows (first << 10 | n) that occur elsewhere too."""
     if not 0 < gram < length or length - gram >= 1023:
         raise ValueError("gram must be shorter than length, by less than 1023")
-    texts = with_uid(docs.select("text")).where(F.octet_length("text") >= length).select("uid", "text")
+    texts = with_uid(bounded(docs).select("text")).where(F.octet_length("text") >= length).select("uid", "text")
     schema = "bucket bigint, context bigint, n bigint, uid bigint, place bigint"
     combined = texts.mapInArrow(run_rows(length, gram, True), schema)
-    contexts = combined.repartition("bucket").groupBy("bucket", "context").agg(F.sum("n").alias("n"), F.min(F.struct("uid", "place")).alias("one"))
+    contexts = combined.repartition("bucket").groupBy("bucket", "context").agg(F.sum("n").alias("n"), F.min("uid").alias("one"), F.min_by("place", "uid").alias("place"))
     among = contexts.withColumn("contexts", F.count("*").over(Window.partitionBy("bucket")))
-    live = cut(among.where("n > 1 or contexts > 1").select("bucket", "context", "n", "contexts", "one.uid", "one.place"))
+    live = cut(among.where("n > 1 or contexts > 1").select("bucket", "context", "n", "contexts", F.col("one").alias("uid"), "place"))
 
     twice = live.where("n > 1").select("bucket", "context")
-    if 40 * twice.count() <= BROADCAST_BYTES:
-        twice = F.broadcast(twice)
     settled = [texts.mapInArrow(run_rows(length, gram, False), schema).join(twice, ["bucket", "context"]).select("uid", F.expr("shiftleft(shiftright(place, 20), 10) | (place & 1023)").alias("place"))]
 
     doubt = lists_of(live.where("contexts > 1"))
     schema = "bucket bigint, context bigint, uid bigint, place bigint"
-    blocks = by_uid(texts, doubt, "inner", 24).select("uid", "text", "buckets", "places").mapInArrow(block_rows(length, step), schema)
+    blocks = by_uid(texts, doubt)[0].select("uid", "text", "buckets", "places").mapInArrow(block_rows(length, step), schema)
     blocks = cut(blocks)
     names = blocks.groupBy("bucket").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("z")).where("n > 1")
     found = cut(blocks.join(names, "bucket").select("bucket", "uid", "place", (F.col("a") == F.col("z")).alias("same")))
     settled.append(found.where("same").select("uid", "place"))
 
     doubt = lists_of(found.where("not same"))
-    windows = cut(by_uid(texts, doubt, "inner", 24).select("uid", "text", "buckets", "places").mapInArrow(window_rows(length), schema))
+    windows = cut(by_uid(texts, doubt)[0].select("uid", "text", "buckets", "places").mapInArrow(window_rows(length), schema))
     again = windows.groupBy("bucket", "context").agg(F.count("*").alias("n")).where("n > 1").select("bucket", "context")
     settled.append(windows.join(again, ["bucket", "context"]).select("uid", "place"))
 
@@ -266,8 +271,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kept
                 ids = batch.column("doc_id").slice(first, m)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(offsets)), pa.array(removed), pa.array(n_spans), pa.array(left, pa.binary() if kept == "bytes" else pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    rows = by_uid(with_uid(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")), places, "left", 8)
-    return rows.select("doc_id", "text", "places").mapInArrow(apply, f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept {'binary' if kept == 'bytes' else 'string'}")
+    some, rest = by_uid(with_uid(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")), places)
+    rows = some.select("doc_id", "text", "places").unionByName(rest.select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("places")))
+    return rows.mapInArrow(apply, f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept {'binary' if kept == 'bytes' else 'string'}")
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
