@@ -1,0 +1,160 @@
+"""Sources: JavaScript parsing, git repositories, whole analyses over both."""
+
+import os
+import subprocess
+
+import pytest
+from pyspark.sql import functions as F
+
+from riftscan.errors import ScanError
+from riftscan.operators import commits, diff, ranges, semantic
+from riftscan.sources import gitrepo, jsparse
+
+SOURCE = """import { x } from './m';
+// function no(a) {}
+function foo(a, b = 1, ...rest) { return bar(a); }
+export default function named({ p }, [q], r) {}
+export async function later(x) { await baz(x); }
+const arrow = (a, b) => a + b, single = y => go(y);
+const fn = async function inner(z) { return `t ${call(z)} t`; };
+class Cart extends Base {
+  constructor(items) { super(items); }
+  static total(tax, { a } = {}) { return this.sum(tax); }
+  get size() { return 1; }
+  prop = (n) => n;
+}
+module.exports = { run(job) { helper(job); }, key: function (k) {}, other: 1 };
+if (foo(1, 2)) { obj.method(3)
+  .chained(4); new Thing(5); }
+const re = /call(x)/g; const s = 'call(1)'; a?.maybe(1);
+function typed(a: string, b?: Map<string, number>, private c: X): void { return; }
+"""
+
+
+def test_signatures():
+    got = {s.name: s.params for s in jsparse.signatures(SOURCE)}
+    assert got == {
+        "foo": ["a", "b", "...rest"],
+        "named": ["{}", "[]", "r"],
+        "later": ["x"],
+        "arrow": ["a", "b"],
+        "single": ["y"],
+        "fn": ["z"],
+        "Cart.constructor": ["items"],
+        "Cart.total": ["tax", "default"],
+        "Cart.size": [],
+        "run": ["job"],
+        "typed": ["a", "b", "unknown"],
+    }
+    assert jsparse.signatures("﻿function a(b) {\n\n}")[0][2:] == (1, 3)
+
+
+def test_call_sites():
+    got = jsparse.call_sites(SOURCE)
+    assert sorted(n for n, _ in got) == sorted(["bar", "baz", "go", "call", "sum", "helper", "foo", "method", "chained"])
+    assert ("chained", 15) in got and ("method", 15) in got
+    assert jsparse.call_sites("foo(") == [("foo", 1)] and jsparse.call_sites("") == []
+    assert jsparse.call_sites("a.b.c(1); require('x'); f()(2)") == [("c", 1), ("require", 1), ("f", 1)]
+
+
+@pytest.mark.parametrize("broken", ["function (", "class {", "const a = (", "`${", "/* never", "'open", "}{)(", "function f(a, {"])
+def test_broken_sources(broken):
+    jsparse.signatures(broken)
+    jsparse.call_sites(broken)
+
+
+def run(path, *args):
+    subprocess.run(["git", "-C", str(path), *args], check=True, capture_output=True, env=os.environ | {"GIT_AUTHOR_NAME": "t", "GIT_AUTHOR_EMAIL": "t@x.org", "GIT_COMMITTER_NAME": "t", "GIT_COMMITTER_EMAIL": "t@x.org"})
+
+
+def commit(path, files, message):
+    for name, text in files.items():
+        p = path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(text)
+    run(path, "add", "-A")
+    run(path, "commit", "-qm", message)
+
+
+@pytest.fixture(scope="module")
+def repo(tmp_path_factory):
+    path = tmp_path_factory.mktemp("repo")
+    run(path, "init", "-q", "-b", "main")
+    body = [f"line {k}" for k in range(1, 61)]
+    commit(path, {"src/shared.js": "\n".join(body) + "\n", "src/utils.js": "export function calculateTotal(a, b) { return a + b; }\n", "src/checkout.js": "import { calculateTotal } from './utils';\nconst t = calculateTotal(1, 2);\n", "src/old.js": "x\n"}, "base")
+    run(path, "checkout", "-qb", "branch-a")
+    a = body.copy()
+    a[44] = "A changed"
+    commit(path, {"src/shared.js": "\n".join(a) + "\n", "src/utils.js": "export function calculateTotal(a, b, tax) { return a + b + tax; }\n"}, "a1")
+    run(path, "checkout", "-q", "main")
+    run(path, "checkout", "-qb", "branch-b")
+    b = body.copy()
+    b[45] = "B changed"
+    run(path, "rm", "-q", "src/old.js")
+    commit(path, {"src/shared.js": "\n".join(b) + "\n", "src/new.js": "n\n"}, "b1")
+    commit(path, {"src/new.js": "n\nm\n"}, "b2")
+    return str(path)
+
+
+def test_repository(spark, repo, tmp_path):
+    opened = gitrepo.open_repository(os.path.join(repo, "src"))
+    assert os.path.samefile(opened["root"], repo) and opened["version"][0].isdigit()
+    with pytest.raises(ScanError) as e:
+        gitrepo.open_repository(str(tmp_path / "nowhere"))
+    assert e.value.code == "INVALID_REPO_PATH"
+    with pytest.raises(ScanError) as e:
+        gitrepo.open_repository(str(tmp_path))
+    assert e.value.code == "NOT_A_GIT_REPO"
+    assert gitrepo.parse_version("git version 2.39.5 (x)") == "2.39.5" and gitrepo.parse_version(" odd ") == "odd"
+    refs = gitrepo.load(spark, repo, "refs").cache()
+    assert {r.short_name for r in refs.collect()} == {"main", "branch-a", "branch-b"}
+    assert [r.short_name for r in refs.where("is_current").collect()] == ["branch-b"]
+    assert commits.branch_exists(refs, "main") and not commits.branch_exists(refs, "nope")
+    assert commits.branches_are_identical(refs, "main", "refs/heads/main") and not commits.branches_are_identical(refs, "main", "branch-a")
+    with pytest.raises(ScanError) as e:
+        commits.resolve_ref(refs, "nope")
+    assert e.value.code == "BRANCH_NOT_FOUND"
+    edges = gitrepo.load(spark, repo, "edges")
+    sha = {r.short_name: r.sha for r in refs.collect()}
+    ahead = commits.commits_ahead(edges, sha["branch-a"], sha["branch-b"]).first()
+    assert (ahead.ahead_a, ahead.ahead_b, ahead.diverged) == (1, 2, True)
+    assert [r.node for r in commits.merge_bases(edges, sha["branch-a"], sha["branch-b"]).collect()] == [sha["main"]] == [gitrepo.merge_base(repo, "branch-a", "branch-b")]
+    assert gitrepo.load(spark, repo, "commits", ref="branch-b").count() == 3
+    assert gitrepo.load(spark, repo, "status").first().is_clean
+    with pytest.raises(Exception, match="no table"):
+        gitrepo.load(spark, repo, "nonsense").collect()
+
+
+def test_analysis_of_a_repository(spark, repo):
+    base = gitrepo.merge_base(repo, "branch-a", "branch-b")
+    side = {}
+    for b in ("branch-a", "branch-b"):
+        raw = gitrepo.load(spark, repo, "diff", base=base, ref=b)
+        status = diff.name_status(gitrepo.load(spark, repo, "name_status", base=base, ref=b)).drop("diff_id", "seq")
+        found = diff.changed_ranges(raw).drop("diff_id", "seq").where("start_line is not null")
+        side[b] = (status, found)
+    (sa, ra), (sb, rb) = side["branch-a"], side["branch-b"]
+    assert {(r.path, r.status) for r in sb.collect()} == {("src/old.js", "deleted"), ("src/shared.js", "modified"), ("src/new.js", "added")}
+    files = ranges.merge_branch_files(ranges.branch_files(sa, ra), ranges.branch_files(sb, rb), ra, rb)
+    hit = diff.conflicting_paths(gitrepo.load(spark, repo, "merge_tree", base="branch-a", ref="branch-b"))
+    named = lambda r: r.withColumnRenamed("path", "file")
+    got = {r.file: r for r in ranges.conflict_candidates(files, named(ra), named(rb), hit).collect()}
+    assert got["src/shared.js"].overlap_level == "HIGH" and got["src/shared.js"].has_conflict
+    assert got["src/old.js"].confidence == 0.7 and "src/new.js" not in got
+    jsparse.register(spark)
+    rows = None
+    for ref, name in ((base, "base"), ("branch-a", "A"), ("branch-b", "B")):
+        f = gitrepo.load(spark, repo, "files", ref=ref).select(F.lit(name).alias("ref"), F.col("path").alias("file"), "source")
+        rows = f if rows is None else rows.unionByName(f)
+    rows = rows.cache()
+    sigs = spark.sql("SELECT s.ref, s.file, f.name, f.params, f.seq FROM {r} s, LATERAL js_signatures(s.source) f", r=rows)
+    calls = spark.sql("SELECT s.ref, s.file AS caller_file, f.* FROM {r} s, LATERAL js_call_sites(s.source) f WHERE s.ref <> 'base'", r=rows)
+    found = semantic.semantic_conflicts(semantic.signature_changes(sigs), calls).collect()
+    assert {(r.scope, r.name, len(r.sites)) for r in found} == {("cross-branch", "calculateTotal", 1), ("intra-branch", "calculateTotal", 1)}
+    assert all(s.caller_file == "src/checkout.js" for r in found for s in r.sites)
+
+
+def test_diff_files(spark, tmp_path):
+    (tmp_path / "a.diff").write_text("diff --git a/x b/x\n+++ b/x\n@@ -1 +1 @@\n+y\n")
+    got = diff.added_lines(gitrepo.read_diff_texts(spark, str(tmp_path / "a.diff"))).first()
+    assert (got.file, got.line, got.content) == ("x", 1, "y")
