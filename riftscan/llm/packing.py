@@ -29,7 +29,9 @@ CAPACITY = 2048
 END_ID = 1
 GROUP_DOCS = 4096
 #: Words whose ids a worker keeps in each of two generations.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
+#: Marks that end a word without becoming one with it (an apostrophe could).
+MARKS = "!#$%&*+,-./:;=?@_|~)]}\""
 #: Rows (of a batch that is bounded by bytes) whose words are looked up together.
 ROWS_AT_ONCE = 1024
 TOKENIZER = "word_bpe_49k.json"
@@ -58,7 +60,7 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
-        self.marks = {m: self.alone([m])[0] for m in (".", ",")}
+        self.marks: dict[str, bytes] = {"": b""}
         self.words: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
@@ -74,11 +76,13 @@ class WordEncoder:
 
     def learn(self, new: set[str]) -> None:
         plain = {w for w in new if w.isalpha()}
-        other = new - plain
-        marked = {w for w in other if w[-1] in ".," and w[:-1].isalpha()}
-        odd = list(other - marked)
+        stems = [(w, w.rstrip(MARKS)) for w in new - plain]
+        marked = [(w, s, w[len(s) :]) for w, s in stems if s.isalpha() and s != w]
+        odd = [w for w, s in stems if not s.isalpha() or s == w]
         self.words.update(zip(odd, self.alone(odd)))
-        plain |= self.recall({w[:-1] for w in marked})
+        plain |= self.recall({s for _, s, _ in marked})
+        marks = list({m for _, _, m in marked}.difference(self.marks))
+        self.marks.update(zip(marks, self.alone(marks)))
         order = list(plain)
         for k in range(0, len(order), 2000):
             some = order[k : k + 2000]
@@ -89,8 +93,7 @@ class WordEncoder:
                 self.words.update(zip(some, [data[i:j] for i, j in zip(at, at[1:])]))
             else:  # lower case made more than letters of some word
                 self.words.update(zip(some, self.alone(some)))
-        words, marks = self.words, self.marks
-        words.update([(w, words[w[:-1]] + marks[w[-1]]) for w in marked])
+        self.words.update([(w, self.words[s] + self.marks[m]) for w, s, m in marked])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [(t.lower() if is_latin(t) else t).replace("\n", " ").split(" ") for t in texts]
@@ -98,7 +101,7 @@ class WordEncoder:
         get = self.words.__getitem__
         out = [b"".join(map(get, words)) for words in cut]
         if len(self.words) > CACHE_WORDS:  # words met since the last turn stay within reach, others go
-            self.older, self.words = self.words, {"": b""}
+            self.older, self.words, self.marks = self.words, {"": b""}, {"": b""}
         return out
 
 
