@@ -7,7 +7,6 @@ inside a column expression, and walking Arrow text batches in bounded slices.
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riftscan.functions.lineage import cut  # noqa: F401  (operators take it from here)
+
 #: Code points of white space in the contracts' word patterns.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -23,23 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
-
-    The folder is the one that the session names in spark.checkpoint.dir. Only
-    a local session without that setting gets a folder of its own.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="riftscan-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once for each row.
 
@@ -49,6 +33,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """The given columns, and the whole row beside them as ``row``: no name of an operator's own can clash with the input's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *columns)
+
+
+def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of a packed row, some of them replaced."""
+    return df.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in columns])
+
+
 #: Bytes of an Arrow batch that goes to a Python worker, unless the session has a lower bound.
 BATCH_BYTES = 8 << 20
 

@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riftscan.llm.base import let, table
+from riftscan.llm.base import let, packed, table, unpacked
 
 WINDOW = 13
 #: Words of a window that its look-up key covers.
@@ -129,18 +129,19 @@ def is_contaminated(share: int = SHARE) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", window: int = WINDOW, share: int = SHARE) -> DataFrame:
     """``docs`` without contaminated documents, or ("spans") with the hit words cut out of each text."""
-    found = scan(docs, benchmark, window)
+    found = scan(packed(docs, "doc_id", "text"), benchmark, window)
+    text = F.col("text")
     if remove == "documents":
-        kept = found.where(~is_contaminated(share))
+        found = found.where(~is_contaminated(share))
     elif remove == "spans":
         word = r"[0-9A-Za-z\x80-\x{10FFFF}]+"
         pieces = F.regexp_extract_all("text", F.lit(rf"[^0-9A-Za-z\x80-\x{{10FFFF}}]*{word}"), F.lit(0))
         left = F.filter(pieces, lambda x, i: ~F.exists("hit_spans", lambda s: (i >= s["at"]) & (i < s["at"] + s["size"])))
         tail = F.regexp_extract("text", r"[^0-9A-Za-z\x80-\x{10FFFF}]*\z", 0)
-        kept = found.withColumn("text", F.when(F.col("n_hit") > 0, F.concat(F.array_join(left, ""), tail)).otherwise(F.col("text")))
+        text = F.when(F.col("n_hit") > 0, F.concat(F.array_join(left, ""), tail)).otherwise(text)
     else:
         raise ValueError(remove)
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unpacked(found, docs.columns, text=text)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

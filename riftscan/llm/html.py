@@ -53,7 +53,7 @@ BLOCKS = set(
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HOME = {"article", "main", "body"}
 #: Weights before training.
-WORD, BLOCK_TAG, INLINE_TAG, LIST_TAG = 1.0, -1.0, -0.3, -2.0
+WORD, BLOCK_TAG, INLINE_TAG, LIST_TAG = 1.0, -0.3, -0.1, -1.0
 
 
 class Part(NamedTuple):
@@ -125,7 +125,7 @@ def start_weights() -> dict[str, float]:
     for name in ("li", "ul", "ol", "a", "option", "td", "tr"):
         weights[name] = weights["/" + name] = LIST_TAG
     for name in NOT_ARTICLE | {"head", "title"}:
-        weights[name] = weights["/" + name] = 5 * LIST_TAG
+        weights[name] = weights["/" + name] = 8 * LIST_TAG
     return weights
 
 

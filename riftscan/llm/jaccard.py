@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riftscan.llm import shingles as sh
-from riftscan.llm.base import bounded, cut, table, text_slices
+from riftscan.llm.base import bounded, cut, packed, table, text_slices, unpacked
 from riftscan.llm.components import components
 
 THRESHOLD = 0.8
@@ -240,10 +240,11 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class: the one with the least doc_id. Rows with a null text stay."""
     found = link(docs, threshold).where("copy_id <=> class_id").select("uid", "class_id")
-    rows = with_uid(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")).drop("text")
+    rows = with_uid(packed(docs, "doc_id", "text")).drop("text")
     kept = rows.where("uid is not null").join(found, "uid").where(F.col("doc_id").eqNullSafe(F.col("class_id")))
     nth = F.row_number().over(Window.partitionBy("uid").orderBy("doc_id"))  # only repeated rows are left to part
-    return kept.withColumn("nth", nth).where("nth = 1").select("row.*").unionByName(rows.where("uid is null").select("row.*"))
+    one = kept.withColumn("nth", nth).where("nth = 1")
+    return unpacked(one, docs.columns).unionByName(unpacked(rows.where("uid is null"), docs.columns))
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

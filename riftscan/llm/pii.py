@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riftscan.llm.base import let, table
+from riftscan.llm.base import let, packed, table, unpacked
 
 LOCAL = r"A-Za-z0-9._%+-"
 EMAIL = rf"(?:(?<![{LOCAL}])|\G)[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -343,9 +343,9 @@ def redact(docs: DataFrame, model: Model) -> DataFrame:
     def rest(acc: Column) -> Column:
         return F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
 
-    found = find(docs, model)
+    found = find(packed(docs, "text"), model)
     clean = F.when(F.size("pii_spans") == 0, text).otherwise(F.aggregate("pii_spans", zero, step, rest))
-    return found.select(*[(clean.alias("text") if c == "text" else F.col(f"`{c}`")) for c in docs.columns])
+    return unpacked(found, docs.columns, text=clean)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

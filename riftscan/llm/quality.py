@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riftscan.llm.base import BLANKS, let, table
+from riftscan.llm.base import BLANKS, let, packed, table, unpacked
 
 BLANK = r"[\x20\x09-\x0D]+"
 WINDOW = 8
@@ -226,9 +226,8 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def quality_filter(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The documents that the base rule and the learned list keep, with their columns."""
-    columns = docs.columns
-    judged = judge(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "text"), learn(docs, labels, sample))
-    return judged.where("kept").select("row.*")
+    judged = judge(packed(docs, "text"), learn(docs, labels, sample))
+    return unpacked(judged.where("kept"), docs.columns)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
