@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riftscan.functions.text import shannon_entropy, trim_all, truncate
+from riftscan.operators.rules import exploded, finding_fields
 
 #: name, pattern (group 1 is shown, group 2 is masked), confidence, level.
 PROVIDERS = (
@@ -41,44 +42,37 @@ def masked(content: Column) -> Column:
         out = F.regexp_replace(out, pattern, "$1" + MASK + after)
     out = F.regexp_replace(out, ENV_FILE, "$1" + MASK)
     out = F.regexp_replace(out, r"(\b(?:sk|pk|rk)-)[A-Za-z0-9_-]{8,}", "$1" + MASK)
-    out = F.regexp_replace(out, GENERIC[:-5] if GENERIC.endswith("[\"']") else GENERIC, "$1" + MASK)
+    out = F.regexp_replace(out, GENERIC.removesuffix("[\"']"), "$1" + MASK)
     return F.regexp_replace(out, r"([\"'])[A-Za-z0-9+/=_-]{20,}", "$1" + MASK)
 
 
-def scan_secrets(lines: DataFrame) -> DataFrame:
-    """file, line and the finding's fields; of generic and loose matches only the stronger one is kept."""
-    content, file = F.col("content"), F.col("file")
-    preview = truncate(trim_all(masked(content)))
-    benign = content.rlike(PLACEHOLDER) | content.rlike(ENVIRONMENT)
-    value = lambda p: F.regexp_extract(content, p, 2)
-    provider = F.lit(False)
-    found = []
+#: What the line may hold for any rule to match: everything else is left out by one look.
+ANY = r"AKIA|(?i:secret|token|passw|key|auth|credential)|PRIVATE KEY|gh[pousr]_|://|xox|eyJ|[\"'][A-Za-z0-9+/=_-]{20}"
+HARDCODED = "hardcoded_secret"
+RULES = [(HARDCODED, "the line holds a value in this provider's format", name, confidence, level) for name, _, confidence, level in PROVIDERS] + [
+    (HARDCODED, "an environment file assigns a secret", ".env Secret", "high", "critical"),
+    (HARDCODED, "a name for a secret is assigned a random-looking value", "Generic API Key or Token", "medium", "high"),
+    (HARDCODED, "a quoted value looks random", "High-Entropy String", "low", "medium"),
+]
+
 
-    def finding(held: Column, name: str, confidence: str, level: str, reasoning: str) -> None:
-        fields = {
-            "source": F.lit("secret_scanner"),
-            "category": F.lit("hardcoded_secret"),
-            "snippet": preview,
-            "redacted_preview": preview,
-            "reasoning": F.lit(reasoning),
-            "rule_name": F.lit(name),
-            "confidence": F.lit(confidence),
-            "suggested_level": F.lit(level),
-            "rule_pos": F.lit(len(found)),
-        }
-        found.append(F.when(held, F.struct(*[v.alias(k) for k, v in fields.items()])))
+def scan_secrets(lines: DataFrame) -> DataFrame:
+    """file, line and the finding's fields; of generic and loose matches only the stronger one is kept.
 
-    for name, pattern, confidence, level in PROVIDERS:
-        held = content.rlike(pattern)
-        if name == "Database Connection String":
-            held = held & ~content.rlike(ENVIRONMENT)
-        finding(held, name, confidence, level, "the line holds a value in this provider's format")
-        provider = provider | held
-    in_env = file.rlike(r"(?:\A|/)\.env[^/]*\z") & content.rlike(ENV_FILE) & ~benign & ~provider
-    finding(in_env, ".env Secret", "high", "critical", "an environment file assigns a secret")
-    generic = content.rlike(GENERIC) & ~benign & ~provider & ~in_env & (shannon_entropy(value(GENERIC)) >= GENERIC_ENTROPY)
-    finding(generic, "Generic API Key or Token", "medium", "high", "a name for a secret is assigned a random-looking value")
-    loose = content.rlike(LOOSE) & ~benign & ~provider & ~in_env & ~generic & (shannon_entropy(value(LOOSE)) > LOOSE_ENTROPY)
-    finding(loose, "High-Entropy String", "low", "medium", "a quoted value looks random")
-    rows = lines.where(content.isNotNull())
-    return rows.select("file", "line", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("f")).select("file", "line", "f.*")
+    Conditions are made in stages, so that each pattern runs once for a line;
+    the masked line is made for lines with a finding only.
+    """
+    content, n = F.col("content"), len(PROVIDERS)
+    env = content.rlike(ENVIRONMENT)
+    held = [content.rlike(p) & (~env if name.startswith("Database") else F.lit(True)) for name, p, _, _ in PROVIDERS]
+    may = lines.where(content.isNotNull() & content.rlike(ANY))
+    flags = may.select("file", "line", "content", *[h.alias(f"p{k}") for k, h in enumerate(held)], (content.rlike(PLACEHOLDER) | env).alias("benign"), F.regexp_extract("content", GENERIC, 2).alias("generic"), F.regexp_extract("content", LOOSE, 2).alias("loose"))
+    provider = F.greatest(*[F.col(f"p{k}") for k in range(n)])
+    in_env = F.col("file").rlike(r"(?:\A|/)\.env[^/]*\z") & content.rlike(ENV_FILE)
+    other = flags.withColumn("open", ~provider & ~F.col("benign"))
+    other = other.withColumn("in_env", F.col("open") & in_env)
+    other = other.withColumn("is_generic", F.col("open") & ~F.col("in_env") & (F.col("generic") != "") & (shannon_entropy(F.col("generic")) >= GENERIC_ENTROPY))
+    is_loose = F.col("open") & ~F.col("in_env") & ~F.col("is_generic") & (F.col("loose") != "") & (shannon_entropy(F.col("loose")) > LOOSE_ENTROPY)
+    numbers = F.array(*[F.when(F.col(f"p{k}"), F.lit(k)) for k in range(n)], F.when(F.col("in_env"), F.lit(n)), F.when(F.col("is_generic"), F.lit(n + 1)), F.when(is_loose, F.lit(n + 2)))
+    found = exploded(other.select("file", "line", "content", numbers.alias("numbers")))
+    return found.select("file", "line", "rule_pos", truncate(trim_all(masked(content))).alias("snippet")).select("file", "line", *finding_fields("secret_scanner", RULES))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from riftscan.errors import ScanError
+from riftscan.functions.workers import importable
 
 SCHEMAS = {
     "refs": "name string, short_name string, sha string, is_remote boolean, is_current boolean, upstream string",
@@ -166,6 +167,7 @@ class GitSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    importable(spark)
     spark.dataSource.register(GitSource)
 
 

@@ -17,6 +17,8 @@ from typing import NamedTuple
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
+from riftscan.functions.workers import importable
+
 
 class Token(NamedTuple):
     kind: str  # id, num, str, re, op
@@ -389,5 +391,6 @@ class JsCallSites:
 
 def register(spark: SparkSession) -> None:
     """Make both functions known to SQL as js_signatures and js_call_sites."""
+    importable(spark)
     spark.udtf.register("js_signatures", JsSignatures)
     spark.udtf.register("js_call_sites", JsCallSites)
