@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riftscan.functions.lineage import cut  # noqa: F401  (operators take it from here)
+from riftscan.functions.workers import importable
 
 #: Code points of white space in the contracts' word patterns.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -48,11 +49,12 @@ BATCH_BYTES = 8 << 20
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """``df``, in a session whose Arrow batches are bounded by bytes and not by rows alone.
+    """``df``, in a session whose workers know this package and whose Arrow batches are bounded by bytes.
 
     Rows hold whole texts, so ten thousand of them may be far more than a
     worker should hold at once.
     """
+    importable(df.sparkSession)
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     try:
         now = int(re.sub(r"[^0-9]", "", conf.get(name)))

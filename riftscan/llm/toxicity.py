@@ -33,11 +33,12 @@ from riftscan.llm.letters import letters, word_features
 
 SAMPLE = 12_000
 FEATURES = 4_096
-MIN_TEXTS = 4
-MIN_G2 = 15.0
+MIN_TEXTS = 3
+MIN_G2 = 13.0
 SWAPS = 6
 SWAP_PENALTY = 10.0
-RIDGE = 1e-3
+#: Inverse variance of a weight before any text is seen: what few texts say counts for less.
+RIDGE = 0.2
 ROUNDS = 600
 #: Words that name groups of people, in the languages at hand.
 IDENTITY_TERMS = (
@@ -120,7 +121,7 @@ def fit(held: list[list[int]], toxic: np.ndarray, n_features: int, identity: lis
     for step in range(1, ROUNDS + 1):
         z = b + np.bincount(row, weights=w[col], minlength=n)
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic) / n
-        grad = np.bincount(col, weights=error[row], minlength=n_features) + RIDGE * w / n_features
+        grad = np.bincount(col, weights=error[row], minlength=n_features) + RIDGE * w / n
         if n_swaps:
             change = np.bincount(d_row, weights=d_val * w[d_col], minlength=n_swaps)
             grad += 2 * SWAP_PENALTY / n_swaps * np.bincount(d_col, weights=d_val * change[d_row], minlength=n_features)
