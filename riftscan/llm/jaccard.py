@@ -253,3 +253,28 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(link(docs), "uid", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
+
+
+OP9_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT text, min(doc_id) AS copy_id, count(*) AS n_copies FROM documents WHERE text IS NOT NULL GROUP BY text
+), words AS (
+  SELECT copy_id, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM t
+), s AS (
+  SELECT DISTINCT copy_id, array_to_string(w[i:i + 4], ' ') AS shingle FROM (SELECT copy_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0)
+), n AS (
+  SELECT copy_id, count(*) AS n FROM s GROUP BY copy_id
+), shared AS (
+  SELECT a.copy_id AS a, b.copy_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.copy_id < b.copy_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM shared JOIN n x ON x.copy_id = a JOIN n y ON y.copy_id = b WHERE 10 * c >= 8 * (x.n + y.n - c)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT copy_id AS x, copy_id AS y FROM t UNION SELECT reach.x, edges.b FROM reach JOIN edges ON edges.a = reach.y
+), class AS (
+  SELECT x, min(y) AS class_id FROM reach GROUP BY x
+)
+SELECT d.doc_id AS doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(t.copy_id, d.doc_id) AS copy_id, coalesce(n_copies, 1) AS n_copies, (SELECT count(*) FROM edges WHERE edges.a = t.copy_id) AS n_links
+FROM documents d LEFT JOIN t ON t.text = d.text LEFT JOIN class ON class.x = t.copy_id
+"""

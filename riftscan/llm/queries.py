@@ -21,4 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html": html.op10_html,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_decontamination": decontamination.OP8_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op8_decontamination": decontamination.OP8_SQL,
+    "op9_ngram_jaccard": jaccard.OP9_SQL,
+}

@@ -454,13 +454,17 @@ def test_op8(spark, sf):
     rows = check_scan(docs.select("doc_id", "text"), bench)
     assert any(r.n_hit for r in rows)
     check_scan(docs.select("doc_id", "text"), bench, max_windows=300)  # several passes
+    check_sql(spark, sf, "op8_decontamination")
+
+
+def check_sql(spark, sf, name):
     import duckdb
 
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
-    got = queries.QUERIES["op8_decontamination"](spark, sf)
-    want = con.sql(queries.ORACLE_SQL["op8_decontamination"])
+    got = queries.QUERIES[name](spark, sf)
+    want = con.sql(queries.ORACLE_SQL[name])
     order = sorted(got.columns)
     assert sorted(tuple(r[c] for c in order) for r in got.collect()) == sorted(want.select(*order).fetchall())
 
@@ -517,6 +521,7 @@ def test_op9(spark, sf):
     want = links_of(list(texts.items()))
     for r in queries.QUERIES["op9_ngram_jaccard"](spark, big).collect():
         assert (r.class_id, r.n_links) == want[texts[r.doc_id]]
+    check_sql(spark, big, "op9_ngram_jaccard")
 
 
 def test_op9_groups(spark):
