@@ -1,9 +1,8 @@
 """Changed files of two branches, overlap of their line ranges, and conflict candidates.
 
 Ranges stay exploded: file, branch or side, start_line, line_count, end_line,
-change_type. The interval join is an equi-join on the file with the distance
-as its residual condition, so it is a shuffled join that adaptive execution
-can split where one file has very many ranges.
+change_type. The interval join is an equi-join on the file and a block of
+lines with the distance as its residual condition.
 """
 
 from __future__ import annotations
@@ -14,6 +13,8 @@ from pyspark.sql import functions as F
 from riftscan.functions.levels import OVERLAP, named, ordinal, pick
 
 NEAR = 5
+#: Lines of a block in which ranges are joined.
+BLOCK = 64
 
 
 def branch_files(status: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -53,17 +54,26 @@ def last_line(prefix: str) -> Column:
 
 
 def overlaps(ranges_a: DataFrame, ranges_b: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFrame:
-    """Pairs of ranges of one file that overlap or lie within five lines: keys, both ranges, level, shared lines."""
+    """Pairs of ranges of one file that overlap or lie within five lines: keys, both ranges, level, shared lines.
+
+    Ranges are joined by file and block of lines, so that a file with very
+    many ranges is spread over its blocks and far ranges are never compared.
+    A pair that shares several blocks counts in the first.
+    """
     columns = ("start_line", "line_count", "end_line", "change_type")
     a = ranges_a.select(*keys, *[F.col(c).alias(f"a_{c}") for c in columns])
     b = ranges_b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in columns])
-    a, b = a.withColumn("a_last", last_line("a")), b.withColumn("b_last", last_line("b"))
+    block = lambda line: F.floor(line / BLOCK).cast("int")
+    a = a.withColumn("a_last", last_line("a")).withColumn("a_block", block(F.col("a_start_line") - NEAR))
+    b = b.withColumn("b_last", last_line("b")).withColumn("b_block", block(F.col("b_start_line")))
+    a = a.withColumn("block", F.explode(F.sequence("a_block", F.greatest("a_block", block(F.col("a_last") + NEAR)))))
+    b = b.withColumn("block", F.explode(F.sequence("b_block", F.greatest("b_block", block(F.col("b_last"))))))
     near = (F.col("a_start_line") <= F.col("b_last") + NEAR) & (F.col("b_start_line") <= F.col("a_last") + NEAR)
-    same = None
+    same = near & (a["block"] == b["block"]) & (a["block"] == F.greatest("a_block", "b_block"))
     for k in keys:
-        same = a[k] == b[k] if same is None else same & (a[k] == b[k])
+        same = same & (a[k] == b[k])
     level, lines = pair_level(F.col("a_start_line"), F.col("a_last"), F.col("b_start_line"), F.col("b_last"))
-    joined = a.join(b, same & near).select(*[a[k] for k in keys], *[f"a_{c}" for c in columns], *[f"b_{c}" for c in columns], level.alias("level"), lines.alias("shared_lines"))
+    joined = a.join(b, same).select(*[a[k] for k in keys], *[f"a_{c}" for c in columns], *[f"b_{c}" for c in columns], level.alias("level"), lines.alias("shared_lines"))
     return joined.where("level <> 'SAFE'")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from riftscan.functions import text
 from riftscan.functions.levels import health_color, overlap_label
 from riftscan.operators import commits, diff, findings, ranges, report, rules, score, secrets, semantic
+from riftscan.plans import analysis
 from riftscan.plans.fixtures import view, with_views
 from riftscan.sources import jsparse
 from riftscan.streaming import events as ev
@@ -155,9 +156,7 @@ def entropy(s: SparkSession, d: str) -> DataFrame:
 
 
 def risks_of(s: SparkSession, d: str) -> DataFrame:
-    lines = view(s, d, "code_lines")
-    shown = text.truncate(text.trim_all(secrets.masked(F.col("content"))))
-    return findings.merge_findings(findings.all_findings(secrets.scan_secrets(lines), rules.scan_injections(lines, snippet=shown)))
+    return analysis.security_risks(view(s, d, "code_lines"))
 
 
 LEVELS_SQL = "CASE WHEN category = 'hardcoded_secret' THEN CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END WHEN category IN ('sql_injection', 'command_injection', 'unsafe_eval') THEN CASE WHEN confidence IN ('high', 'medium') THEN 2 ELSE 1 END ELSE CASE WHEN confidence = 'high' THEN 2 ELSE 1 END END"
@@ -179,7 +178,7 @@ risks AS (SELECT file, line, arg_min(category, scanner * 100 + pos) AS category,
 
 @query(with_views(RISKS_SQL + " SELECT 'security_risk' AS type, category, file, line, risk_level, rule_matched, confidence FROM risks", "code_lines"))
 def security_risks(s: SparkSession, d: str) -> DataFrame:
-    return findings.ranked(risks_of(s, d)).select("type", "category", "file", "line", "risk_level", "rule_matched", "confidence")
+    return risks_of(s, d).select("type", "category", "file", "line", "risk_level", "rule_matched", "confidence")
 
 
 def sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
