@@ -42,16 +42,19 @@ NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+
 RAW = {"script", "style", "textarea", "noscript", "template", "iframe", "svg", "title", "head", "select", "button"}
 NOT_ARTICLE = {"nav", "footer", "aside", "form", "dialog", "menu"}
 NAMES = set(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login "
-    "comment comments commentlist disqus respond reply replies share sharing social sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead related recommended recommendations "
-    "widget search pagination pager toolbar navbox complementary contentinfo".split()
+    "ad ads adsense advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay disclaimer "
+    "newsletter subscribe subscription signup login comment comments commentlist disqus respond reply replies discussion share sharing social sidebar sidenav menu nav subnav navbar navigation topbar "
+    "breadcrumb breadcrumbs footer masthead related recommended recommendations widget widgets search pagination pager toolbar navbox complementary contentinfo".split()
 )
+#: A name that begins so says what an element has, not what it is.
+HAS = {"has", "with", "without", "no", "is", "not"}
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup "
     "option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HOME = {"article", "main", "body"}
+#: Elements that hold the whole page: their names never leave it out.
+WHOLE = {"html", "body"}
 #: Weights before training.
 WORD, BLOCK_TAG, INLINE_TAG, LIST_TAG = 1.0, -0.3, -0.1, -1.0
 
@@ -102,22 +105,33 @@ def parts_of(page: str) -> list[Part]:
             home -= name in ("article", "main") and home > 0
             out.append(Part("/" + name, "", 0, bool(masks)))
             continue
-        named = {w for g in NAMED.findall(attrs) for w in re.split(r"[^a-z0-9]+", "".join(g).lower())} if attrs else set()
+        named = names_of(attrs) if attrs else set()
         other = bool(named & NAMES) or name in NOT_ARTICLE or (not home and (name == "header" or "header" in named))
         if name in ("article", "main") and not other:
             masks.clear()  # an article is not part of what was left open before it
             home += 1
-        out.append(Part(name, "", 0, bool(masks) or other))
+        out.append(Part(name, "", 0, bool(masks) or (other and name not in WHOLE)))
         if name in VOID or attrs.endswith("/"):
             continue
         if masks and masks[-1][0] == name:
             masks[-1] = name, masks[-1][1] + 1
-        elif other and name not in HOME - {"article", "main"}:
+        elif other and name not in WHOLE:
             masks.append((name, 0))
     text(page[at:])
     return out
 
 
+def names_of(attrs: str) -> set[str]:
+    """The words of an element's class, id and role."""
+    out = set()
+    for groups in NAMED.findall(attrs):
+        for name in "".join(groups).split():
+            words = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+            if words[0] not in HAS:
+                out.update(words)
+    return out
+
+
 def start_weights() -> dict[str, float]:
     weights = {"text": WORD}
     for name in BLOCKS:

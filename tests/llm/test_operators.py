@@ -609,6 +609,12 @@ def test_main_text(spark, sf, open_, close):
     assert html.main_text(PAGE.replace("{open}", open_).replace("{close}", close), weights) == MAIN
 
 
+@pytest.mark.parametrize("wrap", ['<html class="nav js">', '<body class="single comments-open has-sidebar">', '<div class="with-sidebar">'])
+def test_names_of_wholes(wrap):
+    page = wrap + '<div id="siteMenu">Home About</div><p>The words of the page that are to stay here.</p><div class="cookieNotice">We set cookies</div>'
+    assert html.main_text(page, html.start_weights()) == "The words of the page that are to stay here."
+
+
 def test_op10(spark, sf):
     import html as entities
 
