@@ -44,8 +44,10 @@ NOT_ARTICLE = {"nav", "footer", "aside", "form", "dialog", "menu"}
 NAMES = set(
     "ad ads adsense advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay disclaimer "
     "newsletter subscribe subscription signup login comment comments commentlist disqus respond reply replies discussion share sharing social sidebar sidenav menu nav subnav navbar navigation topbar "
-    "breadcrumb breadcrumbs footer masthead related recommended recommendations widget widgets search pagination pager toolbar navbox complementary contentinfo".split()
+    "breadcrumb breadcrumbs footer copyright colophon masthead related recommended recommendations widget widgets search pagination pager toolbar navbox complementary contentinfo".split()
 )
+#: A header with one of these names is the article's own.
+OWN = {"entry", "post", "article", "story", "content", "section"}
 #: A name that begins so says what an element has, not what it is.
 HAS = {"has", "with", "without", "no", "is", "not"}
 BLOCKS = set(
@@ -56,7 +58,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 #: Elements that hold the whole page: their names never leave it out.
 WHOLE = {"html", "body"}
 #: Weights before training.
-WORD, BLOCK_TAG, INLINE_TAG, LIST_TAG = 1.0, -0.3, -0.1, -1.0
+WORD, BLOCK_TAG, INLINE_TAG, LINK_TAG, WHOLE_TAG = 1.0, -0.1, -0.05, -1.0, -30.0
 
 
 class Part(NamedTuple):
@@ -93,6 +95,7 @@ def parts_of(page: str) -> list[Part]:
             at = end.end() if end else len(page)
             continue
         if closing:
+            left_out = bool(masks)
             if masks and masks[-1][0] == name:
                 if masks[-1][1]:
                     masks[-1] = name, masks[-1][1] - 1
@@ -103,10 +106,10 @@ def parts_of(page: str) -> list[Part]:
                     masks.pop()
                 masks.pop()
             home -= name in ("article", "main") and home > 0
-            out.append(Part("/" + name, "", 0, bool(masks)))
+            out.append(Part("/" + name, "", 0, left_out))
             continue
         named = names_of(attrs) if attrs else set()
-        other = bool(named & NAMES) or name in NOT_ARTICLE or (not home and (name == "header" or "header" in named))
+        other = bool(named & NAMES) or name in NOT_ARTICLE or (not home and (name == "header" or ("header" in named and not named & OWN)))
         if name in ("article", "main") and not other:
             masks.clear()  # an article is not part of what was left open before it
             home += 1
@@ -136,10 +139,9 @@ def start_weights() -> dict[str, float]:
     weights = {"text": WORD}
     for name in BLOCKS:
         weights[name] = weights["/" + name] = BLOCK_TAG
-    for name in ("li", "ul", "ol", "a", "option", "td", "tr"):
-        weights[name] = weights["/" + name] = LIST_TAG
-    for name in NOT_ARTICLE | {"head", "title"}:
-        weights[name] = weights["/" + name] = 8 * LIST_TAG
+    weights["a"] = weights["/a"] = weights["option"] = LINK_TAG
+    for name in ("article", "main"):  # what is outside them is seldom part of them
+        weights[name] = weights["/" + name] = WHOLE_TAG
     return weights
 
 
@@ -156,7 +158,7 @@ def best_region(parts: list[Part], weights: dict[str, float]) -> tuple[int, int]
             total += word * part.words
             if total > best:
                 best, span = total, (start, k + 1)
-        else:
+        elif not part.out:  # what is left out doesn't part what stays
             total += weights.get(part.kind, INLINE_TAG)
     return span
 
@@ -184,6 +186,8 @@ def learn(pages: list[str], rounds: int = ROUNDS) -> dict[str, float]:
                 change: dict[str, float] = defaultdict(float)
                 for lo, hi, sign in ((a, b, 1.0), (c, d, -1.0)):
                     for part in parts[lo:hi]:
+                        if part.kind != "text" and part.out:
+                            continue
                         if part.kind != "text":
                             change[part.kind] += sign
                         elif not part.out:

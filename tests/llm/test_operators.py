@@ -640,7 +640,7 @@ def test_best_region():
     for _ in range(200):
         parts = [html.Part("text", "", r.randint(0, 4), r.random() < 0.2) if r.random() < 0.5 else html.Part(r.choice(["p", "li", "b"]), "", 0, False) for _ in range(r.randint(0, 14))]
         weights = {"text": 1.0, "p": -1.0, "li": -2.5, "b": -0.2}
-        value = [0 if p.kind == "text" and p.out else weights[p.kind] * (p.words if p.kind == "text" else 1) for p in parts]
+        value = [0 if p.out else weights[p.kind] * (p.words if p.kind == "text" else 1) for p in parts]
         best = max([0.0] + [sum(value[a:b]) for a in range(len(parts)) for b in range(a + 1, len(parts) + 1)])
         a, b = html.best_region(parts, weights)
         assert sum(value[a:b]) == pytest.approx(best)
