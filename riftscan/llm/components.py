@@ -14,17 +14,27 @@ from pyspark.sql import functions as F
 from riftscan.llm.base import cut
 
 
+def _least(edges: DataFrame, node: str, name: str) -> DataFrame:
+    """The smallest neighbour below each node that has one.
+
+    Grouping by the node and a constant function of it leaves the result
+    partitioned by both, so that a join on the node shuffles it anew; only
+    then does adaptive execution split the other side's hot partitions.
+    """
+    return edges.groupBy(F.col("a").alias(node), F.pmod("a", F.lit(1)).alias("z")).agg(F.min("b").alias(name)).drop("z")
+
+
 def _large(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    """``edges`` are (larger, smaller). Each larger one moves to the smallest neighbour of its smaller one."""
+    least = _least(edges, "node", "m")
+    return edges.join(least, edges["b"] == least["node"], "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
-    """``edges`` are (larger, smaller)."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    """All smaller neighbours of a node, and the node itself, move to the smallest."""
+    least = _least(edges, "node", "m")
+    moved = edges.join(least, edges["a"] == least["node"]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionByName(least.select(F.col("node").alias("a"), F.col("m").alias("b"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
