@@ -281,7 +281,7 @@ def train(spark: SparkSession, precision: float = 0.99) -> Model:
     names = list(features)
     seen = found.select("text", "value", "label", c["kind"].alias("kind"), c["value"].alias("got"), F.array(*[F.coalesce(f, F.lit(False)).cast("int") for f in features.values()]).alias("x")).collect()
     x = np.array([r["x"] for r in seen], dtype=float)
-    y = np.array([float(r["label"] and r["got"].strip(".") in r["value"] and len(r["got"]) * 2 > len(r["value"])) for r in seen])
+    y = np.array([float(r["label"] and r["got"].strip(".") in r["value"] and len(r["got"]) * 5 >= len(r["value"]) * 4) for r in seen])
     kind = np.array([KINDS[r["kind"]] for r in seen])
     part = np.array([sum(map(ord, r["text"])) % 3 for r in seen])
     trees = boost(x[part < 2], y[part < 2])
