@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riftscan.functions.levels import CONFIDENCE, RISK, assigned_level, named, ordinal
 
+# Fixed value: what stands where no explanation was asked for yet.
 PENDING = "Pending AI response..."
 SOURCES = ("secret_scanner", "injection_scanner")
 

@@ -13,6 +13,13 @@ from pyspark.sql import functions as F
 from riftscan.functions.levels import OVERLAP, named, ordinal, pick
 
 NEAR = 5
+# Points and texts of a candidate's score, and the text of an alert.
+LEVEL_POINTS = {"HIGH": 40, "MEDIUM": 20, "LOW": 5}
+LEVEL_REASONS = {"HIGH": "Direct modification overlap on same lines", "MEDIUM": "Adjacent modifications — may interact during merge", "LOW": "Nearby modifications within 5 lines"}
+CONFLICT_POINTS, CONFLICT_REASON = 30, "Git merge-tree predicts an actual merge conflict"
+MANY_POINTS, MANY_REASON = 15, "Multiple overlapping hunks (%d)"
+TWO_POINTS, TWO_REASON = 8, "Two overlapping hunks"
+ALERT = "Proactive Alert: '%s' on your branch '%s' will conflict with already-pushed branch '%s' (%s)"
 #: Lines of a block in which ranges are joined.
 BLOCK = 64
 
@@ -128,17 +135,17 @@ def other_branches(local: DataFrame, remote: DataFrame, current: str, main: str
 
 def alerts(predicted: DataFrame, current: str) -> DataFrame:
     """A message for each file and branch."""
-    text = F.format_string("Proactive Alert: '%s' on your branch '%s' will conflict with already-pushed branch '%s' (%s)", F.col("file"), F.lit(current), F.col("branch"), F.col("risk"))
+    text = F.format_string(ALERT, F.col("file"), F.lit(current), F.col("branch"), F.col("risk"))
     return predicted.withColumn("message", text)
 
 
 def file_scores(candidates: DataFrame) -> DataFrame:
     """file, score, factors (joined by '; ') of each candidate."""
     n, level = F.col("n_pairs"), F.col("overlap_level")
-    score = pick(level, {"HIGH": 40, "MEDIUM": 20, "LOW": 5}, 0) + F.when(F.col("has_conflict"), 30).otherwise(0) + F.when(n > 2, 15).when(n > 1, 8).otherwise(0)
+    score = pick(level, LEVEL_POINTS, 0) + F.when(F.col("has_conflict"), CONFLICT_POINTS).otherwise(0) + F.when(n > 2, MANY_POINTS).when(n > 1, TWO_POINTS).otherwise(0)
     reasons = F.array(
-        pick(level, {"HIGH": "Direct modification overlap on same lines", "MEDIUM": "Adjacent modifications — may interact during merge", "LOW": "Nearby modifications within 5 lines"}),
-        F.when(F.col("has_conflict"), "Git merge-tree predicts an actual merge conflict"),
-        F.when(n > 2, F.format_string("Multiple overlapping hunks (%d)", n)).when(n > 1, "Two overlapping hunks"),
+        pick(level, LEVEL_REASONS),
+        F.when(F.col("has_conflict"), CONFLICT_REASON),
+        F.when(n > 2, F.format_string(MANY_REASON, n)).when(n > 1, TWO_REASON),
     )
     return candidates.select("file", F.least(score, F.lit(100)).cast("int").alias("score"), F.array_join(F.filter(reasons, lambda x: x.isNotNull()), "; ").alias("factors"))

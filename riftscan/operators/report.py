@@ -12,6 +12,15 @@ from riftscan.operators.findings import PENDING
 COLUMNS = ("id", "type", "risk_level", "file", "line", "function_name", "category", "change_type", "redacted_preview", "affected_files", "explanation", "recommendation")
 
 
+# Texts of the risks, and of answers that are not there yet or failed.
+NO_FUNCTION = "N/A (Line Overlap)"
+WITHIN_TEXT = 'Function "%s" signature changed from (%s) to (%s) on this branch, but %d call site(s) IN THE SAME BRANCH still use the old signature. This will cause a runtime error.'
+ACROSS_TEXT = 'Function "%s" signature changed from (%s) to (%s) on one branch, but %d call site(s) on the other branch still use the old signature. This will cause a runtime error after merge.'
+UPDATE_TEXT = "Update all call sites in %s to use the new signature."
+PENDING_START = "Pending AI response"
+ERROR_WORDS = ("unavailable", "skipped", "Verify")
+
+
 def conflict_risks(candidates: DataFrame) -> DataFrame:
     """A risk for each conflict candidate."""
     level = F.col("overlap_level")
@@ -21,7 +30,7 @@ def conflict_risks(candidates: DataFrame) -> DataFrame:
         F.when(level == "HIGH", "high").when(level == "MEDIUM", "medium").otherwise("low").alias("risk_level"),
         "file",
         F.coalesce("first_b_line", F.lit(1)).cast("int").alias("line"),
-        F.lit("N/A (Line Overlap)").alias("function_name"),
+        F.lit(NO_FUNCTION).alias("function_name"),
         F.lit(None).cast("string").alias("category"),
         F.when(F.col("has_conflict"), "git_merge_conflict").otherwise("line_overlap").alias("change_type"),
         F.lit(None).cast("string").alias("redacted_preview"),
@@ -39,8 +48,8 @@ def semantic_risks(conflicts: DataFrame) -> DataFrame:
     n = F.size("sites")
     text = F.when(
         within,
-        F.format_string('Function "%s" signature changed from (%s) to (%s) on this branch, but %d call site(s) IN THE SAME BRANCH still use the old signature. This will cause a runtime error.', F.col("name"), old, new, n),
-    ).otherwise(F.format_string('Function "%s" signature changed from (%s) to (%s) on one branch, but %d call site(s) on the other branch still use the old signature. This will cause a runtime error after merge.', F.col("name"), old, new, n))
+        F.format_string(WITHIN_TEXT, F.col("name"), old, new, n),
+    ).otherwise(F.format_string(ACROSS_TEXT, F.col("name"), old, new, n))
     return conflicts.select(
         F.concat_ws("_", F.lit("semantic"), "scope", "name", "file").alias("id"),
         F.lit("semantic_conflict").alias("type"),
@@ -53,7 +62,7 @@ def semantic_risks(conflicts: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("redacted_preview"),
         callers.alias("affected_files"),
         text.alias("explanation"),
-        F.concat(F.lit("Update all call sites in "), F.array_join(F.array_distinct(callers), ", "), F.lit(" to use the new signature.")).alias("recommendation"),
+        F.format_string(UPDATE_TEXT, F.array_join(F.array_distinct(callers), ", ")).alias("recommendation"),
     )
 
 
@@ -105,11 +114,14 @@ def parse_enrichments(responses: DataFrame) -> DataFrame:
 
 
 def is_pending(text: Column) -> Column:
-    return text.isNull() | (text == "") | F.startswith(text, F.lit("Pending AI response"))
+    return text.isNull() | (text == "") | F.startswith(text, F.lit(PENDING_START))
 
 
 def is_error_text(text: Column) -> Column:
-    return F.contains(text, F.lit("unavailable")) | F.contains(text, F.lit("skipped")) | F.contains(text, F.lit("Verify"))
+    out = F.lit(False)
+    for w in ERROR_WORDS:
+        out = out | F.contains(text, F.lit(w))
+    return out
 
 
 def diagnostics(risks: DataFrame, files: DataFrame, tag: str = "riftscan") -> DataFrame:

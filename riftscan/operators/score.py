@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from riftscan.functions.levels import FIX_WEIGHT, HEALTH_WEIGHT, RISK, health_color, known_level, ordinal, pick, score_level
 
 
+# Texts and points beside the factors.
+MANY_PAIRS, MANY_POINTS, MANY_REASON = 5, 15, "High number of overlapping hunk pairs (%d)"
+SOME_PAIRS, SOME_POINTS, SOME_REASON = 2, 8, "Multiple overlapping hunk pairs (%d)"
+NOTHING_REASON = "No conflicting changes detected between the branches"
+QUIET_REASON = "Nearby changes — low interaction risk only"
+
+
 @dataclass(frozen=True)
 class Factor:
     """A weighted yes-or-no expression over the aggregated facts of a pair."""
@@ -55,15 +62,15 @@ def repo_risk(candidates: DataFrame, files: DataFrame, ahead_a: int, ahead_b: in
     """score, level, factors (joined by '; ')."""
     factors = [*default_factors(F.lit(ahead_a), F.lit(ahead_b)), *extra]
     n = F.col("n_pairs")
-    total = F.when(n > 5, 15).when(n > 2, 8).otherwise(0)
+    total = F.when(n > MANY_PAIRS, MANY_POINTS).when(n > SOME_PAIRS, SOME_POINTS).otherwise(0)
     for f in factors:
         total = total + F.when(f.applies, f.weight).otherwise(0)
     reasons = [F.when(f.applies, F.lit(f.name)) for f in factors]
-    reasons.append(F.when(n > 5, F.format_string("High number of overlapping hunk pairs (%d)", n)).when(n > 2, F.format_string("Multiple overlapping hunk pairs (%d)", n)))
+    reasons.append(F.when(n > MANY_PAIRS, F.format_string(MANY_REASON, n)).when(n > SOME_PAIRS, F.format_string(SOME_REASON, n)))
     active = F.filter(F.array(*reasons), lambda x: x.isNotNull())
     nothing = (F.col("n_candidates") == 0) & (F.col("n_files") == 0)
     score = F.when(nothing, 0).otherwise(F.least(total, F.lit(100))).cast("int")
-    text = F.when(nothing, "No conflicting changes detected between the branches").when(F.size(active) == 0, "Nearby changes — low interaction risk only").otherwise(F.array_join(active, "; "))
+    text = F.when(nothing, NOTHING_REASON).when(F.size(active) == 0, QUIET_REASON).otherwise(F.array_join(active, "; "))
     return facts(candidates, files).select(score.alias("score"), score_level(score).alias("level"), text.alias("factors"))
 
 

@@ -11,6 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# What is said of a change's effect on callers.
+MORE_REASON = "Function '%s' requires at least %d argument(s) (new signature: %s), but old callers provide fewer arguments."
+REMOVED_REASON = "Function '%s' was removed from %s, but call sites still reference it."
+CHANGED_REASON = "Function '%s' signature changed from (%s) to (%s)."
+SAME_REASON = "Signature change matches existing call sites."
+
+
 def latest(signatures: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """One signature for each key: the last in the file."""
     return signatures.groupBy(*keys).agg(F.max_by("params", "seq").alias("params"))
@@ -72,10 +79,10 @@ def signature_breaks(changes: DataFrame, calls: DataFrame) -> DataFrame:
     differs = F.col("old_params") != F.col("new_params")
     name, old, new = F.col("name"), joined_params(F.col("old_params")), joined_params(F.col("new_params"))
     reason = (
-        F.when(more, F.format_string("Function '%s' requires at least %d argument(s) (new signature: %s), but old callers provide fewer arguments.", name, least, new))
-        .when(removed, F.format_string("Function '%s' was removed from %s, but call sites still reference it.", name, F.col("file")))
-        .when(differs, F.format_string("Function '%s' signature changed from (%s) to (%s).", name, old, new))
-        .otherwise("Signature change matches existing call sites.")
+        F.when(more, F.format_string(MORE_REASON, name, least, new))
+        .when(removed, F.format_string(REMOVED_REASON, name, F.col("file")))
+        .when(differs, F.format_string(CHANGED_REASON, name, old, new))
+        .otherwise(SAME_REASON)
     )
     sites = calls.groupBy(F.col("called_function").alias("name")).agg(F.count("*").alias("n_sites"))
     return changes.join(sites, "name", "left").select(
