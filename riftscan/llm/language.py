@@ -84,14 +84,14 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Filters:
-    """Filters from at most about ``sample`` rows of ``docs`` that have a text and a language."""
-    rows = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    per_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each language
+    """Filters from at most about ``sample`` rows of ``docs`` that have a language."""
+    rows = docs.where("lang is not null").select("doc_id", "text", "lang")
+    per_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each language; texts are not read
     if not per_lang:
         return build([], [], 0, 64)
     languages = sorted(per_lang)
     share = min(1.0, sample / sum(per_lang.values()))
-    chosen = bounded(rows).where(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1_000_000)) < int(np.ceil(share * 1_000_000)))
+    chosen = bounded(rows).where("text is not null").where(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1_000_000)) < int(np.ceil(share * 1_000_000)))
     counts = chosen.mapInArrow(count_grams, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rates = counts.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("rate")).where(F.col("rate") >= MIN_RATE)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riftscan.llm.base import bounded, table, text_slices
+from riftscan.llm.base import bounded, cut, table, text_slices
 from riftscan.llm.letters import letters, word_features
 
 SAMPLE = 12_000
@@ -137,7 +137,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     labels = labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic")
     share = min(1.0, sample / max(1, labels.count()))
     chosen = labels.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) < int(np.ceil(share * 1_000_000)))
-    rows = bounded(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # about ``sample`` rows
+    # About ``sample`` rows, kept: they are read twice, and finding them takes a pass over all texts.
+    rows = cut(bounded(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"))
     sums = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_bad, n_good = sums.get(1, 0), sums.get(0, 0)
     nothing = Model(np.zeros(0, dtype=np.uint64), np.zeros(0), -30.0)
