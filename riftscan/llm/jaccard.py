@@ -221,7 +221,9 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
         .withColumn("block", F.pmod(F.xxhash64("uid"), F.col("n_blocks")).cast("int"))
         .join(classes.select("uid", "copy_id"), "uid")
     )
-    wanted = texts.withColumnRenamed("doc_id", "of").join(members, "uid").where(F.col("of").eqNullSafe(F.col("copy_id")))
+    # One row of each class, joined by both keys so that many copies don't meet in one partition.
+    of = texts.select(F.col("uid").alias("of_uid"), F.col("doc_id").alias("of_doc"), "text")
+    wanted = of.join(members, (F.col("of_uid") == F.col("uid")) & F.col("of_doc").eqNullSafe(F.col("copy_id")))
     dealt = wanted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
         "comp", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "n_blocks", "uid", "text"
     )
@@ -239,10 +241,10 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class: the one with the least doc_id. Rows with a null text stay."""
-    found = link(docs, threshold).where("copy_id <=> class_id").select("uid", "class_id")
+    found = link(docs, threshold).where("copy_id <=> class_id").select(F.col("uid").alias("kept_uid"), "class_id")
     rows = with_uid(packed(docs, "doc_id", "text")).drop("text")
-    kept = rows.where("uid is not null").join(found, "uid").where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    nth = F.row_number().over(Window.partitionBy("uid").orderBy("doc_id"))  # only repeated rows are left to part
+    kept = rows.join(found, (F.col("uid") == F.col("kept_uid")) & F.col("doc_id").eqNullSafe(F.col("class_id")))
+    nth = F.row_number().over(Window.partitionBy("uid", "doc_id").orderBy("uid"))  # only repeated rows are left to part
     one = kept.withColumn("nth", nth).where("nth = 1")
     return unpacked(one, docs.columns).unionByName(unpacked(rows.where("uid is null"), docs.columns))
 
@@ -250,7 +252,9 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = with_uid(docs.select("doc_id", "text")).select("doc_id", "uid")
-    return rows.join(link(docs), "uid", "left").select(
+    # Negated twice, the key is no longer known as partitioned: the join shuffles this side anew, and can split a hot class of the other.
+    found = link(docs).withColumn("uid", F.bitwise_not(F.bitwise_not("uid")))
+    return rows.join(found, "uid", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
 
