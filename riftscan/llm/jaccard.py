@@ -12,6 +12,7 @@
    is left is verified exactly on the shingle sets.
 4. A block returns one row for each linked class: its number of links there
    and the root of its links' tree, so results grow with classes, not pairs.
+   Texts of a group of m are dealt once for each of its m / 256 blocks.
 
 With 32 bands of 5 values a pair at similarity 0.8 shares no band with
 probability 3e-6, and such a pair is still compared if other texts connect it.
