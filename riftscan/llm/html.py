@@ -16,8 +16,9 @@ headers, footers, asides, forms, scripts, styles) or by a name in class or id
 
 Defined results: a null or empty page, or one without words outside such
 elements, has empty text; repeated rows get equal results; an unclosed element
-ends with its parent; of equal regions the first and shortest is taken; an
-empty table gives an empty result; other columns are ignored.
+ends with its parent, or at the start tag that ends it in HTML (paragraphs,
+list items, cells, rows, options); of equal regions the first and shortest is
+taken; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -54,6 +55,26 @@ BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup "
     "option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements out of which nothing is ended by the start of another element, by what would be ended.
+CELLS = {"table", "caption", "td", "th"}
+BARS = {"p": CELLS, "part": {"table"}, "item": BLOCKS - {"address", "div", "p", "li", "dd", "dt"}, "option": {"datalist"}, "a": BLOCKS}
+#: What the start of an element ends, as end tags are optional in HTML: (what bars it, names).
+ENDS = {
+    "p": (("p", ("p",)),),
+    "li": (("item", ("li",)), ("p", ("p",))),
+    "dd": (("item", ("dd", "dt")), ("p", ("p",))),
+    "dt": (("item", ("dd", "dt")), ("p", ("p",))),
+    "td": (("part", ("td", "th", "caption")),),
+    "th": (("part", ("td", "th", "caption")),),
+    "tr": (("part", ("td", "th", "tr", "caption")),),
+    "option": (("option", ("option",)),),
+    "optgroup": (("option", ("option", "optgroup")),),
+    "a": (("a", ("a",)),),
+}
+ENDS |= {n: (("part", ("td", "th", "tr", "tbody", "thead", "tfoot", "caption")),) for n in ("tbody", "thead", "tfoot")}
+#: Blocks whose start ends no paragraph.
+NOT_AFTER_P = {"html", "body", "caption", "legend", "frameset"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that hold the whole page: their names never leave it out.
 WHOLE = {"html", "body"}
@@ -68,17 +89,68 @@ class Part(NamedTuple):
     out: bool  # inside an element that is no article
 
 
+class Open:
+    """The open elements of a page, which of them are left out, and how many articles are open."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.at: dict[str, list[int]] = defaultdict(list)  # places of each name
+        self.blocks: list[int] = []
+        self.bars: dict[str, list[int]] = {g: [] for g in BARS}
+        self.left_out: list[int] = []
+        self.articles: list[int] = []
+
+    def last(self, names: Iterable[str]) -> int:
+        return max((at[-1] for n in names if (at := self.at.get(n))), default=-1)
+
+    def push(self, name: str, out: bool) -> None:
+        k = len(self.names)
+        self.names.append(name)
+        self.at[name].append(k)
+        if name in BLOCKS:
+            self.blocks.append(k)
+        for group, bars in BARS.items():
+            if name in bars:
+                self.bars[group].append(k)
+        if out:
+            self.left_out.append(k)
+        elif name in ("article", "main"):
+            self.articles.append(k)
+
+    def pop_to(self, k: int) -> None:
+        for name in self.names[k:]:
+            self.at[name].pop()
+        del self.names[k:]
+        for held in (self.blocks, self.left_out, self.articles, *self.bars.values()):
+            while held and held[-1] >= k:
+                held.pop()
+
+    def before(self, name: str) -> None:
+        """Ends what the start of an element ends."""
+        for group, ended in ENDS.get(name, ENDS["p"] if name in BLOCKS - NOT_AFTER_P else ()):
+            bars = self.bars[group]
+            while (k := self.last(ended)) > (bars[-1] if bars else -1):
+                self.pop_to(k)
+        if name in HEADINGS and self.names and self.names[-1] in HEADINGS:
+            self.pop_to(len(self.names) - 1)
+
+    def end(self, name: str) -> None:
+        """Ends an element and all that is open inside; an inline element's end tag ends no block."""
+        k = self.last((name,))
+        if k >= 0 and (name in BLOCKS or not self.blocks or self.blocks[-1] < k):
+            self.pop_to(k)
+
+
 def parts_of(page: str) -> list[Part]:
     """Text and tags of a page in order."""
     out: list[Part] = []
-    masks: list[tuple[str, int]] = []  # open elements that are left out: name and how many of that name are open inside
-    home = 0
+    open_ = Open()
     at = 0
 
     def text(piece: str) -> None:
         if piece:
             plain = entities.unescape(piece)
-            out.append(Part("text", plain, len(plain.split()), bool(masks)))
+            out.append(Part("text", plain, len(plain.split()), bool(open_.left_out)))
 
     while (m := TOKEN.search(page, at)) is not None:
         text(page[at : m.start()])
@@ -91,35 +163,22 @@ def parts_of(page: str) -> list[Part]:
             end = re.compile(rf"</{re.escape(name)}\s*>" if name != "head" else r"</head\s*>|<body\b[^>]*>", re.I).search(page, at)
             if name == "head" and end is None:
                 continue
-            out.append(Part(name, "", 0, bool(masks)))
+            out.append(Part(name, "", 0, bool(open_.left_out)))
             at = end.end() if end else len(page)
             continue
         if closing:
-            left_out = bool(masks)
-            if masks and masks[-1][0] == name:
-                if masks[-1][1]:
-                    masks[-1] = name, masks[-1][1] - 1
-                else:
-                    masks.pop()
-            elif any(k == name for k, _ in masks):  # inner ones were not closed
-                while masks[-1][0] != name:
-                    masks.pop()
-                masks.pop()
-            home -= name in ("article", "main") and home > 0
-            out.append(Part("/" + name, "", 0, left_out))
+            out.append(Part("/" + name, "", 0, bool(open_.left_out)))
+            open_.end(name)
             continue
+        open_.before(name)
         named = names_of(attrs) if attrs else set()
-        other = bool(named & NAMES) or name in NOT_ARTICLE or (not home and (name == "header" or ("header" in named and not named & OWN)))
+        other = bool(named & NAMES) or name in NOT_ARTICLE or (not open_.articles and (name == "header" or ("header" in named and not named & OWN)))
         if name in ("article", "main") and not other:
-            masks.clear()  # an article is not part of what was left open before it
-            home += 1
-        out.append(Part(name, "", 0, bool(masks) or (other and name not in WHOLE)))
-        if name in VOID or attrs.endswith("/"):
-            continue
-        if masks and masks[-1][0] == name:
-            masks[-1] = name, masks[-1][1] + 1
-        elif other and name not in WHOLE:
-            masks.append((name, 0))
+            open_.left_out.clear()  # an article is not part of what was left open before it
+        other = other and name not in WHOLE
+        out.append(Part(name, "", 0, bool(open_.left_out) or other))
+        if name not in VOID and not attrs.endswith("/"):
+            open_.push(name, other)
     text(page[at:])
     return out
 

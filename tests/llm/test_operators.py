@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -615,6 +616,40 @@ def test_names_of_wholes(wrap):
     assert html.main_text(page, html.start_weights()) == "The words of the page that are to stay here."
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<div><nav>a</div><p>b", "b"),
+        ('<p class="ad">a<p>b', "b"),
+        ('<article><p class="ad">a<p>b</article>', "b"),
+        ('<p class="ad">a <b>c<div>b</div>', "b"),
+        ('<ul><li class="share">a<li>b</ul>', "b"),
+        ('<ul><li class="share">a<ul><li>c<li>d</ul>e<li>b</ul>', "b"),
+        ('<dl><dt class="ad">a<dd>b</dl>', "b"),
+        ('<table><tr><td class="menu">a<td>b</table>', "b"),
+        ('<table><tr class="menu"><td>a<tr><td>b</table>', "b"),
+        ('<table><tr><td class="menu">a<table><tr><td>c</table>d<td>b</table>', "b"),
+        ('<div><div class="ad"><div>a</div>c</div>b</div>', "b"),
+        ('<div class="ad"><b>a</div>b', "b"),
+        ('<b><div class="ad">a</b>c</div>b', "b"),
+        ('<div class="ad">a</span></p>c</div>b', "b"),
+        ('<span class="ad">a</span>b', "b"),
+        ('<nav>a<article>b</article>', "b"),
+    ],
+)
+def test_unclosed(page, want):
+    """What is left out ends where HTML ends it."""
+    assert html.main_text(page, html.start_weights()) == want
+
+
+def test_deep():
+    """Very many open elements take no more than linear time."""
+    page = "<b><div>" * 20_000 + "<li></i></b></p>" * 20_000 + "words"
+    began = time.process_time()
+    assert html.main_text(page, html.start_weights()) == "words"
+    assert time.process_time() - began < 20
+
+
 def test_op10(spark, sf):
     import html as entities
 
