@@ -30,6 +30,10 @@ GENERIC = r"((?i:api_?key|apikey|secret|token|passw(?:or)?d|auth|credential)[A-Z
 LOOSE = r"([\"'])([A-Za-z0-9+/=_-]{20,})[\"']"
 PLACEHOLDER = r"(?i)your[-_]|change[-_ ]?me|example|placeholder|dummy|sample|xxxx|<[^>]+>|todo|replace"
 ENVIRONMENT = r"process\.env|os\.environ|getenv|\$\{|\$\("
+#: A quoted name of an environment variable: no value.
+ENVIRONMENT_NAME = r"(?:process\.env|os\.environ|getenv)(?:\.get)?\s*[\[(]\s*(?:\"[^\"]*\"|'[^']*')"
+#: The whole value that an environment file assigns.
+ENV_VALUE = r"\A[^=]*=\s*(\"[^\"]*\"|'[^']*'|[^#]*)"
 GENERIC_ENTROPY, LOOSE_ENTROPY = 3.5, 4.0
 MASK = "***REDACTED***"
 
@@ -46,6 +50,16 @@ def masked(content: Column) -> Column:
     return F.regexp_replace(out, r"([\"'])[A-Za-z0-9+/=_-]{20,}", "$1" + MASK)
 
 
+def benign(value: Column) -> Column:
+    """Whether a value is a placeholder or taken from the environment."""
+    return value.rlike(PLACEHOLDER) | value.rlike(ENVIRONMENT)
+
+
+def real_password(pattern: str) -> Column:
+    """Whether a connection string of the line holds a password itself."""
+    return F.exists(F.regexp_extract_all("content", F.lit(pattern), F.lit(2)), lambda v: ~v.rlike(ENVIRONMENT))
+
+
 #: What the line may hold for any rule to match: everything else is left out by one look.
 ANY = r"AKIA|(?i:secret|token|passw|key|auth|credential)|PRIVATE KEY|gh[pousr]_|://|xox|eyJ|[\"'][A-Za-z0-9+/=_-]{20}"
 HARDCODED = "hardcoded_secret"
@@ -59,20 +73,22 @@ RULES = [(HARDCODED, "the line holds a value in this provider's format", name, c
 def scan_secrets(lines: DataFrame) -> DataFrame:
     """file, line and the finding's fields; of generic and loose matches only the stronger one is kept.
 
-    Conditions are made in stages, so that each pattern runs once for a line;
-    the masked line is made for lines with a finding only.
+    A placeholder or a reference to the environment rules out the value that is
+    one, not the line that mentions one; of several values on a line any may
+    count. Conditions are made in stages, so that each pattern runs once for a
+    line; the masked line is made for lines with a finding only.
     """
     content, n = F.col("content"), len(PROVIDERS)
-    env = content.rlike(ENVIRONMENT)
-    held = [content.rlike(p) & (~env if name.startswith("Database") else F.lit(True)) for name, p, _, _ in PROVIDERS]
+    held = [real_password(p) if name.startswith("Database") else content.rlike(p) for name, p, _, _ in PROVIDERS]
     may = lines.where(content.isNotNull() & content.rlike(ANY))
-    flags = may.select("file", "line", "content", *[h.alias(f"p{k}") for k, h in enumerate(held)], (content.rlike(PLACEHOLDER) | env).alias("benign"), F.regexp_extract("content", GENERIC, 2).alias("generic"), F.regexp_extract("content", LOOSE, 2).alias("loose"))
+    every = lambda p: F.regexp_extract_all(F.regexp_replace("content", ENVIRONMENT_NAME, ""), F.lit(p), F.lit(2))
+    flags = may.select("file", "line", "content", *[h.alias(f"p{k}") for k, h in enumerate(held)], every(GENERIC).alias("generic"), every(LOOSE).alias("loose"))
     provider = F.greatest(*[F.col(f"p{k}") for k in range(n)])
-    in_env = F.col("file").rlike(r"(?:\A|/)\.env[^/]*\z") & content.rlike(ENV_FILE)
-    other = flags.withColumn("open", ~provider & ~F.col("benign"))
+    in_env = F.col("file").rlike(r"(?:\A|/)\.env[^/]*\z") & content.rlike(ENV_FILE) & ~benign(F.regexp_extract("content", ENV_VALUE, 1))
+    other = flags.withColumn("open", ~provider)
     other = other.withColumn("in_env", F.col("open") & in_env)
-    other = other.withColumn("is_generic", F.col("open") & ~F.col("in_env") & (F.col("generic") != "") & (shannon_entropy(F.col("generic")) >= GENERIC_ENTROPY))
-    is_loose = F.col("open") & ~F.col("in_env") & ~F.col("is_generic") & (F.col("loose") != "") & (shannon_entropy(F.col("loose")) > LOOSE_ENTROPY)
+    other = other.withColumn("is_generic", F.col("open") & ~F.col("in_env") & F.exists("generic", lambda v: ~benign(v) & (shannon_entropy(v) >= GENERIC_ENTROPY)))
+    is_loose = F.col("open") & ~F.col("in_env") & ~F.col("is_generic") & F.exists("loose", lambda v: ~benign(v) & (shannon_entropy(v) > LOOSE_ENTROPY))
     numbers = F.array(*[F.when(F.col(f"p{k}"), F.lit(k)) for k in range(n)], F.when(F.col("in_env"), F.lit(n)), F.when(F.col("is_generic"), F.lit(n + 1)), F.when(is_loose, F.lit(n + 2)))
     found = exploded(other.select("file", "line", "content", numbers.alias("numbers")))
     return found.select("file", "line", "rule_pos", truncate(trim_all(masked(content))).alias("snippet")).select("file", "line", *finding_fields("secret_scanner", RULES))

@@ -1,0 +1,60 @@
+"""Placeholders and references to the environment are told by value, not by line."""
+
+import math
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from riftscan.operators import secrets
+
+REAL, OTHER = "k3Jf9sLq2Zx8Vb7Nw4Tr6Yp1", "aB3dE5fG7hJ9kL1mN2pQ4rS6tU8v"
+GENERIC, LOOSE = ["Generic API Key or Token"], ["High-Entropy String"]
+DATABASE = ["Database Connection String"]
+
+
+@pytest.mark.parametrize(
+    "content, want",
+    [
+        (f'mail me@shop.example.com token = "{REAL}"', GENERIC),
+        (f'token = "{REAL}" // TODO replace <b>this</b>', GENERIC),
+        (f'token = process.env.TOKEN || "{REAL}"; secret = "{REAL}"', GENERIC),
+        (f'token = "your-token-goes-here"; secret = "{REAL}"', GENERIC),
+        (f'token = "aaaaaaaaaaaaaaaaaaaaaa"; secret = "{REAL}"', GENERIC),
+        (f'f("example-example-example", "{OTHER}")', LOOSE),
+        (f'x = os.getenv("NAME_OF_SOMETHING_LONG", "{OTHER}")', LOOSE),
+        (f'os.environ["Q"] = "{OTHER}"', LOOSE),
+        ('url = process.env.DB || "postgres://admin:hunter2@db.local/x"', DATABASE),
+        ('a = "postgres://u:${DB_PASS}@db.local/x"; b = "postgres://admin:hunter2@db.local/x"', DATABASE),
+        ('url = "postgres://u:${DB_PASS}@db.local/x"', []),
+        ('token = "your-token-goes-here"; secret = "change-me-please-now"', []),
+        ('k = os.environ["wXyZ_AbCd_1234_EfGh_5678_IjKl"]', []),
+    ],
+)
+def test_by_value(spark, content, want):
+    lines = spark.createDataFrame([("a.js", 1, content)], "file string, line int, content string")
+    assert [r.rule_name for r in secrets.scan_secrets(lines).collect()] == want
+
+
+@pytest.mark.parametrize("content, n", [("DB_PASSWORD=s3cr3tvalue99 # example", 1), ("DB_PASSWORD=example-value", 0), ("DB_PASSWORD=<replacing your own>", 0), ("DB_PASSWORD=${OTHER_VALUE}", 0)])
+def test_env_file_by_value(spark, content, n):
+    lines = spark.createDataFrame([("app/.env", 1, content)], "file string, line int, content string")
+    assert secrets.scan_secrets(lines).count() == n
+
+
+def test_documents(spark):
+    """In whole documents every generic value that is itself no placeholder is found, by plain Python."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", F.explode(F.split("text", "\n")).alias("content"))
+    lines = rows.select(F.lit("doc.txt").alias("file"), F.col("doc_id").cast("int").alias("line"), "content")
+
+    def bits(v):
+        return -sum(v.count(c) / len(v) * math.log2(v.count(c) / len(v)) for c in set(v))
+
+    generic, placeholder = (re.compile(p) for p in (secrets.GENERIC, secrets.PLACEHOLDER))
+    want = set()
+    for r in lines.collect():
+        values = [m[2] for m in generic.finditer(r.content)]
+        if any(not placeholder.search(v) and not re.search(secrets.ENVIRONMENT, v) and bits(v) >= secrets.GENERIC_ENTROPY for v in values) and not any(re.search(p, r.content) for _, p, _, _ in secrets.PROVIDERS):
+            want.add(r.line)
+    got = {r.line for r in secrets.scan_secrets(lines).where(F.col("rule_name") == GENERIC[0]).collect()}
+    assert got == want and 460 in got
