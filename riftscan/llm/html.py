@@ -39,7 +39,7 @@ SAMPLE = 300
 MAX_PAGE = 60_000
 ROUNDS = 5
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>|<[!?][^>]*>""", re.S)
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 RAW = {"script", "style", "textarea", "noscript", "template", "iframe", "svg", "title", "head", "select", "button"}
 NOT_ARTICLE = {"nav", "footer", "aside", "form", "dialog", "menu"}
 NAMES = set(
@@ -49,7 +49,11 @@ NAMES = set(
 )
 #: A header with one of these names is the article's own.
 OWN = {"entry", "post", "article", "story", "content", "section"}
-#: A name that begins so says what an element has, not what it is.
+#: Words that say how an element holds what stands before them in its name.
+HOLDERS = set("area bar block body box button buttons container entries form group holder icon icons inner item items line link links list outer panel post posts row section slot stories text unit wrap wrapper zone".split())
+#: What is also the title of an article's own section.
+TITLES = {"advertising", "consent", "copyright", "disclaimer", "discussion", "navigation", "notice", "notices", "promotion", "recommendations", "recommended", "related", "search"}
+#: What follows such a word in a name says what an element has, not what it is.
 HAS = {"has", "with", "without", "no", "is", "not"}
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup "
@@ -171,8 +175,9 @@ def parts_of(page: str) -> list[Part]:
             open_.end(name)
             continue
         open_.before(name)
-        named = names_of(attrs) if attrs else set()
-        other = bool(named & NAMES) or name in NOT_ARTICLE or (not open_.articles and (name == "header" or ("header" in named and not named & OWN)))
+        tokens = list(tokens_of(attrs)) if attrs else []
+        named = {w for _, words in tokens for w in words}
+        other = named_out(name, tokens) or name in NOT_ARTICLE or (not open_.articles and (name == "header" or ("header" in named and not named & OWN)))
         if name in ("article", "main") and not other:
             open_.left_out.clear()  # an article is not part of what was left open before it
         other = other and name not in WHOLE
@@ -183,15 +188,29 @@ def parts_of(page: str) -> list[Part]:
     return out
 
 
-def names_of(attrs: str) -> set[str]:
-    """The words of an element's class, id and role."""
-    out = set()
-    for groups in NAMED.findall(attrs):
+def tokens_of(attrs: str) -> Iterator[tuple[str, list[str]]]:
+    """The attribute and the words of each name in an element's class, id and role, up to a word that says what it has."""
+    for attr, *groups in NAMED.findall(attrs):
         for name in "".join(groups).split():
-            words = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
-            if words[0] not in HAS:
-                out.update(words)
-    return out
+            words = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+            has = next((k for k, w in enumerate(words) if w in HAS), len(words))
+            if has:
+                yield attr.lower(), words[:has]
+
+
+def named_out(name: str, tokens: list[tuple[str, list[str]]]) -> bool:
+    """Whether a name says that the element is no article: by its last word, plain holders and numbers aside.
+
+    An id of a heading is an anchor and says nothing; one of a section doesn't
+    if articles have sections of that title.
+    """
+    for attr, words in tokens:
+        k = len(words)
+        while k > 1 and (words[k - 1] in HOLDERS or words[k - 1][0].isdigit()):
+            k -= 1
+        if words[k - 1] in NAMES and not (attr == "id" and (name in HEADINGS or (name == "section" and words[k - 1] in TITLES))):
+            return True
+    return False
 
 
 def start_weights() -> dict[str, float]:

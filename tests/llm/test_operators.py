@@ -616,6 +616,18 @@ def test_names_of_wholes(wrap):
     assert html.main_text(page, html.start_weights()) == "The words of the page that are to stay here."
 
 
+@pytest.mark.parametrize("start", ['<div class="content-with-sidebar">', '<div class="layout-sidebar-right">', '<section id="discussion">', '<div class="search-theory">', '<section id="related-work">', '<h2 id="search">', '<h2 id="related-work">', '<h2 id="discussion">'])
+def test_names_kept(start):
+    """A name with a menu's or an advert's word somewhere in it leaves nothing out."""
+    page = f"{start}Words of the article"
+    assert html.main_text(page, html.start_weights()) == "Words of the article"
+
+
+@pytest.mark.parametrize("start", ['<div class="ad">', '<div id="ad-1">', '<div class="ad_box">', '<div class="col left-sidebar">', '<div id="siteMenu">', '<div class="share-buttons">', '<div class="related-posts">', '<section id="comments">', '<section class="discussion">', '<h2 class="promo">', '<div role="navigation">'])
+def test_names_left_out(start):
+    assert html.main_text(f"{start}Other words", html.start_weights()) == ""
+
+
 @pytest.mark.parametrize(
     "page, want",
     [
