@@ -52,7 +52,7 @@ GENERATORS = {
     "national": (r"[0-9][\x20./-][0-9]|\)", r"(?<![0-9+.-])(?:\([0-9]{2,5}\)\x20?|[0-9]{2,5}[\x20./-])[0-9]{2,4}[\x20.-][0-9]{2,4}(?:[\x20.-][0-9]{2,4})?(?![0-9])"),
     "number": (r"[0-9]{3}", r"(?<![0-9A-Za-z])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{8}[A-Z]|[0-9]{9,19})(?![0-9A-Za-z])"),
     "bank": (r"[A-Z]{2}[0-9]{2}", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[0-9A-Z]{4}){2,7}(?:\x20?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"),
-    "secret": (r"[=:]", r"(?<=[=:\x20\x22'])[A-Za-z0-9+/_.~-]{10,200}+(?![A-Za-z0-9+/_.~@-])"),
+    "secret": (r"[=:]|(?i:bearer)", r"(?<![A-Za-z0-9+/_.~@-])[A-Za-z0-9+/_.~-]{10,}+(?!@)"),
 }
 BEFORE, AFTER = 32, 4
 SPAN = "struct<start:int,kind:int,end:int>"
@@ -154,13 +154,13 @@ def feature_columns(c: Column, d: Column) -> dict[str, Column]:
         "round": value.rlike(r"000"),
         "says_phone": word("phone|tel|telephone|mobile|cell|call|fax|telefon|handy|téléphone|portable|appelez|teléfono|móvil|llame"),
         "says_mail": word("e-?mail|mail|contact|write|reach|kontakt|contacto|courriel|correo"),
-        "says_secret": before.rlike(r"(?:password|passwd|passwort|contraseña|pwd|token|secret|api[_-]?key|access[_-]?key|auth|bearer)\s*[=:]?\s*[\x22']?\z"),
+        "says_secret": before.rlike(r"(?:password|passwd|passwort|contraseña|pwd|token|secret|api[_-]?key|access[_-]?key|auth|bearer)\s*[=:]?\s*[\x22'`(]?\z"),
         "says_number": word("ssn|social security|passport|dni|nif|national id|tax id|ausweis|insurance|sécurité sociale"),
         "says_bank": word("iban|account|konto|compte|cuenta|bank"),
         "says_card": word("card|visa|mastercard|credit|karte|carte|tarjeta"),
         "says_other": word("order|invoice|version|ref|reference|page|pages|isbn|sku|item|part|chapter|section|figure|table|ticket|build|serial|tracking|bestellung|rechnung|seite|commande|facture|pedido|factura|página"),
         "currency": before.rlike(r"(?:[$€£#]|usd|eur)\s?\z"),
-        "assigned": before.rlike(r"[=:]\s*[\x22']?\z"),
+        "assigned": before.rlike(r"[=:]\s*[\x22'`(]?\z"),
         "unit_after": after.rlike(r"\A\s?(?:%|€|\$|kg|km|mm|cm)"),
         "goes_on": after.rlike(r"\A[/_=]"),
     }
@@ -203,6 +203,7 @@ def snippets(seed: int = 3, n: int = 160) -> list[tuple[str, str, int]]:
         (("IBAN", "account", "bank account", "Konto", "cuenta", ""), iban),
         (("password=", 'token = "', "secret: ", "api_key=", "passwd: ", 'access_key="', "Bearer "), secret_value),
         (("card", "credit card", "visa", "tarjeta"), lambda: num(16)),
+        (("password=", 'token = "', "secret: ", "token:\n", "api_key=\t", "secret = `", "Bearer "), lambda: pick([text(mixed, r.randint(180, 500)), f"{text(mixed, 36)}.{text(mixed, r.randint(100, 400))}.{text(mixed, 43)}"])),
     ]
     bad = [
         (("on", "since", "dated", "until"), lambda: pick([f"{pick(['19', '20'])}{num(2)}-0{r.randint(1, 9)}-1{num(1)}", f"1{num(1)}.0{r.randint(1, 9)}.20{num(2)}", f"{num(2)} {num(3)} {num(3)}"])),
@@ -213,13 +214,14 @@ def snippets(seed: int = 3, n: int = 160) -> list[tuple[str, str, int]]:
         (("see http:", "path=", "class=", "id: ", "file ", "name: "), lambda: pick([text(letters, 8) + "-" + text(letters, 6) + num(2), "section-" + num(2) + "-overview", text(letters, 12) + num(1), "img_" + num(4) + ".png"])),
         (("code", "model", ""), lambda: pick([f"AB{num(2)} {text('ABCDEFGH', 4)} {text('ABCDEFGH', 4)}", text("ABCDEF", 2) + num(2) + text(mixed, 10)])),
         (("commit ", "sha1: ", "hash "), lambda: text(hexa, 40)),
+        (("see http:", "path=", "file ", "\n", "(", ""), lambda: "/".join(text(letters, r.randint(3, 9)) for _ in range(r.randint(2, 40))) + pick(["/", "-", "."]) + text(letters, 5) + num(2)),
     ]
     rows = []
     for label, kinds in ((1, good), (0, bad)):
         for says, make in kinds:
             for _ in range(n):
                 say, value = pick(says), make()
-                gap = "" if say[-1:] in ('=', '"', "$", "€", " ", "") else " "
+                gap = "" if say[-1:] in ('=', '"', "$", "€", " ", "", "\n", "\t", "`", "(") else " "
                 rows.append((f"{some()} {say}{gap}{value}{pick(['', '.', ',', ' ' + some()]) if label or r.random() < 0.9 else ' %'}", value, label))
     return rows
 

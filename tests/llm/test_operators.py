@@ -168,6 +168,17 @@ def model(spark):
     return pii.train(spark)
 
 
+def test_pii_long_secrets(spark, model):
+    """Credentials of any length, dotted or not, after any mark."""
+    r = random.Random(5)
+    text = lambda k: "".join(r.choice("ABCDEFGHJKabcdefghjk0123456789") for _ in range(k))
+    values = [text(201), text(3000), f"{text(36)}.{text(260)}.{text(43)}", text(40)]
+    texts = [f"that was found {say}{v} later" for v in values for say in ('token = "', "password=", "Bearer ", "secret:\n", "token:\t", "secret = `")]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    got = [r.text for r in pii.redact(df, model).orderBy("doc_id").collect()]
+    assert [t for t, g in zip(texts, got) if "[SECRET]" not in g or len(g) > 60] == []
+
+
 def test_op3(spark, sf, model):
     check_pii(spark.read.parquet(f"{sf}/documents.parquet"), model)
     got = {r.doc_id: r for r in queries.QUERIES["op3_pii"](spark, sf).collect()}
