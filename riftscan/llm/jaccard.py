@@ -207,7 +207,7 @@ def with_uid(docs: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
-    """uid, copy_id (least doc_id of the equal texts), n_copies, class_id (least doc_id of all that links connect), n_links (other texts)."""
+    """uid, copy_id (least doc_id of the equal texts), n_copies, class_id (least doc_id of all that links connect), n_links (other texts), root (a uid that names what links connect)."""
     texts = with_uid(bounded(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).where("uid is not null")
     keyed = texts.mapInArrow(band_keys, "doc_id bigint, uid bigint, bands array<bigint>")
     classes = cut(keyed.groupBy("uid").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n_copies"), F.first("bands").alias("bands")))
@@ -236,15 +236,18 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
         across = components(found.where("several").select(F.col("uid").alias("a"), F.col("root").alias("b")))
         roots = roots.unionByName(across.select(F.col("node").alias("uid"), "root"))
     linked = found.groupBy("uid").agg(F.sum("links").alias("n_links")).join(roots, "uid").join(classes.select("uid", "copy_id"), "uid")
-    named = linked.join(linked.groupBy("root").agg(F.min("copy_id").alias("class_id")), "root").select("uid", "n_links", "class_id")
-    return classes.select("uid", "copy_id", "n_copies").join(named, "uid", "left").select("uid", "copy_id", "n_copies", F.coalesce("class_id", "copy_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = linked.join(linked.groupBy("root").agg(F.min("copy_id").alias("class_id")), "root").select("uid", "n_links", "class_id", "root")
+    return classes.select("uid", "copy_id", "n_copies").join(named, "uid", "left").select(
+        "uid", "copy_id", "n_copies", F.coalesce("class_id", "copy_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "uid").alias("root")
+    )
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each class: the one with the least doc_id. Rows with a null text stay."""
-    found = link(docs, threshold).where("copy_id <=> class_id").select(F.col("uid").alias("kept_uid"), "class_id")
+    """One document of each class: the one with the least doc_id (then text hash; null ids last). Rows with a null text stay."""
+    first = F.min(F.struct(F.col("copy_id").isNull().alias("unnamed"), "copy_id", "uid")).alias("first")
+    found = link(docs, threshold).groupBy("root").agg(first).select(F.col("first.uid").alias("kept_uid"), F.col("first.copy_id").alias("kept_id"))
     rows = with_uid(packed(docs, "doc_id", "text")).drop("text")
-    kept = rows.join(found, (F.col("uid") == F.col("kept_uid")) & F.col("doc_id").eqNullSafe(F.col("class_id")))
+    kept = rows.join(found, (F.col("uid") == F.col("kept_uid")) & F.col("doc_id").eqNullSafe(F.col("kept_id")))
     nth = F.row_number().over(Window.partitionBy("uid", "doc_id").orderBy("uid"))  # only repeated rows are left to part
     one = kept.withColumn("nth", nth).where("nth = 1")
     return unpacked(one, docs.columns).unionByName(unpacked(rows.where("uid is null"), docs.columns))

@@ -554,6 +554,19 @@ def test_op9_groups(spark):
     assert {t: (got[uid[t]].class_id, got[uid[t]].n_links) for t in want} == want
 
 
+@pytest.mark.parametrize("ids", [(None, None, None, None), (7, 7, 7, 7), (None, 7, 7, None), (3, 3, 2, 9)])
+def test_keep_one_ids(spark, ids):
+    """One document of a class stays, also when ids are null or repeated."""
+    words = [f"w{k}" for k in range(60)]
+    near = [" ".join(words), " ".join(words[:-1] + ["x"]), " ".join(["y"] + words[1:])]
+    texts = [*near, near[0]]
+    df = spark.createDataFrame([*zip(ids, texts), (ids[0], "other words of another text")], "doc_id bigint, text string")
+    got = [tuple(r) for r in jaccard.keep_one(df).select("doc_id", "text").collect()]
+    same = [g for g in got if g[1] in near]
+    assert len(got) == 2 and len(same) == 1
+    assert same[0][0] == min((i for i in ids if i is not None), default=None)
+
+
 def test_op9_odd(spark, odd, empty):
     kept = jaccard.keep_one(odd)
     assert kept.columns == odd.columns
