@@ -2,28 +2,35 @@
 
 Edges are (child, parent). Reachability walks a frontier: each round joins
 only the newly found commits with the edges and leaves out visited ones, so a
-commit is expanded once whatever the number of merges.
+commit is expanded once whatever the number of merges. Each round's commits
+are kept as a part of their own; parts are written together once for every
+``PARTS`` rounds, so a long history isn't rewritten in each of them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riftscan.errors import ScanError
 from riftscan.functions.lineage import cut
 
+PARTS = 32
+
 
 def reachable(edges: DataFrame, tips: DataFrame) -> DataFrame:
     """tip, node of every commit reachable from each tip, itself included."""
-    seen = cut(tips.select("tip", F.col("tip").alias("node")).distinct())
-    frontier = seen
+    frontier = cut(tips.select("tip", F.col("tip").alias("node")).distinct())
+    parts = [frontier]
     while True:
+        seen = reduce(DataFrame.unionByName, parts)
         step = frontier.join(edges, frontier["node"] == edges["child"]).select("tip", F.col("parent").alias("node")).distinct()
         frontier = cut(step.join(seen, ["tip", "node"], "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = cut(seen.unionByName(frontier))
+        parts = [cut(seen), frontier] if len(parts) == PARTS else [*parts, frontier]
 
 
 def tips_of(edges: DataFrame, *tips: object) -> DataFrame:

@@ -132,13 +132,13 @@ def surrounding_lines(s: SparkSession, d: str) -> DataFrame:
 
 
 ENTROPY_SQL = "(SELECT -sum(c / n * log2(c / n)) FROM (SELECT CAST(count(*) AS DOUBLE) AS c, CAST(length(v) AS DOUBLE) AS n FROM (SELECT unnest(string_split(v, '')) AS ch) GROUP BY ch))"
-SECRETS_SQL = r""", all_lines AS (SELECT file, line, content FROM code_lines UNION ALL SELECT 'doc.txt', CAST(doc_id AS INTEGER), unnest(string_split(text, chr(10))) FROM documents),
-generic AS (SELECT *, regexp_extract(content, '((?i:api_?key|apikey|secret|token|passw(?:or)?d|auth|credential)[A-Za-z0-9_]*\s*[:=]\s*["''])([A-Za-z0-9+/=_.-]{16,})["'']', 2) AS v FROM all_lines),
-letters AS (SELECT DISTINCT v, unnest(string_split(v, '')) AS ch FROM generic WHERE v <> ''),
+SECRETS_SQL = r""", all_lines AS (SELECT row_number() OVER () AS nth, * FROM (SELECT file, line, content FROM code_lines UNION ALL SELECT 'doc.txt', CAST(doc_id AS INTEGER), unnest(string_split(text, chr(10))) FROM documents)),
+generic AS (SELECT nth, unnest(regexp_extract_all(content, '((?i:api_?key|apikey|secret|token|passw(?:or)?d|auth|credential)[A-Za-z0-9_]*\s*[:=]\s*["''])([A-Za-z0-9+/=_.-]{16,})["'']', 2)) AS v FROM all_lines),
+letters AS (SELECT DISTINCT v, unnest(string_split(v, '')) AS ch FROM generic),
 entropy AS (SELECT v, abs(-sum(p * log2(p))) AS bits FROM (SELECT v, CAST(length(v) - length(replace(v, ch, '')) AS DOUBLE) / length(v) AS p FROM letters) GROUP BY v),
+real AS (SELECT DISTINCT nth FROM generic JOIN entropy USING (v) WHERE bits >= 3.5 AND NOT regexp_matches(v, 'your[-_]|change[-_ ]?me|example|placeholder|dummy|sample|xxxx|<[^>]+>|todo|replace', 'i')),
 found AS (SELECT file, line, content, 'AWS Access Key ID' AS rule_name, 'high' AS confidence FROM all_lines WHERE regexp_matches(content, 'AKIA[0-9A-Z]{16}')
- UNION ALL SELECT file, line, content, 'Generic API Key or Token', 'medium' FROM generic JOIN entropy USING (v) WHERE bits >= 3.5 AND NOT regexp_matches(content, 'AKIA[0-9A-Z]{16}')
- AND NOT regexp_matches(content, 'your[-_]|change[-_ ]?me|example|placeholder|dummy|sample|xxxx|<[^>]+>|todo|replace', 'i'))"""
+ UNION ALL SELECT file, line, content, 'Generic API Key or Token', 'medium' FROM all_lines JOIN real USING (nth) WHERE NOT regexp_matches(content, 'AKIA[0-9A-Z]{16}'))"""
 
 
 @query(with_views(SECRETS_SQL + " SELECT file, line, rule_name, confidence FROM found", "code_lines"))
@@ -452,33 +452,29 @@ def latest_before_ready(s: SparkSession, d: str) -> DataFrame:
     return ev.latest(updates, ready)
 
 
-def commit_edges(s: SparkSession, d: str) -> DataFrame:
-    """child, parent over all of part; the root is key 0.
+def commit_edges(s: SparkSession, d: str) -> tuple[DataFrame, int, int]:
+    """child, parent over all of part, and two tips: the last key and the one 25 before it."""
+    last = s.read.parquet(f"{d}/part.parquet").agg(F.max("p_partkey")).first()[0]
+    return view(s, d, "commit_edges"), int(last), int(last) - 25
 
-    The view of the same name, for SQL, stops at key 200. Parents are less than
-    their children, so what tips below that reach is the same in both.
-    """
-    part = s.read.parquet(f"{d}/part.parquet").where("p_partkey > 0").select(F.col("p_partkey").cast("int").alias("child"))
-    second = part.where("child % 5 = 0").select("child", (F.col("child") - 3).alias("parent"))
-    return part.select("child", F.floor(F.col("child") / 2).cast("int").alias("parent")).unionByName(second)
 
-
-REACH_SQL = ", reach AS (SELECT t.tip AS tip, t.tip AS node FROM (SELECT 195 AS tip UNION ALL SELECT 170) t UNION SELECT reach.tip, e.parent FROM reach JOIN commit_edges e ON e.child = reach.node), a AS (SELECT node FROM reach WHERE tip = 195), b AS (SELECT node FROM reach WHERE tip = 170)"
+REACH_SQL = ", tips AS (SELECT CAST(max(p_partkey) AS INT) AS a, CAST(max(p_partkey) - 25 AS INT) AS b FROM part), reach AS (SELECT a AS tip, a AS node FROM tips UNION SELECT b, b FROM tips UNION SELECT reach.tip, e.parent FROM reach JOIN commit_edges e ON e.child = reach.node), a AS (SELECT node FROM reach WHERE tip = (SELECT a FROM tips)), b AS (SELECT node FROM reach WHERE tip = (SELECT b FROM tips))"
 
 
 @query(with_views(REACH_SQL + " SELECT (SELECT count(*) FROM (SELECT node FROM a EXCEPT SELECT node FROM b)) AS ahead_a, (SELECT count(*) FROM (SELECT node FROM b EXCEPT SELECT node FROM a)) AS ahead_b, (SELECT count(*) FROM (SELECT node FROM a EXCEPT SELECT node FROM b)) > 0 AND (SELECT count(*) FROM (SELECT node FROM b EXCEPT SELECT node FROM a)) > 0 AS diverged", "commit_edges", recursive=True))
 def commits_ahead(s: SparkSession, d: str) -> DataFrame:
-    return commits.commits_ahead(commit_edges(s, d), 195, 170)
+    return commits.commits_ahead(*commit_edges(s, d))
 
 
 @query(with_views(REACH_SQL + " SELECT node FROM a WHERE node NOT IN (SELECT node FROM b) AND node NOT IN (SELECT child FROM commit_edges GROUP BY child HAVING count(*) > 1)", "commit_edges", recursive=True))
 def unique_commits(s: SparkSession, d: str) -> DataFrame:
-    return commits.unique_commits(commit_edges(s, d), 170, 195, merges=False)
+    edges, a, b = commit_edges(s, d)
+    return commits.unique_commits(edges, b, a, merges=False)
 
 
 @query(with_views(REACH_SQL + ", c AS (SELECT node FROM a INTERSECT SELECT node FROM b) SELECT node FROM c WHERE node NOT IN (SELECT parent FROM commit_edges JOIN c ON c.node = child)", "commit_edges", recursive=True))
 def merge_base(s: SparkSession, d: str) -> DataFrame:
-    return commits.merge_bases(commit_edges(s, d), 195, 170)
+    return commits.merge_bases(*commit_edges(s, d))
 
 
 REFS_SQL = "refs AS (SELECT concat(CASE n_nationkey % 3 WHEN 0 THEN 'refs/heads/' WHEN 1 THEN 'refs/remotes/' ELSE '' END, n_name) AS name, md5(n_name) AS sha FROM nation UNION ALL SELECT concat('refs/remotes/', n_name), md5(concat('r', n_name)) FROM nation WHERE n_nationkey % 3 = 0)"

@@ -43,7 +43,7 @@ CALL_SITES = """SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'A' ELSE 'B' END AS ref
 
 DEVICE_EVENTS = """SELECT user_id AS device_id, event_id, ts, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS success FROM events"""
 
-COMMIT_EDGES = """SELECT CAST(p_partkey AS INT) AS child, CAST(floor(p_partkey / 2) AS INT) AS parent FROM part WHERE p_partkey BETWEEN 2 AND 200 UNION ALL SELECT CAST(p_partkey AS INT), CAST(p_partkey - 3 AS INT) FROM part WHERE p_partkey BETWEEN 5 AND 200 AND p_partkey % 5 = 0"""
+COMMIT_EDGES = """SELECT CAST(p_partkey AS INT) AS child, CAST(floor(p_partkey / 2) AS INT) AS parent FROM part WHERE p_partkey > 1 UNION ALL SELECT CAST(p_partkey AS INT), CAST(p_partkey - 3 AS INT) FROM part WHERE p_partkey > 4 AND p_partkey % 5 = 0"""
 
 # Files of both branches, with a status, and the paths in conflict.
 FILES = """SELECT path, old_path, CASE WHEN k % 9 = 0 THEN 'deleted' WHEN k % 4 = 0 THEN 'added' ELSE 'modified' END AS status, k % 31 = 0 AS is_binary, side FROM (
