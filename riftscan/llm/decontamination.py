@@ -9,13 +9,16 @@ shuffled; only verified hits are. A benchmark of more windows than
 broadcast stays bounded.
 
 Words are runs of characters other than ASCII non-alphanumerics after A-Z is
-lower-cased. The look-up lower-cases all letters, which keeps word boundaries
-and can only add hits; the verification lower-cases A-Z alone.
+lower-cased; texts and items are folded alike, by A-Z alone, so a window's key
+depends on its own words only. Each text is cut into words once; the words go
+along with its windows, and verifying a hit looks at that window's words alone,
+so a text that is all benchmark takes time in proportion to its length.
 
 Defined results: a null or wordless text has no words, no hits and is clean;
-null or wordless items have no windows; an item given twice counts once;
-repeated rows get a result each; an empty table gives an empty result; other
-columns are ignored by ``scan`` and kept by ``decontaminate``.
+null or wordless items have no windows; an item given twice counts once; a
+very long text is scanned like any other; repeated rows get a result each; an
+empty table gives an empty result; other columns are ignored by ``scan`` and
+kept by ``decontaminate``.
 """
 
 from __future__ import annotations
@@ -36,22 +39,33 @@ MAX_WINDOWS = 500_000
 SHARE = 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ANY_CASE_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def split_words(lowered: Column) -> Column:
-    """Words of a lower-cased text; only the first and last part can be empty."""
+def folded(text: Column) -> Column:
+    """A-Z lower-cased; a null text is empty."""
+    return F.when(text.rlike("[A-Z]"), F.translate(text, UPPER, LOWER)).otherwise(F.coalesce(text, F.lit("")))
+
+
+def split_words(text: Column, gap: str = GAP) -> Column:
+    """Words of a folded text; only the first and last part can be empty."""
 
     def inner(parts: Column) -> Column:
         head = F.when(F.element_at(parts, 1) == "", 1).otherwise(0)
         tail = F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
         return F.slice(parts, head + 1, F.size(parts) - head - tail)
 
-    return let(F.split(F.coalesce(lowered, F.lit("")), GAP), inner)
+    return let(F.split(text, gap), inner)
+
+
+def n_words(text: Column) -> Column:
+    """Number of words; where words end doesn't depend on their case."""
+    return F.size(split_words(F.coalesce(text, F.lit("")), ANY_CASE_GAP)).cast("long")
 
 
 def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
     """words, size, items of each distinct window."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.filter(F.split(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), GAP), lambda w: w != "").alias("all")).where(F.size("all") > 0)
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), split_words(folded(F.col("text"))).alias("all")).where(F.size("all") > 0)
     size = F.least(F.size("all"), F.lit(window))
     starts = items.withColumn("size", size).withColumn("at", F.explode(F.sequence(F.lit(1), F.size("all") - F.col("size") + 1)))
     return starts.select(F.slice("all", F.col("at"), F.col("size")).alias("words"), "size", "item").groupBy("words", "size").agg(F.array_sort(F.collect_set("item")).alias("items"))
@@ -64,22 +78,17 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def hits(docs: DataFrame, windows: DataFrame, key_words: int) -> DataFrame:
     """scan_id, scan_key, at, size, items of each occurrence of ``windows``, all of ``key_words`` words at least."""
-    wanted = windows.select(
-        F.xxhash64(F.lower(F.array_join(F.slice("words", 1, key_words), " "))).alias("window_key"), F.array_join("words", " ").alias("wanted"), F.col("size").alias("wanted_size"), "items"
-    )
+    wanted = windows.select(F.xxhash64(F.slice("words", 1, key_words)).alias("window_key"), F.col("words").alias("wanted"), F.col("size").alias("wanted_size"), "items")
 
     def keys(words: Column) -> Column:
-        return F.when(F.size(words) >= key_words, F.transform(F.sequence(F.lit(1), F.size(words) - key_words + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, key_words), " "))))
-
-    scanned = keyed(docs).select(F.col("doc_id").alias("scan_id"), "scan_key", "text", let(split_words(F.lower("text")), keys).alias("keys"))
-    places = scanned.select("scan_id", "scan_key", "text", F.posexplode_outer("keys").alias("at", "window_key"))
-    # Without lambdas the match and its verification stay in one generated stage; the first part of a split may be empty, so the window starts one later then.
-    parts = F.split(F.translate("text", UPPER, LOWER), GAP)
-    shift = F.when(F.element_at(parts, 1) == "", 2).otherwise(1)
-    found = F.array_join(F.slice(parts, F.col("at") + shift, F.col("wanted_size")), " ")
+        each = F.transform(F.sequence(F.lit(1), F.size(words) - key_words + 1), lambda i: F.xxhash64(F.slice(words, i, key_words)))
+        return F.struct(words.alias("words"), F.when(F.size(words) >= key_words, each).alias("keys"))
+
+    scanned = keyed(docs).select(F.col("doc_id").alias("scan_id"), "scan_key", let(split_words(folded(F.col("text"))), keys).alias("s"))
+    places = scanned.select("scan_id", "scan_key", F.col("s.words").alias("words"), F.posexplode("s.keys").alias("at", "window_key"))
     return (
         places.join(F.broadcast(wanted), "window_key")
-        .where(found == F.col("wanted"))
+        .where(F.slice("words", F.col("at") + 1, F.col("wanted_size")) == F.col("wanted"))
         .select("scan_id", "scan_key", F.col("at").cast("long").alias("at"), F.col("wanted_size").cast("long").alias("size"), "items")
     )
 
@@ -112,7 +121,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_window
         .groupBy("scan_id", "scan_key")
         .agg(F.collect_set(F.struct("at", "size")).alias("hit_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("hit_items"))
     )
-    rows = keyed(docs).withColumn("n_words", F.size(split_words(F.lower("text"))).cast("long")).alias("d")
+    rows = keyed(docs).withColumn("n_words", n_words(F.col("text"))).alias("d")
     joined = rows.join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.scan_id")) & (F.col("d.scan_key") == F.col("f.scan_key")), "left")
     return joined.select(
         *[F.col(f"d.`{c}`") for c in docs.columns if c not in ("n_words", "n_hit", "hit_items", "hit_spans")],
