@@ -34,6 +34,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def running(values: Column, state: Column, item: str, step: Callable[[Column, Column], tuple[Column, Column]], chunk: int = 256) -> Column:
+    """What a fold gives on its way, as one array of type ``item``.
+
+    ``step(state, value)`` returns the next state and an array of what the
+    value gives. Appending copies an array, so values are folded in chunks
+    whose results are joined at the end: time is in proportion to ``values``
+    but for one copied reference for each pair of chunks.
+    """
+
+    def inner(acc: Column, x: Column) -> Column:
+        now, out = step(acc["state"], x)
+        return F.struct(now.alias("state"), F.concat(acc["out"], out).alias("out"))
+
+    def outer(acc: Column, k: Column) -> Column:
+        zero = F.struct(acc["state"].alias("state"), F.array().cast(f"array<{item}>").alias("out"))
+        part = F.aggregate(F.slice(values, k * chunk + 1, chunk), zero, inner)
+        return let(part, lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    zero = F.struct(state.alias("state"), F.array().cast(f"array<array<{item}>>").alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / chunk).cast("int")), zero, outer, lambda acc: F.flatten(acc["out"]))
+
+
 def packed(docs: DataFrame, *columns: str) -> DataFrame:
     """The given columns, and the whole row beside them as ``row``: no name of an operator's own can clash with the input's."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *columns)

@@ -3,7 +3,7 @@
 Four base patterns (e-mail, IP address, card, phone) with their validity rules
 always count. Beyond them, high-recall generators propose overlapping spans
 (spelled-out addresses, national phone numbers, identity and bank numbers,
-credentials, unspaced or failing variants of the base kinds). Each candidate
+credentials of any length, unspaced or failing variants of the base kinds). Each candidate
 gets yes-or-no features of its format (length, digits, separators, check
 digits, character mix) and of its context (words before it, what follows it);
 boosted trees add up a score, and a calibrated threshold for each kind selects
@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riftscan.llm.base import let, packed, table, unpacked
+from riftscan.llm.base import let, packed, running, table, unpacked
 
 LOCAL = r"A-Za-z0-9._%+-"
 EMAIL = rf"(?:(?<![{LOCAL}])|\G)[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -48,7 +48,7 @@ PROPOSED = ("address", "national", "number", "bank", "secret")
 KINDS = BASE + PROPOSED
 #: Proposed kinds: what a text must hold for the search to start, and the pattern.
 GENERATORS = {
-    "address": (r"(?i)[\[(\x20](?:at|@)[\])\x20]", r"(?i)(?<![a-z0-9._+-])[a-z0-9._+-]{2,64}+(?:\x20?[\[(](?:at|@)[\])]\x20?|\x20at\x20)[a-z0-9-]{2,63}+(?:(?:\x20?[\[(](?:dot|\.)[\])]\x20?|\x20dot\x20|\.)[a-z0-9-]{2,63}+){1,3}"),
+    "address": (r"(?i)[\[(\x20](?:at|@)[\])\x20]", r"(?i)(?<![a-z0-9._+-])[a-z0-9._+-]{2,}+(?:\x20?[\[(](?:at|@)[\])]\x20?|\x20at\x20)[a-z0-9-]{2,}+(?:(?:\x20?[\[(](?:dot|\.)[\])]\x20?|\x20dot\x20|\.)[a-z0-9-]{2,}+)++"),
     "national": (r"[0-9][\x20./-][0-9]|\)", r"(?<![0-9+.-])(?:\([0-9]{2,5}\)\x20?|[0-9]{2,5}[\x20./-])[0-9]{2,4}[\x20.-][0-9]{2,4}(?:[\x20.-][0-9]{2,4})?(?![0-9])"),
     "number": (r"[0-9]{3}", r"(?<![0-9A-Za-z])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{8}[A-Z]|[0-9]{9,19})(?![0-9A-Za-z])"),
     "bank": (r"[A-Z]{2}[0-9]{2}", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[0-9A-Z]{4}){2,7}(?:\x20?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"),
@@ -59,25 +59,33 @@ SPAN = "struct<start:int,kind:int,end:int>"
 
 
 def stretches(text: Column, pattern: str, keep, kind: int, wide: bool = False) -> Column:
-    """Spans of the matches that ``keep`` holds for, with their surroundings if ``wide``."""
+    """Spans of the matches that ``keep`` holds for, with their surroundings if ``wide``.
+
+    Places and surroundings come from the gaps between matches, never from the
+    text's beginning, so a text takes time in proportion to its length.
+    """
     item = "struct<start:int,kind:int,end:int,value:string,before:string,after:string>" if wide else SPAN
 
     def located(found: Column) -> Column:
-        gaps = F.split(text, pattern, -1)
-        pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, v: F.struct(F.length(g).alias("gap"), v.alias("value")))
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{item}>").alias("spans"))
+        return let(F.split(text, pattern, -1), lambda gaps: of_gaps(found, gaps))
+
+    def of_gaps(found: Column, gaps: Column) -> Column:
+        def fields(v: Column, i: Column) -> Column:
+            after = [F.substring(F.concat(F.get(gaps, i + 1), F.coalesce(F.get(found, i + 1), F.lit(""))), 1, AFTER).alias("after")] if wide else []
+            return F.struct(F.get(gaps, i).alias("gap"), v.alias("value"), *after)
 
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["at"] + x["gap"]
+        def step(state: Column, x: Column) -> tuple[Column, Column]:
+            start = (state["at"] if wide else state) + F.length(x["gap"])
             end = start + F.length(x["value"])
-            fields = [start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")]
+            out = [start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")]
             if wide:
-                first = F.greatest(F.lit(0), start - BEFORE)
-                fields += [x["value"].alias("value"), F.lower(F.substring(text, first + 1, start - first)).alias("before"), F.substring(text, end + 1, F.lit(AFTER)).alias("after")]
-            new = F.concat(acc["spans"], F.array(F.struct(*fields)))
-            return F.struct(end.alias("at"), F.when(keep(x["value"]), new).otherwise(acc["spans"]).alias("spans"))
+                before = F.substring(F.concat(state["tail"], x["gap"]), -BEFORE, BEFORE)
+                out += [x["value"].alias("value"), F.lower(before).alias("before"), x["after"].alias("after")]
+                end = F.struct(end.alias("at"), F.substring(F.concat(before, x["value"]), -BEFORE, BEFORE).alias("tail"))
+            return end, F.when(keep(x["value"]), F.array(F.struct(*out))).otherwise(none)
 
-        return F.aggregate(pairs, zero, step, lambda acc: acc["spans"])
+        zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail")) if wide else F.lit(0)
+        return let(F.transform(found, fields), lambda pairs: running(pairs, zero, item, step))
 
     none = F.array().cast(f"array<{item}>")
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) == 0, none).otherwise(located(found)))
@@ -319,8 +327,19 @@ def find(docs: DataFrame, model: Model) -> DataFrame:
     base = docs.withColumn("pii_base", F.array(*base_spans(text)))
 
     def all_spans(flat: Column) -> Column:
-        more = F.filter(selected(text, model), lambda s: ~F.exists(flat, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
-        return F.sort_array(F.array_distinct(F.concat(flat, more)))
+        mark = lambda spans, proposed: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(proposed).alias("proposed"), s["kind"].alias("kind"), s["end"].alias("end")))
+        none = F.array().cast(f"array<{SPAN}>")
+
+        def step(reach: Column, s: Column) -> tuple[Column, Column]:
+            """A proposed span goes if a base span that starts no later reaches its end."""
+            keep = s["proposed"] & (s["end"] > reach)
+            return F.when(s["proposed"], reach).otherwise(F.greatest(reach, s["end"])), F.when(keep, F.array(F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))).otherwise(none)
+
+        def merged(more: Column) -> Column:
+            outside = let(F.sort_array(F.concat(mark(flat, False), mark(more, True))), lambda every: running(every, F.lit(0), SPAN, step))
+            return F.when(F.size(more) == 0, F.sort_array(flat)).otherwise(F.sort_array(F.concat(flat, outside)))
+
+        return let(selected(text, model), merged)
 
     return base.withColumn("pii_spans", let(F.flatten("pii_base"), all_spans))
 
@@ -331,23 +350,36 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat(F.get(names, s["kind"]), F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
 
 
+#: Code points of the pieces out of which the stretches between spans are cut.
+PIECE = 4096
+
+
+def stretch(pieces: Column, a: Column, b: Column) -> Column:
+    """Code points a to b of the text whose pieces are given."""
+    first, last = F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")
+    head = F.substring(F.get(pieces, first), a % PIECE + 1, F.when(first == last, b - a).otherwise(F.lit(PIECE)))
+    more = F.concat(F.array_join(F.slice(pieces, first + 2, last - first - 1), ""), F.coalesce(F.substring(F.get(pieces, last), F.lit(1), b % PIECE), F.lit("")))
+    return F.when(a >= b, F.lit("")).when(first == last, head).otherwise(F.concat(head, more))
+
+
 def redact(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with each span replaced by its kind in brackets (overlapping spans by the first one's)."""
     names = F.array(*[F.lit(k.upper()) for k in KINDS])
     text = F.col("text")
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    item = "struct<at:int,start:int,kind:int>"
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        new = F.concat(acc["parts"], F.array(gap, F.concat(F.lit("["), F.get(names, s["kind"]), F.lit("]"))))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], new).otherwise(acc["parts"]).alias("parts"))
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        new = F.array(F.struct(at.alias("at"), s["start"].alias("start"), s["kind"].alias("kind")))
+        return F.greatest(at, s["end"]), F.when(s["start"] >= at, new).otherwise(F.array().cast(f"array<{item}>"))
 
-    def rest(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
+    def clean(pieces: Column) -> Column:
+        parts = F.transform(running(F.col("pii_spans"), F.lit(0), item, step), lambda x: F.concat(stretch(pieces, x["at"], x["start"]), F.lit("["), F.get(names, x["kind"]), F.lit("]")))
+        rest = stretch(pieces, F.array_max(F.transform("pii_spans", lambda s: s["end"])), F.length(text))
+        return F.concat(F.array_join(parts, ""), rest)
 
     found = find(packed(docs, "text"), model)
-    clean = F.when(F.size("pii_spans") == 0, text).otherwise(F.aggregate("pii_spans", zero, step, rest))
-    return unpacked(found, docs.columns, text=clean)
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return unpacked(found, docs.columns, text=F.when(F.size("pii_spans") == 0, text).otherwise(let(pieces, clean)))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
