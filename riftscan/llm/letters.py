@@ -10,7 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from riftscan.llm.shingles import mix, stream
+from riftscan.llm.shingles import BASE, INVERSE, mix, powers, stream
 
 _U = np.uint64
 
@@ -61,20 +61,17 @@ def word_features(codes: np.ndarray, heads: np.ndarray, prefixes: tuple[int, ...
     stop = np.flatnonzero(letter & np.concatenate([~letter[1:], [True]])) + 1
     if not len(start):
         return np.zeros(0, dtype=_U), np.zeros(0, dtype=np.int64)
-    values = mix(codes.astype(_U) + _U(1))
     size = stop - start
-    longest = int(min(size.max(), 40))
-    place = stream(43, longest) | _U(1)
     text = np.searchsorted(heads, start, side="right") - 1
-    sums, hashes, owners = np.zeros(len(start), dtype=_U), [], []
-    for k in range(longest):  # a word's first 40 letters and its length name it
-        on = np.flatnonzero(size > k) if k else slice(None)
-        sums[on] += values[start[on] + k] * place[k]
-        if k + 1 in prefixes:
-            some = np.flatnonzero(size >= k + 1)
-            hashes.append(mix(sums[some] + _U(k + 1)))
-            owners.append(text[some])
-    hashes.append(mix(sums + size.astype(_U) * _U(0x9E3779B97F4A7C15)))
+    n = len(codes)
+    sums = np.concatenate([np.zeros(1, dtype=_U), np.cumsum(mix(codes.astype(_U) + _U(1)) * powers(BASE, n), dtype=_U)])
+    back = powers(INVERSE, n + 1)
+    hashes, owners = [], []
+    for k in prefixes:
+        some = np.flatnonzero(size >= k)
+        hashes.append(mix((sums[start[some] + k] - sums[start[some]]) * back[start[some]] + _U(k)))
+        owners.append(text[some])
+    hashes.append(mix((sums[stop] - sums[start]) * back[start] + size.astype(_U) * _U(0x9E3779B97F4A7C15)))
     owners.append(text)
     h, t = np.concatenate(hashes), np.concatenate(owners)
     order = np.lexsort((h, t))

@@ -2,24 +2,29 @@
 
 A logistic model over the words and word beginnings that a text holds. Its
 features are those that labelled toxic texts hold significantly more often
-than clean ones. For labelled texts that mention a group of people, the
-mention is swapped for other groups, and the squared change of the score is
-penalised in training: weights that would tell groups apart are driven to
-zero, so neutral mentions don't raise the score.
-
-At most about ``SAMPLE`` labelled rows are read (chosen by a hash of doc_id)
-and ``FEATURES`` features kept; counting and scoring are distributed, the fit
-runs on the driver over the kept features alone. Scores cover whole texts of
-all rows and use the text alone.
+than clean ones, and those of all ``IDENTITY_TERMS``, whether texts hold them
+or not. Every labelled text is paired with counterfactuals: a mention of a
+group of people is swapped for other groups, and a text without one gets a
+mention. The squared change of the score is penalised in training, so weights
+that would tell groups apart, or a mention from none, are driven to zero and
+neutral mentions don't raise the score.
+
+At most about ``SAMPLE`` labelled rows are read (chosen by a hash of doc_id),
+which bounds the features too; counting and scoring are distributed, the fit
+runs on the driver over the features that the sample's texts hold. Scores
+cover whole texts of all rows and use the text alone; words of any length
+count by all their letters.
 
 Defined results: a null text is empty; an empty text holds no feature and
 gets the model's base score; without labels of both kinds every score is 0;
-repeated rows get equal scores; an empty table gives an empty result; other
-columns are ignored.
+a very long text is scored as a whole; repeated rows get equal scores; equal
+scores stay equal (there is no order); an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +37,6 @@ from riftscan.llm.base import bounded, cut, table, text_slices
 from riftscan.llm.letters import letters, word_features
 
 SAMPLE = 12_000
-FEATURES = 4_096
 MIN_TEXTS = 3
 MIN_G2 = 13.0
 SWAPS = 6
@@ -96,25 +100,36 @@ def lookup(features: np.ndarray, h: np.ndarray, t: np.ndarray) -> tuple[np.ndarr
     return at[known].astype(np.int64), t[known]
 
 
+def counterfactuals(held: list[list[int]], identity: list[list[int]], swaps: int = SWAPS) -> dict[tuple[tuple[int, float], ...], int]:
+    """How often each change of features occurs: for each text, mentions of groups out and others in.
+
+    A text that mentions groups has each mention swapped for ``swaps`` others;
+    any other text has ``swaps`` mentions put in. Terms take turns.
+    """
+    terms = [t for t in map(sorted, map(set, identity)) if t]
+    seen: dict[tuple[tuple[int, float], ...], int] = defaultdict(int)
+    for i, h in enumerate(held if terms else []):
+        has = set(h)
+        said = [t for t in terms if has.issuperset(t)]
+        for out in said or [[]]:
+            left = has.difference(out)
+            for s in range(swaps):
+                new = left.union(terms[(i * swaps + s) % len(terms)])
+                change = tuple(sorted([(f, 1.0) for f in new - has] + [(f, -1.0) for f in has - new]))
+                if change:
+                    seen[change] += 1
+    return dict(seen)
+
+
 def fit(held: list[list[int]], toxic: np.ndarray, n_features: int, identity: list[list[int]]) -> tuple[np.ndarray, float]:
     """Weights and bias. ``identity``: the features of each identity term."""
     row = np.repeat(np.arange(len(held)), [len(h) for h in held])
     col = np.array([f for h in held for f in h], dtype=np.int64)
-    # Counterfactual differences: a text's identity term out, another one in.
-    d_row, d_col, d_val, n_swaps = [], [], [], 0
-    terms = [sorted(set(t)) for t in identity]
-    for h in held:
-        has = set(h)
-        for k, term in enumerate(terms):
-            if term and has.issuperset(term):
-                for s in range(1, SWAPS + 1):
-                    other = terms[(k + s * 7) % len(terms)]
-                    for f in set(term) ^ set(other):
-                        d_row.append(n_swaps)
-                        d_col.append(f)
-                        d_val.append(1.0 if f in other else -1.0)
-                    n_swaps += 1
-    d_row, d_col, d_val = np.array(d_row, dtype=np.int64), np.array(d_col, dtype=np.int64), np.array(d_val)
+    changes = counterfactuals(held, identity)
+    d_row = np.repeat(np.arange(len(changes)), [len(c) for c in changes])
+    d_col = np.array([f for c in changes for f, _ in c], dtype=np.int64)
+    d_val = np.array([v for c in changes for _, v in c])
+    often = np.array(list(changes.values()), dtype=np.float64)
     n = len(held)
     w, b = np.zeros(n_features), float(np.log((toxic.sum() + 0.5) / (n - toxic.sum() + 0.5)))
     m1, m2 = np.zeros(n_features + 1), np.zeros(n_features + 1)
@@ -122,9 +137,9 @@ def fit(held: list[list[int]], toxic: np.ndarray, n_features: int, identity: lis
         z = b + np.bincount(row, weights=w[col], minlength=n)
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic) / n
         grad = np.bincount(col, weights=error[row], minlength=n_features) + RIDGE * w / n
-        if n_swaps:
-            change = np.bincount(d_row, weights=d_val * w[d_col], minlength=n_swaps)
-            grad += 2 * SWAP_PENALTY / n_swaps * np.bincount(d_col, weights=d_val * change[d_row], minlength=n_features)
+        if len(often):
+            change = often * np.bincount(d_row, weights=d_val * w[d_col], minlength=len(often))
+            grad += 2 * SWAP_PENALTY / often.sum() * np.bincount(d_col, weights=d_val * change[d_row], minlength=n_features)
         g = np.append(grad, error.sum())
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         move = 0.05 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
@@ -153,13 +168,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     g2 = 2 * (term(F.col("bad"), df * n_bad / all_) + term(F.col("good"), df * n_good / all_) + term(n_bad - F.col("bad"), (all_ - df) * n_bad / all_) + term(n_good - F.col("good"), (all_ - df) * n_good / all_))
     telling = counts.where((F.col("bad") >= MIN_TEXTS) & (F.col("bad") * n_good > 2 * F.col("good") * n_bad)).withColumn("g2", g2).where(F.col("g2") >= MIN_G2)
-    best = telling.orderBy(F.desc("g2"), "feature").limit(FEATURES).collect()
-    features = np.sort(np.array([r["feature"] for r in best], dtype=np.int64).view(np.uint64))
-    if not len(features):
-        return Model(features, np.zeros(0), float(np.log(n_bad / n_good)))
+    terms = features_of(IDENTITY_TERMS)
+    found = np.array([r["feature"] for r in telling.select("feature").collect()], dtype=np.int64).view(np.uint64)
+    features = np.unique(np.concatenate([found, *terms]))
     held = rows.mapInArrow(held_features(features), "doc_id bigint, toxic int, held array<bigint>").collect()
     held.sort(key=lambda r: (r["doc_id"], len(r["held"])))
-    identity = [lookup(features, h, np.zeros(len(h), dtype=np.int64))[0].tolist() for h in features_of(IDENTITY_TERMS)]
+    identity = [lookup(features, h, np.zeros(len(h), dtype=np.int64))[0].tolist() for h in terms]
     weights, bias = fit([list(r["held"]) for r in held], np.array([float(r["toxic"]) for r in held]), len(features), identity)
     return Model(features, weights, bias)
 
