@@ -9,14 +9,16 @@ for each language, the count that false positives alone would give is taken
 off, and the largest count decides.
 
 The filter's size is fixed (``POSITIONS`` masks), a language has at most
-1 / ``MIN_RATE`` n-grams, and at most about ``SAMPLE`` training rows are read
-(chosen by a hash of doc_id); counting is distributed. Prediction covers whole
+1 / ``MIN_RATE`` n-grams, and at most about ``SAMPLE`` training rows are read,
+the same number for each language, or all its rows if there are fewer (chosen
+by a hash of id and text); counting is distributed. Prediction covers whole
 texts of all rows and uses the text alone.
 
 Defined results: a null text or one without a letter is ``und`` with score 0;
 a text that meets no known n-gram gets the language with most training rows,
 score 0; ties go to the first language by name; without training rows every
-text is ``und``; repeated rows get equal results; an empty table gives an
+text is ``und``; a very long text is read as a whole; repeated rows get equal
+results; an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -90,8 +92,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Filters:
     if not per_lang:
         return build([], [], 0, 64)
     languages = sorted(per_lang)
-    share = min(1.0, sample / sum(per_lang.values()))
-    chosen = bounded(rows).where("text is not null").where(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1_000_000)) < int(np.ceil(share * 1_000_000)))
+    cuts = [(name, int(np.ceil(min(1.0, sample / len(languages) / n) * (1 << 40)))) for name, n in per_lang.items()]
+    shares = F.broadcast(docs.sparkSession.createDataFrame(cuts, "lang string, cut bigint"))
+    chosen = bounded(rows).where("text is not null").join(shares, "lang").where(F.pmod(F.xxhash64(F.lit(1), "doc_id", "text"), F.lit(1 << 40)) < F.col("cut"))
     counts = chosen.mapInArrow(count_grams, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rates = counts.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("rate")).where(F.col("rate") >= MIN_RATE)
