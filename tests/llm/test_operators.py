@@ -724,3 +724,158 @@ def test_letters():
     codes, heads = letters.letters(data, offsets)
     got = ["".join(chr(c) if c else "_" for c in codes[a:b]) for a, b in zip(heads, heads[1:])]
     assert [g.strip("_") for g in got] == ["ab_c", "", "é", "", "x"] and all(g.startswith("_") for g in got)
+
+
+@pytest.mark.parametrize("odd_word", ["ΑΣ.Β", "İ", "K", "ΑΣ'Σ", "ÉCOLE", "ǅ", "ß"])
+def test_op8_case(spark, odd_word):
+    """An item is found in itself, and in other cases of A-Z alone, whatever letters stand where."""
+    item = f"alpha {odd_word} gamma delta Epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
+    texts = [item, item.replace("alpha", "ALPHA"), item.lower(), item.upper(), f"x. {item} y", item.replace(" ", "\n..")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = check_scan(docs, spark.createDataFrame([("i", item)], "item_id string, text string"))
+    assert next(r for r in rows if r.text == item).n_hit == len(words_of(item))
+
+
+def test_op8_linear(spark):
+    """A text that is all benchmark takes time in proportion to its length."""
+    item = " ".join(f"w{k}" for k in range(40))
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    seconds = []
+    for n in (2_000, 2_000, 8_000):  # the first one warms up
+        docs = spark.createDataFrame([(1, (item + ". ") * n)], "doc_id bigint, text string").repartition(1)
+        began = time.time()
+        assert decontamination.scan(docs, bench).first().n_hit == 40 * n
+        seconds.append(time.time() - began)
+    assert seconds[2] < 8 * seconds[1] + 5
+
+
+# Plain-Python predictions
+
+M64 = (1 << 64) - 1
+
+
+def mix_of(x):
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & M64
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & M64
+    return x ^ (x >> 31)
+
+
+def runs_of(text):
+    """Lower-case letters of a text, a blank for what lies between."""
+    low = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text)
+    return " " + re.sub(" +", " ", low).strip(" ") + " "
+
+
+def test_op1_by_hand(spark):
+    """Popcounts of the masks of each 4-gram, false positives taken off, decide; by plain Python."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    f = language.train(docs)
+    place = [int(x) for x in shingles.stream(41, 4) | np.uint64(1)]
+    rates, masks = f.false_rate(), [int(m[0]) for m in f.masks]
+    got = {r.doc_id: r for r in language.identify(docs, f).collect()}
+    for r in docs.collect():
+        s = runs_of(r.text or "")
+        if not any(c.isalpha() for c in s):
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        counts, total = [0] * len(f.languages), 0
+        for k in range(len(s) - 3):
+            h = mix_of(sum((0 if c == " " else ord(c)) * p for c, p in zip(s[k : k + 4], place)) & M64)
+            step, mask = mix_of(h) | 1, -1
+            for j in range(language.HASHES):
+                mask &= masks[((h + j * step) & M64) % len(masks)]
+            total += 1
+            for i in range(len(counts)):
+                counts[i] += mask >> i & 1
+        fair = [(c - total * rates[i]) / (1 - rates[i]) for i, c in enumerate(counts)]
+        best = max(range(len(fair)), key=lambda i: (fair[i], -i))
+        assert got[r.doc_id].lang_pred == (f.languages[best] if fair[best] > 0 else f.languages[f.common])
+        assert got[r.doc_id].score == pytest.approx(min(1, max(0, fair[best] / max(1, total))) if fair[best] > 0 else 0)
+
+
+def test_op1_rare_language(spark):
+    """A language of few rows is learned beside one of very many, whatever the sample."""
+    rows = [(k, f"alpha beta gamma number{k}", "xx") for k in range(4000)] + [(10_000 + k, "wortwahl zwischenzeit schlange", "yy") for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    f = language.train(docs, sample=100)
+    ask = spark.createDataFrame([(1, "schlange wortwahl"), (2, "gamma beta")], "doc_id bigint, text string")
+    assert {r.doc_id: r.lang_pred for r in language.identify(ask, f).collect()} == {1: "yy", 2: "xx"}
+
+
+def feature_hashes(text):
+    """Hashes of the words and of their first four and five letters, by plain Python."""
+    base, out = shingles.BASE, set()
+    for w in runs_of(text).split():
+        value = lambda k: sum(mix_of(ord(c) + 1) * pow(base, i, 1 << 64) for i, c in enumerate(w[:k])) & M64
+        out |= {mix_of((value(k) + k) & M64) for k in (4, 5) if len(w) >= k}
+        out.add(mix_of((value(len(w)) + len(w) * 0x9E3779B97F4A7C15) & M64))
+    return out
+
+
+def test_op5_by_hand(spark):
+    """Scores are the logistic sum of the weights of what a text holds, by plain Python; long words differ in any letter."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    m = toxicity.train(docs, labels)
+    weight = dict(zip([int(x) for x in m.features], m.weights))
+    some = docs.where("doc_id < 60").select("doc_id", "text")
+    got = {r.doc_id: r.score for r in toxicity.score(some, m).collect()}
+    for r in some.collect():
+        z = m.bias + sum(weight.get(h, 0.0) for h in feature_hashes(r.text or ""))
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-max(-30, min(30, z)))))
+    a, b = toxicity.features_of(["x" * 60 + "a", "x" * 60 + "b"])
+    assert len(set(a.tolist()) & set(b.tolist())) == 2
+
+
+def test_op5_mentions(spark):
+    """On the given labels the penalty has pairs to act on, and no identity term moves a clean text's score."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    seen, real = [], toxicity.counterfactuals
+    toxicity.counterfactuals = lambda *a, **k: seen.append(real(*a, **k)) or seen[-1]
+    try:
+        m = toxicity.train(docs, labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
+    finally:
+        toxicity.counterfactuals = real
+    assert sum(seen[0].values()) >= 6 * 300  # six for each labelled text
+    clean = labels.where("toxic = 0").where(F.crc32(F.col("doc_id").cast("string")) % 5 == 0).join(docs, "doc_id").select("doc_id", "text").limit(20)
+    rows = [(k, r.text, t) for k, r in enumerate(clean.collect()) for t in ("", *toxicity.IDENTITY_TERMS)]
+    ask = spark.createDataFrame([(k, f"{text} {term}") for k, text, term in rows], "doc_id bigint, text string")
+    scores = [r.score for r in toxicity.score(ask.coalesce(1), m).collect()]
+    step = 1 + len(toxicity.IDENTITY_TERMS)
+    moved = [abs(scores[k] - scores[k - k % step]) for k in range(len(scores))]
+    assert max(moved) < 0.02
+
+
+# Trees and thresholds as columns
+
+
+def test_op3_trees(spark, model):
+    """Trees and thresholds give as columns what they give in Python."""
+    rows = pii.snippets(seed=11, n=12)
+    c, d = F.col("c"), pii.digits_of(F.col("c.value"))
+    frame = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(rows)], "k int, text string")
+    held = F.array(*[F.coalesce(f, F.lit(False)) for f in pii.feature_columns(c, d).values()])
+    spans = pii.selected(F.col("text"), model)
+    seen = frame.withColumn("picked", spans).select("k", "picked", F.explode(pii.candidates(F.col("text"))).alias("c")).select("k", "picked", "c", held.alias("x")).collect()
+    x = np.array([r.x for r in seen], dtype=float)
+    scores = sum(pii.leaf_values(t, x) for t in model.trees)
+    for r, s in zip(seen, scores):
+        assert ((r.c.start, r.c.kind, r.c.end) in {tuple(p) for p in r.picked}) == (s >= model.cuts[pii.KINDS[r.c.kind]])
+    assert len(seen) > 100 and 0 < sum(len(r.picked) > 0 for r in seen) < len(seen)
+
+
+def test_op3_linear(spark, model):
+    """Texts full of personal data take time in proportion to their length, and are redacted throughout."""
+    line = 'mail ab@cd.ef or 10.0.0.1, card 4111 1111 1111 1111, token = "k3Jf9sLq2Zx8Vb7Nw4Tr6Yp1" é😀\n'
+    seconds = []
+    for n in (400, 400, 1600):  # the first one warms up
+        df = spark.createDataFrame([(1, line * n)], "doc_id bigint, text string").repartition(1)
+        began = time.time()
+        assert pii.redact(df, model).first().text == 'mail [EMAIL] or [IP], card [CARD], token = "[SECRET]" é😀\n' * n
+        seconds.append(time.time() - began)
+    assert seconds[2] < 8 * seconds[1] + 5
+
+
+def test_op3_long_address(spark, model):
+    text = "write to " + "a" * 90 + " [at] " + "b" * 70 + "".join(f" [dot] c{k}" for k in range(6)) + " please"
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    assert pii.redact(df, model).first().text == "write to [ADDRESS] please"
