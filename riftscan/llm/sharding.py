@@ -1,79 +1,115 @@
 """Sharding by longest-processing-time scheduling (operator 4).
 
 Groups of equal texts stay together. Groups, sorted by size, go to the least
-loaded shard through a heap. The number of groups grows with the corpus, so
-the driver never sees them all: each group falls into one of a fixed number of
-buckets by the hash of its key, and a bucket is scheduled as two units, its
-largest group and all the rest of it. The driver gets one row for each bucket
-(65,536 at most, whatever the input), and a bucket holds a single group until
-the corpus has more groups than buckets, so small inputs get the exact rule.
-
-Defined results: a null text has no bytes and belongs to no group (each such
-row is placed alone); repeated rows are equal texts and stay together; ties go
-to the unit with the lower key and to the shard with the lower number; an
-empty table gives an empty result; other columns of the input are ignored.
+loaded shard through a heap. The rule needs the sizes alone, so the driver
+gets a histogram (size, number of groups), not the groups: sizes are at most
+as many as there are different ones, and all groups of one size are scheduled
+in one step, which gives each shard as many of them as one by one would. A
+group finds its shard by its rank among those of its size.
+
+Ranks and slots are counted in parts of about ``PART_ROWS`` rows, and the
+parts' offsets are added, so neither a common size nor a large shard is
+ranked in one task.
+
+Defined results: a null text has no bytes and belongs to no group: such rows
+are placed one by one, those without an id or with the same id together;
+repeated rows are equal texts and stay together; groups of one size are ranked
+by their hash, and ties of load go to the shard with the lower number; a very
+long text is a group like any other; an empty table gives an empty result;
+other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riftscan.llm.base import table
+from riftscan.llm.base import cut, table
 
 SHARDS = 16
-#: Bound of what the driver schedules and of what is broadcast: rows of (long, string, int, int).
-BUCKETS = 65_536
-#: Parts of a shard in which rows are numbered; part offsets make the slots gapless.
-PARTS = 256
+#: Rows that are numbered in one part, about.
+PART_ROWS = 500_000
+
+
+def deal(loads: list[int], size: int, n: int) -> list[int]:
+    """How many of ``n`` groups of one size each shard gets, if each goes to the least loaded shard."""
+    load = np.array(loads, dtype=object)  # whole numbers of any size
+
+    def under(level: int) -> list[int]:
+        """Groups that go to each shard while its load is below ``level``."""
+        return [max(0, -(-(level - v) // size)) for v in load]
+
+    low, high = min(loads), min(loads) + size * n + 1
+    while high - low > 1:  # the highest level below which no more than n are dealt
+        mid = (low + high) // 2
+        low, high = (mid, high) if sum(under(mid)) <= n else (low, mid)
+    counts = under(low)
+    heap = [(v + size * c, k) for k, (v, c) in enumerate(zip(loads, counts))]
+    heapq.heapify(heap)
+    for _ in range(n - sum(counts)):  # fewer than there are shards
+        v, k = heap[0]
+        heapq.heapreplace(heap, (v + size, k))
+        counts[k] += 1
+    return counts
 
 
-def schedule(units: list[tuple[int, tuple]], shards: int) -> dict[tuple, int]:
-    """Longest first to the least loaded shard."""
-    heap = [(0, k) for k in range(shards)]
-    placed = {}
-    for size, key in sorted(units, key=lambda u: (-u[0], u[1])):
-        load, shard = heap[0]
-        heapq.heapreplace(heap, (load + size, shard))
-        placed[key] = shard
-    return placed
+def schedule(histogram: list[tuple[int, int]], shards: int) -> tuple[list[tuple[int, int, int, int]], list[int]]:
+    """(size, first rank, last rank, shard) of the stretches of groups that go together, and the shards' loads."""
+    loads, out = [0] * shards, []
+    for size, n in sorted(histogram, reverse=True):
+        first = 0
+        for k, c in enumerate(deal(loads, size, n)):
+            if c:
+                out.append((size, first, first + c - 1, k))
+                first += c
+                loads[k] += size * c
+    return out, loads
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, buckets: int = BUCKETS) -> DataFrame:
+def numbered(df: DataFrame, within: str, order: list[str], name: str, few: bool = False, part_rows: int = PART_ROWS) -> DataFrame:
+    """``df`` with ``name``: numbers from 0 without gaps in each value of ``within``.
+
+    Rows fall into parts of about ``part_rows``, and a part's numbers start
+    where those before it end. ``few``: there are few values of ``within``, and
+    rows may be equal (these are spread by the task that holds them). Parts are
+    kept, so that all numbers come from one division.
+    """
+    n_parts = df.groupBy(within).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / part_rows)).alias("n_parts"))
+    if few:
+        n_parts = F.broadcast(n_parts)
+    else:  # a constant second key leaves this side partitioned by both, so that the join can split a hot value of the other
+        n_parts = n_parts.groupBy(within, F.pmod("n_parts", F.lit(1)).alias("z")).agg(F.max("n_parts").alias("n_parts")).drop("z")
+    salt = [F.spark_partition_id()] if few else []
+    parted = cut(df.join(n_parts, within).withColumn("part", F.pmod(F.xxhash64(F.lit(4), *order, *salt), F.col("n_parts"))).drop("n_parts"))
+    counts = parted.groupBy(within, "part").agg(F.count("*").alias("n"))
+    starts = counts.select(within, "part", (F.sum("n").over(Window.partitionBy(within).orderBy("part")) - F.col("n")).alias("start"))
+    if few:
+        starts = F.broadcast(starts)  # one row for each ``part_rows`` rows and value
+    nth = F.row_number().over(Window.partitionBy(within, "part").orderBy(*order))
+    return parted.withColumn("nth", nth).join(starts, [within, "part"]).withColumn(name, (F.col("start") + F.col("nth") - 1).cast("long")).drop("part", "nth", "start")
+
+
+def shard_documents(docs: DataFrame, shards: int = SHARDS, part_rows: int = PART_ROWS) -> DataFrame:
     """doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null) of every row."""
-    spark = docs.sparkSession
     text = F.col("text")
     rows = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
-        F.coalesce(F.md5(text), F.concat(F.lit("null "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("group_key"),
-    ).withColumn("bucket", F.pmod(F.xxhash64("group_key"), F.lit(buckets)).cast("int"))
-    groups = rows.groupBy("bucket", "group_key").agg(F.sum("size").alias("size"))
-    seen = groups.groupBy("bucket").agg(F.sum("size").alias("size"), F.max(F.struct("size", "group_key")).alias("top")).collect()
-    units = [(r.top.size, (r.bucket, 0)) for r in seen] + [(r["size"] - r.top.size, (r.bucket, 1)) for r in seen if r["size"] > r.top.size]
-    placed = schedule(units, shards)
-    plan = spark.createDataFrame(
-        [(r.bucket, r.top.group_key, placed[r.bucket, 0], placed.get((r.bucket, 1), 0)) for r in seen],
-        "bucket int, top_key string, top_shard int, rest_shard int",
-    )
-    placed_rows = rows.join(F.broadcast(plan), "bucket").select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        F.when(F.col("group_key") == F.col("top_key"), F.col("top_shard")).otherwise(F.col("rest_shard")).alias("shard"),
-        F.pmod(F.xxhash64("doc_id", "group_key"), F.lit(PARTS)).cast("int").alias("part"),
-    )
-    counts = placed_rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
-    starts = counts.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("start"))
-    within = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32"))
-    return (
-        placed_rows.withColumn("nth", within)
-        .join(F.broadcast(starts), ["shard", "part"])  # shards x PARTS rows at most
-        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("nth") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        F.unhex(F.coalesce(F.md5(text), F.md5(F.concat(F.lit("null "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))).alias("group_key"),
     )
+    groups = cut(rows.groupBy("group_key").agg(F.sum("size").alias("group_size")))
+    histogram = [(r["group_size"], r["n"]) for r in groups.groupBy("group_size").agg(F.count("*").alias("n")).collect()]
+    dealt, _ = schedule(histogram, shards)
+    plan = docs.sparkSession.createDataFrame(dealt, "group_size bigint, first bigint, last bigint, shard int")  # at most ``shards`` rows for each size
+    ranked = numbered(groups, "group_size", ["group_key"], "rank", part_rows=part_rows)
+    placed = ranked.join(plan, "group_size").where("rank between first and last").select("group_key", "shard")
+    # The pmod keeps the groups' partitioning from being known, so that the join shuffles them anew and can split a hot group's rows.
+    placed_rows = rows.join(placed.groupBy("group_key", F.pmod("shard", F.lit(1)).alias("z")).agg(F.max("shard").alias("shard")).drop("z"), "group_key").select("doc_id", "size", "text_crc32", "shard")
+    return numbered(placed_rows, "shard", ["doc_id", "text_crc32"], "slot", True, part_rows).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
