@@ -1,47 +1,54 @@
-"""Removal of repeated byte strings by bucket refinement (operator 7).
+"""Removal of repeated byte strings by bucket-pointer refinement (operator 7).
 
 A byte goes if a string of 200 bytes that covers it also starts anywhere else
-in the corpus. The refinement follows the suffix-array construction that sorts
-buckets by the bucket identifiers of later offsets, with one identifier for
-each sampled start instead of one for each byte:
-
-1. Initial buckets are 64-byte grams. Each 200-byte window belongs to the gram
-   of least hash inside it (the last of equals), which depends on the window's
-   bytes alone, so equal windows are in one bucket at one offset. Consecutive
-   windows of one gram are a run (about 60 windows), and only runs are rows.
-2. A bucket is refined by the identifier of the run's whole context. Contexts
-   that occur twice settle all their windows; buckets of a single run are
-   dropped; only buckets with different contexts go on.
-3. These runs are cut into blocks of 16 windows, bucketed by the bytes that a
-   block's windows have in common, and refined by the bytes they cover
-   together.
-4. Blocks still in doubt are refined window by window.
-
-Identifiers made in one round are the bucket names of the next. They are
-64-bit content hashes and are always compared together with their bucket's
-own, so two different strings are taken as equal with a chance of about 1 in
-2 ** 128 for each pair. Every window of every text is judged on the input.
-
-Rows of equal texts are copies, judged alike under one uid. Runs are combined
-within each task before the shuffle, so a passage that many texts share
-becomes few rows. Texts are shuffled only to places that are in doubt or go.
-
-Defined results: a null or short text loses nothing; repeated rows count as
-other places; an empty table gives an empty result; other columns are ignored.
+in the corpus. Strings are sorted into buckets of ever longer ones, as in the
+suffix-array construction by bucket pointers:
+
+1. Initial buckets are 64-byte grams; a bucket's identifier is its gram's hash.
+2. The identifier of a string of twice the length is made from the pair (own
+   bucket, bucket at the later offset h), and from these pairs in turn: 64,
+   128, 256 bytes. A length between two steps takes two overlapping pointers
+   of the lower one (200 bytes: those of 128 bytes at offsets 0 and 72).
+   Strings are compared by (bucket, pointer) alone; the text is never read again.
+3. Buckets that hold one string are dropped, buckets whose strings all have
+   equal pointers are settled, and only the others are refined further.
+
+A row for each byte would be far more than the corpus, so only some starts are
+rows. Each 200-byte window belongs to the gram of least hash inside it (the
+last of equals), which depends on the window's bytes alone: equal windows are
+in one bucket at one offset, so no window is lost. Consecutive windows of one
+gram are a run (about 60 windows); a run is refined by the pointers of all that
+its windows cover, then, if its bucket is still in doubt, by blocks of 16
+windows, then window by window. Identifiers made in one round name the buckets
+of the next. They are 64 bits and always compared together with their
+bucket's own, so two different strings are taken as equal with a chance of
+about 1 in 2 ** 128 for each pair. Every window of every text is judged on the
+input.
+
+Rows of equal texts are copies, judged alike under one uid. A bucket is first
+known by its count and its least and greatest pointer alone, which are combined
+within each task before the shuffle; a common gram is never gathered, and joins
+on a bucket shuffle both sides, so that adaptive execution can split it. Texts
+are shuffled only to places that are in doubt or go.
+
+Defined results: a null or short text loses nothing; a very long text is one
+row like any other; repeated rows count as other places; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riftscan.llm.base import bounded, cut, table, text_slices
-from riftscan.llm.shingles import INVERSE, mix, powers, running, span_hash
+from riftscan.llm.shingles import INVERSE, mix, powers, running
 
 LENGTH = 200
 GRAM = 64
@@ -50,6 +57,7 @@ STEP = 16
 BROADCAST_BYTES = 48_000_000
 _U = np.uint64
 _LOW = _U(0xFFFFFF)
+_PAIR = _U(0x9FB21C651E98DF25)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -62,13 +70,36 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[:n], out[width - have : width - have + n]) if have < width else out
 
 
+def gram_buckets(data: np.ndarray, gram: int) -> np.ndarray:
+    """Identifier of the initial bucket at each offset."""
+    sums = running(data)
+    return mix((sums[gram:] - sums[:-gram]) * powers(INVERSE, len(data) + 1)[: len(data) - gram + 1])
+
+
+def pointers(grams: np.ndarray, gram: int, at: np.ndarray, step: int) -> np.ndarray:
+    """Identifiers of the strings of ``gram * 2 ** step`` bytes at ``at``: own bucket and the bucket at the later offset."""
+    if step == 0:
+        return grams[at]
+    return mix(pointers(grams, gram, at, step - 1) * _PAIR + pointers(grams, gram, at + (gram << (step - 1)), step - 1))
+
+
+def named(grams: np.ndarray, gram: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Identifiers of the strings ``start`` to ``stop``, of ``gram`` bytes at least, by two pointers that cover them."""
+    out = np.zeros(len(start), dtype=_U)
+    steps = np.frexp((stop - start) // gram)[1] - 1  # the greatest step whose strings fit
+    for step in np.unique(steps).tolist():
+        some = np.flatnonzero(steps == step)
+        a, b = start[some], stop[some]
+        out[some] = mix(pointers(grams, gram, a, step) * _PAIR + pointers(grams, gram, b - (gram << step), step) + (b - a).astype(_U))
+    return out
+
+
 def runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Bucket, context, text number, first window, windows, and gram's offset from it, of each run."""
+    """Bucket, pointer of its whole context, text number, first window, windows, and gram's offset from it, of each run."""
     n = len(data)
     if n < length:
         return tuple(np.zeros(0, dtype=t) for t in (_U, _U, np.int64, np.int64, np.int64, np.int64))
-    sums = running(data)
-    grams = mix((sums[gram:] - sums[:-gram]) * powers(INVERSE, n + 1)[: n - gram + 1])
+    grams = gram_buckets(data, gram)
     key = (grams & ~_LOW) | (_LOW - (np.arange(n - gram + 1, dtype=_U) & _LOW))  # of equal grams the last
     least = sliding_min(key, length - gram + 1)
     inside = np.zeros(len(least) + 1, dtype=np.int32)
@@ -85,7 +116,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple
     last[:-1] &= ~valid[1:] | other | edges[1:]
     lo, hi = np.flatnonzero(first), np.flatnonzero(last)
     gram_at = lo + (((_LOW - (least[lo] & _LOW)).astype(np.int64) - lo) & 0xFFFFFF)
-    context = mix(span_hash(sums, lo, hi + length) + (gram_at - lo).astype(_U))
+    context = mix(named(grams, gram, lo, hi + length) + (gram_at - lo).astype(_U))
     text = np.searchsorted(offsets, lo, side="right") - 1
     return grams[gram_at], context, text, lo - offsets[text], hi - lo + 1, gram_at - lo
 
@@ -94,26 +125,33 @@ def emit(names: str, *arrays: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64) if a.dtype == _U else a.astype(np.int64, copy=False)) for a in arrays], names.split())
 
 
-def run_rows(length: int, gram: int, combine: bool):
-    """bucket, context, n, uid, place of each run; with ``combine`` one for each bucket and context of the task's rows."""
+def bucket_rows(length: int, gram: int):
+    """bucket, n, low, high: number of runs, least and greatest context of each bucket of a batch."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [runs(data, offsets, length, gram)[:2] for _, data, offsets in text_slices(batch, "text", 1 << 19)]
+            if not held:
+                continue
+            bucket, context = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(bucket, kind="stable")
+            bucket, context = bucket[order], context[order].view(np.int64)
+            new = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])[: len(bucket)])
+            if len(new):
+                yield emit("bucket n low high", bucket[new], np.diff(np.append(new, len(bucket))), np.minimum.reduceat(context, new), np.maximum.reduceat(context, new))
+
+    return of
+
+
+def run_rows(length: int, gram: int):
+    """bucket, context, uid, place of each run."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uids = batch.column("uid").to_numpy(zero_copy_only=False)
-            held = []
             for first, data, offsets in text_slices(batch, "text", 1 << 19):
                 bucket, context, text, lo, n, off = runs(data, offsets, length, gram)
-                held.append((bucket, context, np.ones(len(lo), dtype=np.int64), uids[first + text], lo << 20 | off << 10 | n))
-            if not held:
-                continue
-            bucket, context, n, uid, place = (np.concatenate(x) for x in zip(*held))
-            if combine:
-                order = np.lexsort((context, bucket))
-                bucket, context = bucket[order], context[order]
-                new = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (context[1:] != context[:-1])])[: len(bucket)])
-                n = np.diff(np.concatenate([new, [len(order)]]))
-                bucket, context, uid, place = bucket[new], context[new], uid[order][new], place[order][new]
-            yield emit("bucket context n uid place", bucket, context, n, uid, place)
+                yield emit("bucket context uid place", bucket, context, uids[first + text], lo << 20 | off << 10 | n)
 
     return of
 
@@ -131,7 +169,7 @@ def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def block_rows(length: int, step: int):
+def block_rows(length: int, gram: int, step: int):
     """bucket, context, uid, place of each block of ``step`` windows of the runs in doubt."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,17 +188,17 @@ def block_rows(length: int, step: int):
                 far = np.minimum(off[owner], b * step + step - 1)
                 near = np.maximum((off - n + 1)[owner], b * step)
                 at = gram_at[owner]
-                sums = running(data)
-                common = span_hash(sums, at - b * step, at - b * step - (step - 1) + length)
+                grams = gram_buckets(data, gram)
+                common = named(grams, gram, at - b * step, at - b * step - (step - 1) + length)
                 name = mix(bucket.view(_U)[owner] + mix(common + b.astype(_U)))
-                context = mix(span_hash(sums, at - far, at - near + length) + far.astype(_U))
+                context = mix(named(grams, gram, at - far, at - near + length) + far.astype(_U))
                 local = (at - far - offsets[row[owner]]) << 10 | (far - near + 1)
                 yield emit("bucket context uid place", name, context, uids[first + row[owner]], local)
 
     return of
 
 
-def window_rows(length: int):
+def window_rows(length: int, gram: int):
     """bucket, context, uid, place of each window of the blocks in doubt."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,8 +212,8 @@ def window_rows(length: int):
                 owner, k = spread(place & 1023)
                 local = (place >> 10)[owner] + k
                 at = offsets[row[owner]] + local
-                sums = running(data)
-                yield emit("bucket context uid place", bucket[owner], span_hash(sums, at, at + length), uids[first + row[owner]], local << 10 | 1)
+                grams = gram_buckets(data, gram)
+                yield emit("bucket context uid place", bucket[owner], named(grams, gram, at, at + length), uids[first + row[owner]], local << 10 | 1)
 
     return of
 
@@ -199,6 +237,11 @@ def by_uid(docs: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
     return docs.join(keys, "uid", "left_semi").join(lists, "uid"), docs.join(keys, "uid", "left_anti")
 
 
+def fresh(column: str) -> Column:
+    """A constant grouping key: the result is partitioned by it too, so that a join without it shuffles this side anew and can split the other's hot partitions."""
+    return F.pmod(column, F.lit(1)).alias("fresh")
+
+
 def lists_of(rows: DataFrame) -> DataFrame:
     """buckets and places of each uid; a text's places are at most its windows."""
     pairs = rows.groupBy("uid").agg(F.collect_set(F.struct("bucket", "place")).alias("all"))
@@ -207,32 +250,35 @@ def lists_of(rows: DataFrame) -> DataFrame:
 
 def repeated_places(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step: int = STEP) -> DataFrame:
     """uid, places: first windows and numbers of windows (first << 10 | n) that occur elsewhere too."""
-    if not 0 < gram < length or length - gram >= 1023:
-        raise ValueError("gram must be shorter than length, by less than 1023")
+    if not 0 < gram <= length - step or length - gram >= 1023:
+        raise ValueError("gram must be shorter than length, by a block at least and by less than 1023")
     texts = with_uid(bounded(docs).select("text")).where(F.octet_length("text") >= length).select("uid", "text")
-    schema = "bucket bigint, context bigint, n bigint, uid bigint, place bigint"
-    combined = texts.mapInArrow(run_rows(length, gram, True), schema)
-    contexts = combined.repartition("bucket").groupBy("bucket", "context").agg(F.sum("n").alias("n"), F.min("uid").alias("one"), F.min_by("place", "uid").alias("place"))
-    among = contexts.withColumn("contexts", F.count("*").over(Window.partitionBy("bucket")))
-    live = cut(among.where("n > 1 or contexts > 1").select("bucket", "context", "n", "contexts", F.col("one").alias("uid"), "place"))
-
-    twice = live.where("n > 1").select("bucket", "context")
-    settled = [texts.mapInArrow(run_rows(length, gram, False), schema).join(twice, ["bucket", "context"]).select("uid", F.expr("shiftleft(shiftright(place, 20), 10) | (place & 1023)").alias("place"))]
+    combined = texts.mapInArrow(bucket_rows(length, gram), "bucket bigint, n bigint, low bigint, high bigint")
+    known = combined.groupBy("bucket").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    buckets = cut(known.where("n > 1").select("bucket", (F.col("low") == F.col("high")).alias("same")))
 
-    doubt = lists_of(live.where("contexts > 1"))
     schema = "bucket bigint, context bigint, uid bigint, place bigint"
-    blocks = by_uid(texts, doubt)[0].select("uid", "text", "buckets", "places").mapInArrow(block_rows(length, step), schema)
+    live = cut(texts.mapInArrow(run_rows(length, gram), schema).join(buckets, "bucket"))
+    windows_of = F.expr("shiftleft(shiftright(place, 20), 10) | (place & 1023)").alias("place")
+    settled = [live.where("same").select("uid", windows_of)]
+    mixed = live.where("not same")
+    contexts = cut(mixed.groupBy("bucket", "context").agg(F.count("*").alias("n"), F.min(F.struct("uid", "place")).alias("one")))
+    settled.append(mixed.join(contexts.where("n > 1").select("bucket", "context"), ["bucket", "context"]).select("uid", windows_of))
+
+    # What one of equal runs is found to share is settled for all of them already: one for each context goes on.
+    doubt = lists_of(contexts.select("bucket", "one.uid", "one.place"))
+    blocks = by_uid(texts, doubt)[0].select("uid", "text", "buckets", "places").mapInArrow(block_rows(length, gram, step), schema)
     blocks = cut(blocks)
-    names = blocks.groupBy("bucket").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("z")).where("n > 1")
+    names = blocks.groupBy("bucket", fresh("bucket")).agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("z")).where("n > 1").drop("fresh")
     found = cut(blocks.join(names, "bucket").select("bucket", "uid", "place", (F.col("a") == F.col("z")).alias("same")))
     settled.append(found.where("same").select("uid", "place"))
 
     doubt = lists_of(found.where("not same"))
-    windows = cut(by_uid(texts, doubt)[0].select("uid", "text", "buckets", "places").mapInArrow(window_rows(length), schema))
-    again = windows.groupBy("bucket", "context").agg(F.count("*").alias("n")).where("n > 1").select("bucket", "context")
+    windows = cut(by_uid(texts, doubt)[0].select("uid", "text", "buckets", "places").mapInArrow(window_rows(length, gram), schema))
+    again = windows.groupBy("bucket", "context", fresh("bucket")).agg(F.count("*").alias("n")).where("n > 1").select("bucket", "context")
     settled.append(windows.join(again, ["bucket", "context"]).select("uid", "place"))
 
-    every = settled[0].unionByName(settled[1]).unionByName(settled[2])
+    every = reduce(DataFrame.unionByName, settled)
     return cut(every.groupBy("uid").agg(F.collect_set("place").alias("places")))
 
 

@@ -892,3 +892,17 @@ def test_op3_long_address(spark, model):
     text = "write to " + "a" * 90 + " [at] " + "b" * 70 + "".join(f" [dot] c{k}" for k in range(6)) + " please"
     df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
     assert pii.redact(df, model).first().text == "write to [ADDRESS] please"
+
+
+def test_bucket_pointers():
+    """Pointers name strings of any length as comparing their bytes would."""
+    r = random.Random(10)
+    data = np.frombuffer("".join(r.choice("ab") for _ in range(3000)).encode(), dtype=np.uint8)
+    grams = repeats.gram_buckets(data, 4)
+    start = np.array([r.randint(0, 2900) for _ in range(4000)])
+    stop = start + np.array([r.randint(4, 40) for _ in range(4000)])
+    names = repeats.named(grams, 4, start, stop).tolist()
+    by_text = {}
+    for a, b, name in zip(start.tolist(), stop.tolist(), names):
+        assert by_text.setdefault(data[a:b].tobytes(), name) == name
+    assert len(set(by_text.values())) == len(by_text)
