@@ -1,24 +1,32 @@
 """Main text of web pages by maximum-scoring subsequence (operator 10).
 
 A page is a sequence of words and tags. Words score positive and tags
-negative; a linear scan finds the contiguous region of the highest total. The
-weights come from labelled pages by a structured perceptron: whenever the best
-region differs from the labelled one, the weights of what it holds too much
-of go down and of what it lacks go up, words staying positive and tags
-negative. Without labels of its own the trainer takes pages with exactly one
-article element as labelled by it (at most ``SAMPLE`` pages of at most
-``MAX_PAGE`` characters, chosen by a hash of page_id); pages without that
-element are then read with the weights learned from the others.
-
-Inside the region, elements that are not article by their kind (menus, page
-headers, footers, asides, forms, scripts, styles) or by a name in class or id
-(adverts, notices, reader comments and the like) are left out.
+negative; a linear scan finds the contiguous region of the highest total. All
+weights come from labelled pages. Without labels of its own the trainer takes
+pages with exactly one article element as labelled by it (at most ``SAMPLE``
+pages, chosen by a hash of page_id); pages without that element are then read
+with the weights learned from the others.
+
+* Names (last words of class, id and role) have a weight: what the names of
+  adverts, notices, menus or reader comments usually mean, moved by how many
+  labelled pages hold elements of that name inside the article and outside. An
+  element whose name scores below ``LEFT_OUT`` is no article, and its words
+  count for nothing. So a name that no list knows is left out once labelled
+  pages show it outside only, and a doubtful one stays once they show it inside.
+* Tags and words are weighted by a structured perceptron: whenever the best
+  region differs from the labelled one, the weights of what it holds too much
+  of go down and of what it lacks go up, words staying positive and tags
+  negative. The tags of the label itself are no features in training.
+
+Elements that are not article by their kind (menus, page headers, footers,
+asides, forms, scripts, styles) are always left out.
 
 Defined results: a null or empty page, or one without words outside such
 elements, has empty text; repeated rows get equal results; an unclosed element
 ends with its parent, or at the start tag that ends it in HTML (paragraphs,
 list items, cells, rows, options); of equal regions the first and shortest is
-taken; an empty table gives an empty result; other columns are ignored.
+taken; a very long page is read as a whole, in linear time; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,20 +41,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riftscan.llm.base import bounded, table
+from riftscan.llm.base import bounded, cut, table
 
 SAMPLE = 300
+#: Pages that the perceptron sees have no more characters; names are counted on sampled pages of any length.
 MAX_PAGE = 60_000
 ROUNDS = 5
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>|<[!?][^>]*>""", re.S)
+#: Attributes end at the next start of a tag unless it is quoted, so that no unclosed tag is searched to the page's end.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>"'=]|=\s*+(?:"[^"]*"|'[^']*')?+)*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>|<[!?][^>]*>""", re.S)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 RAW = {"script", "style", "textarea", "noscript", "template", "iframe", "svg", "title", "head", "select", "button"}
 NOT_ARTICLE = {"nav", "footer", "aside", "form", "dialog", "menu"}
+#: Names of what is no article, and of what may be a section of one.
 NAMES = set(
-    "ad ads adsense advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay disclaimer "
-    "newsletter subscribe subscription signup login comment comments commentlist disqus respond reply replies discussion share sharing social sidebar sidenav menu nav subnav navbar navigation topbar "
-    "breadcrumb breadcrumbs footer copyright colophon masthead related recommended recommendations widget widgets search pagination pager toolbar navbox complementary contentinfo".split()
+    "ad ads adsense advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos banner cookie cookies consent gdpr popup modal "
+    "newsletter subscribe subscription signup login comment comments commentlist disqus respond reply replies share sharing social sidebar sidenav menu nav subnav navbar topbar "
+    "breadcrumb breadcrumbs footer colophon masthead pagination pager toolbar navbox complementary contentinfo".split()
 )
+DOUBTFUL = set("alert copyright disclaimer discussion navigation notice notices overlay promotion recommendations recommended related search widget widgets".split())
+#: Weights of names before training, how far labelled pages move one, how many pages make half of that, and what is left out.
+NAMED_OUT, DOUBTED, MOVE, HALF, LEFT_OUT = -3.0, -1.0, 1.5, 5, -0.75
 #: A header with one of these names is the article's own.
 OWN = {"entry", "post", "article", "story", "content", "section"}
 #: Words that say how an element holds what stands before them in its name.
@@ -103,12 +117,15 @@ class Open:
         self.bars: dict[str, list[int]] = {g: [] for g in BARS}
         self.left_out: list[int] = []
         self.articles: list[int] = []
+        self.marks: list[tuple[int, list[str]]] = []  # of each open element: the first part inside, and its names
+        self.closed: list[tuple[int, int, list[str]]] = []
 
     def last(self, names: Iterable[str]) -> int:
         return max((at[-1] for n in names if (at := self.at.get(n))), default=-1)
 
-    def push(self, name: str, out: bool) -> None:
+    def push(self, name: str, out: bool, part: int = 0, named: list[str] | None = None) -> None:
         k = len(self.names)
+        self.marks.append((part, named or []))
         self.names.append(name)
         self.at[name].append(k)
         if name in BLOCKS:
@@ -121,42 +138,43 @@ class Open:
         elif name in ("article", "main"):
             self.articles.append(k)
 
-    def pop_to(self, k: int) -> None:
+    def pop_to(self, k: int, part: int = 0) -> None:
         for name in self.names[k:]:
             self.at[name].pop()
-        del self.names[k:]
+        self.closed += [(first, part, named) for first, named in self.marks[k:] if named]
+        del self.names[k:], self.marks[k:]
         for held in (self.blocks, self.left_out, self.articles, *self.bars.values()):
             while held and held[-1] >= k:
                 held.pop()
 
-    def before(self, name: str) -> None:
+    def before(self, name: str, part: int = 0) -> None:
         """Ends what the start of an element ends."""
         for group, ended in ENDS.get(name, ENDS["p"] if name in BLOCKS - NOT_AFTER_P else ()):
             bars = self.bars[group]
             while (k := self.last(ended)) > (bars[-1] if bars else -1):
-                self.pop_to(k)
+                self.pop_to(k, part)
         if name in HEADINGS and self.names and self.names[-1] in HEADINGS:
-            self.pop_to(len(self.names) - 1)
+            self.pop_to(len(self.names) - 1, part)
 
-    def end(self, name: str) -> None:
+    def end(self, name: str, part: int = 0) -> None:
         """Ends an element and all that is open inside; an inline element's end tag ends no block."""
         k = self.last((name,))
         if k >= 0 and (name in BLOCKS or not self.blocks or self.blocks[-1] < k):
-            self.pop_to(k)
+            self.pop_to(k, part)
 
 
-def parts_of(page: str) -> list[Part]:
-    """Text and tags of a page in order."""
+def parts_of(page: str, weights: dict[str, float], elements: list[tuple[int, int, list[str]]] | None = None) -> list[Part]:
+    """Text and tags of a page in order; ``elements`` gets (first part inside, end, names) of each that has names."""
     out: list[Part] = []
     open_ = Open()
-    at = 0
+    at, last, headless = 0, page.rfind(">"), False
 
     def text(piece: str) -> None:
         if piece:
             plain = entities.unescape(piece)
             out.append(Part("text", plain, len(plain.split()), bool(open_.left_out)))
 
-    while (m := TOKEN.search(page, at)) is not None:
+    while (at <= last or page.find("<!--", at) >= 0) and (m := TOKEN.search(page, at)) is not None:
         text(page[at : m.start()])
         at = m.end()
         name = m[2] or m[5]
@@ -164,27 +182,35 @@ def parts_of(page: str) -> list[Part]:
             continue
         name, closing, attrs = name.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
         if not closing and name in RAW and not attrs.endswith("/"):
+            if name == "head" and headless:
+                continue
             end = re.compile(rf"</{re.escape(name)}\s*>" if name != "head" else r"</head\s*>|<body\b[^>]*>", re.I).search(page, at)
             if name == "head" and end is None:
+                headless = True
                 continue
             out.append(Part(name, "", 0, bool(open_.left_out)))
             at = end.end() if end else len(page)
             continue
         if closing:
             out.append(Part("/" + name, "", 0, bool(open_.left_out)))
-            open_.end(name)
+            open_.end(name, len(out))
             continue
-        open_.before(name)
+        open_.before(name, len(out))
         tokens = list(tokens_of(attrs)) if attrs else []
-        named = {w for _, words in tokens for w in words}
-        other = named_out(name, tokens) or name in NOT_ARTICLE or (not open_.articles and (name == "header" or ("header" in named and not named & OWN)))
+        words = {w for _, each in tokens for w in each}
+        named = names_of(name, tokens)
+        other = min((weights.get(n, 0.0) for n in named), default=0.0) < LEFT_OUT or name in NOT_ARTICLE
+        other = other or (not open_.articles and (name == "header" or ("header" in words and not words & OWN)))
         if name in ("article", "main") and not other:
             open_.left_out.clear()  # an article is not part of what was left open before it
         other = other and name not in WHOLE
         out.append(Part(name, "", 0, bool(open_.left_out) or other))
         if name not in VOID and not attrs.endswith("/"):
-            open_.push(name, other)
+            open_.push(name, other, len(out), named if name not in WHOLE else None)
     text(page[at:])
+    if elements is not None:
+        open_.pop_to(0, len(out))
+        elements += open_.closed
     return out
 
 
@@ -198,19 +224,20 @@ def tokens_of(attrs: str) -> Iterator[tuple[str, list[str]]]:
                 yield attr.lower(), words[:has]
 
 
-def named_out(name: str, tokens: list[tuple[str, list[str]]]) -> bool:
-    """Whether a name says that the element is no article: by its last word, plain holders and numbers aside.
+def names_of(name: str, tokens: list[tuple[str, list[str]]]) -> list[str]:
+    """What an element is called: the last word of each of its names, plain holders and numbers aside, after a dot.
 
     An id of a heading is an anchor and says nothing; one of a section doesn't
     if articles have sections of that title.
     """
+    out = []
     for attr, words in tokens:
         k = len(words)
         while k > 1 and (words[k - 1] in HOLDERS or words[k - 1][0].isdigit()):
             k -= 1
-        if words[k - 1] in NAMES and not (attr == "id" and (name in HEADINGS or (name == "section" and words[k - 1] in TITLES))):
-            return True
-    return False
+        if not (attr == "id" and (name in HEADINGS or (name == "section" and words[k - 1] in TITLES))):
+            out.append("." + words[k - 1])
+    return out
 
 
 def start_weights() -> dict[str, float]:
@@ -220,7 +247,37 @@ def start_weights() -> dict[str, float]:
     weights["a"] = weights["/a"] = weights["option"] = LINK_TAG
     for name in ("article", "main"):  # what is outside them is seldom part of them
         weights[name] = weights["/" + name] = WHOLE_TAG
-    return weights
+    return weights | {"." + n: NAMED_OUT for n in NAMES} | {"." + n: DOUBTED for n in DOUBTFUL}
+
+
+def moved(weights: dict[str, float], inside: dict[str, int], outside: dict[str, int]) -> dict[str, float]:
+    """Weights after labelled pages have shown names inside and outside of articles."""
+    out = dict(weights)
+    for n in {*inside, *outside}:
+        a, b = inside.get(n, 0), outside.get(n, 0)
+        out[n] = out.get(n, 0.0) + MOVE * (a - b) / (a + b + HALF)
+    return out
+
+
+def sides_of(page: str, weights: dict[str, float]) -> dict[str, bool]:
+    """Of a labelled page: names of elements with words, and whether most of these are inside the article.
+
+    An element that holds the article itself is on neither side.
+    """
+    elements: list[tuple[int, int, list[str]]] = []
+    parts = parts_of(page, weights, elements)
+    first = next((k for k, p in enumerate(parts) if p.kind == "article"), len(parts))
+    last = next((k for k in range(first, len(parts)) if parts[k].kind == "/article"), len(parts))
+    upto = [0]
+    for p in parts:
+        upto.append(upto[-1] + p.words)
+    balance: dict[str, int] = defaultdict(int)
+    for a, b, named in elements:
+        words = upto[b] - upto[a]
+        if words and not (a <= first and b >= last):
+            for n in set(named):
+                balance[n] += words if a > first and b <= last + 1 else -words
+    return {n: v > 0 for n, v in balance.items()}
 
 
 def best_region(parts: list[Part], weights: dict[str, float]) -> tuple[int, int]:
@@ -252,10 +309,12 @@ def labelled_region(parts: list[Part]) -> tuple[int, int] | None:
     return (held[0], held[-1] + 1) if held else None
 
 
-def learn(pages: list[str], rounds: int = ROUNDS) -> dict[str, float]:
-    """Averaged weights of a structured perceptron over labelled pages."""
-    weights, sums, steps = start_weights(), defaultdict(float), 0
-    seen = [(p, r) for p in map(parts_of, pages) if (r := labelled_region(p)) is not None]
+def learn(pages: list[str], weights: dict[str, float] | None = None, rounds: int = ROUNDS) -> dict[str, float]:
+    """Averaged weights of a structured perceptron over labelled pages; the label's own tags score nothing in training."""
+    weights, sums, steps = dict(weights or start_weights()), defaultdict(float), 0
+    label = {k: weights[k] for name in ("article", "main") for k in (name, "/" + name)}
+    seen = [(p, r) for p in (parts_of(page, weights) for page in pages) if (r := labelled_region(p)) is not None]
+    weights |= dict.fromkeys(label, 0.0)
     for _ in range(rounds):
         wrong = 0
         for parts, (a, b) in seen:
@@ -264,12 +323,9 @@ def learn(pages: list[str], rounds: int = ROUNDS) -> dict[str, float]:
                 change: dict[str, float] = defaultdict(float)
                 for lo, hi, sign in ((a, b, 1.0), (c, d, -1.0)):
                     for part in parts[lo:hi]:
-                        if part.kind != "text" and part.out:
+                        if part.out or part.kind in label:
                             continue
-                        if part.kind != "text":
-                            change[part.kind] += sign
-                        elif not part.out:
-                            change["text"] += sign * part.words
+                        change[part.kind] += sign * (part.words if part.kind == "text" else 1)
                 longest = max(1.0, max((abs(v) for v in change.values()), default=1.0))
                 for kind, v in change.items():
                     step = v / longest if kind == "text" else v
@@ -281,11 +337,11 @@ def learn(pages: list[str], rounds: int = ROUNDS) -> dict[str, float]:
                 sums[kind] += v
         if not wrong:
             break
-    return {k: v / steps for k, v in sums.items()} if steps else weights
+    return ({k: v / steps for k, v in sums.items()} if steps else weights) | label
 
 
 def main_text(page: str | None, weights: dict[str, float]) -> str:
-    parts = parts_of(page or "")
+    parts = parts_of(page or "", weights)
     first, last = best_region(parts, weights)
     blocks: list[str] = []
     held: list[str] = []
@@ -309,10 +365,21 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
     """Weights from at most about ``sample`` pages that one article element labels."""
-    fit = pages.where(F.length("html").between(1, MAX_PAGE) & (F.regexp_count("html", F.lit("(?i)<article[ >]")) == 1)).select("page_id", "html")
+    start = start_weights()
+
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [x for h in batch.column("html").to_pylist() for x in sides_of(h, start).items()]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.string()), pa.array([i for _, i in found], pa.bool_())], ["name", "inside"])
+
     share = min(1.0, sample / max(1, pages.count()))
-    chosen = fit.where(F.pmod(F.xxhash64(F.lit(10), "page_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).collect()
-    return learn([r["html"] for r in sorted(chosen, key=lambda r: (r["page_id"] is None, r["page_id"], r["html"]))])
+    chosen = bounded(pages).where(F.pmod(F.xxhash64(F.lit(10), "page_id", "html"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).where(F.regexp_count("html", F.lit("(?i)<article[ >]")) == 1).select("page_id", "html")
+    chosen = cut(chosen)  # about ``sample`` rows, read twice
+    # Names of the sampled pages alone, counted where the pages are.
+    counts = chosen.select("html").mapInArrow(sides, "name string, inside boolean").groupBy("name").agg(F.count_if("inside").alias("a"), F.count_if(~F.col("inside")).alias("b")).collect()
+    weights = moved(start, {r["name"]: r["a"] for r in counts}, {r["name"]: r["b"] for r in counts})
+    short = chosen.where(F.length("html") <= MAX_PAGE).collect()
+    return learn([r["html"] for r in sorted(short, key=lambda r: (r["page_id"] is None, r["page_id"], r["html"]))], weights)
 
 
 def extract(pages: DataFrame, weights: dict[str, float]) -> DataFrame:

@@ -906,3 +906,63 @@ def test_bucket_pointers():
     for a, b, name in zip(start.tolist(), stop.tolist(), names):
         assert by_text.setdefault(data[a:b].tobytes(), name) == name
     assert len(set(by_text.values())) == len(by_text)
+
+
+LABELLED = '<html><body><div class="rail-q7"><p>{a}</p></div><article><section class="notice-box"><p>{b}</p></section><p>{c}</p></article><div class="zone-q9"><p>{d}</p><p>{a}</p></div></body></html>'
+
+
+def labelled_pages(n, seed):
+    """Pages whose names no list knows: boilerplate as long as the article, and a section that lists would leave out."""
+    r = random.Random(seed)
+    words = lambda k: " ".join(f"w{r.randint(0, 900)}" for _ in range(k))
+    return [LABELLED.format(a=words(40), b=words(30), c=words(60), d=words(50)) for _ in range(n)]
+
+
+def test_op10_learned(spark):
+    """Weights move with labelled pages, and on held-out pages without the label's tags they find what untrained ones don't."""
+    pages = spark.createDataFrame(list(enumerate(labelled_pages(60, 1))), "page_id bigint, html string").select("page_id", F.lit("u").alias("url"), "html")
+    trained, start = html.train(pages), html.start_weights()
+    assert trained[".q7"] < html.LEFT_OUT and trained[".q9"] < html.LEFT_OUT and trained[".notice"] > html.LEFT_OUT > start[".notice"]
+
+    def right(weights):
+        good = 0
+        for page in labelled_pages(30, 2):
+            want = [x for x in re.findall("<p>(.*?)</p>", page[page.index("<article>") : page.index("</article>")])]
+            bare = page.replace("<article>", "<div>").replace("</article>", "</div>")
+            good += html.main_text(bare, weights) == "\n".join(want)
+        return good / 30
+
+    assert right(trained) == 1 and right(start) == 0
+    tags_alone = {k: v for k, v in trained.items() if not k.startswith(".")} | {k: v for k, v in start.items() if k.startswith(".")}
+    assert right(tags_alone) < 0.5
+
+
+def test_op10_perceptron():
+    """Where names say nothing, tag weights are learned: text between list items is no article."""
+    r = random.Random(3)
+    words = lambda k: " ".join(f"w{r.randint(0, 900)}" for _ in range(k))
+    page = lambda: "".join(f"<li>{words(4)}</li>" for _ in range(12)) + "<article>" + "".join(f"<p>{words(25)}</p>" for _ in range(4)) + "</article>" + "".join(f"<li>{words(4)}</li>" for _ in range(12))
+    weights = html.learn([page() for _ in range(30)])
+    assert weights["li"] < 3 * html.start_weights()["li"]
+    held = [page() for _ in range(10)]
+    bare = [p.replace("<article>", "<div>").replace("</article>", "</div>") for p in held]
+    want = ["\n".join(re.findall("<p>(.*?)</p>", p)) for p in held]
+    assert [html.main_text(b, weights) for b in bare] == want
+    assert [html.main_text(b, html.start_weights()) for b in bare] != want
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a "', "<a ='", "<a =\"='", "<!", "<head>", "<p class=ad>", "</b", "<a title='", "&amp", "<script"])
+def test_op10_linear(unit):
+    """Pages of nothing but broken markup take linear time."""
+    weights, seconds = html.start_weights(), []
+    for n in (20_000, 80_000):
+        for page in (unit * n, unit * n + ">x"):
+            began = time.process_time()
+            html.main_text(page, weights)
+            seconds.append(time.process_time() - began)
+    assert max(seconds[2:]) < 8 * max(seconds[:2]) + 2
+
+
+def test_op10_quoted():
+    assert html.main_text('<p title="a > b" data-x="<i>no</i>" id=\'it"s\'>yes <b =">and</b> no', html.start_weights()).startswith("yes")
+    assert html.main_text('<p title="x"">yes', html.start_weights()) == "yes"
