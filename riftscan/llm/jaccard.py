@@ -12,7 +12,9 @@
    is left is verified exactly on the shingle sets.
 4. A block returns one row for each linked class: its number of links there
    and the root of its links' tree, so results grow with classes, not pairs.
-   Texts of a group of m are dealt once for each of its m / 256 blocks.
+   Texts of a group of m are dealt once for each of its m / 256 blocks, as
+   exact numbers of links need all pairs. ``connect``, which ``keep_one`` uses,
+   needs none of them and compares classes, not texts.
 
 With 32 bands of 5 values a pair at similarity 0.8 shares no band with
 probability 3e-6, and such a pair is still compared if other texts connect it.
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -92,8 +95,8 @@ class Forest:
         self.up[max(i, j)] = min(i, j)
 
 
-def linked_pairs(texts: pa.RecordBatch, left: np.ndarray, right: np.ndarray, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row of ``left``, row of ``right``) that reach the threshold; a block with itself counts each pair once."""
+def linked_pairs(texts: pa.RecordBatch, left: np.ndarray, right: np.ndarray, threshold: float, tolerance: float, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of ``left``, row of ``right``) of different ``cls`` that reach the threshold; a block with itself counts each pair once."""
     parts, counts = [], []
     for _, data, offsets in text_slices(texts, "text", 1 << 19):
         v, c = sh.shingles(data, offsets)
@@ -105,7 +108,7 @@ def linked_pairs(texts: pa.RecordBatch, left: np.ndarray, right: np.ndarray, thr
     alive = np.ones((len(left), len(right)), dtype=bool)
     if left is right:
         alive = np.triu(alive, 1)
-    alive &= (counts[left] > 0)[:, None] & (counts[right] > 0)[None, :]
+    alive &= (counts[left] > 0)[:, None] & (counts[right] > 0)[None, :] & (cls[left][:, None] != cls[right][None, :])
     matches = np.zeros(alive.shape, dtype=np.int16)
     done = 0
     for n in STEPS:
@@ -161,7 +164,7 @@ def compare_blocks(threshold: float, tolerance: float):
         bi, bj, block = rows.column("bi")[0].as_py(), rows.column("bj")[0].as_py(), rows.column("block").to_numpy()
         left = np.flatnonzero(block == bi)
         right = left if bi == bj else np.flatnonzero(block == bj)
-        i, j = linked_pairs(rows, left, right, threshold, tolerance)
+        i, j = linked_pairs(rows, left, right, threshold, tolerance, rows.column("cls").to_numpy())
         if not len(i):
             return None
         i, j = left[i], right[j]
@@ -206,8 +209,16 @@ def with_uid(docs: DataFrame) -> DataFrame:
     return docs.withColumn("uid", F.when(F.col("text").isNotNull(), F.xxhash64(F.md5("text"))))
 
 
-def link(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
-    """uid, copy_id (least doc_id of the equal texts), n_copies, class_id (least doc_id of all that links connect), n_links (other texts), root (a uid that names what links connect)."""
+PAIRS = "uid bigint, links bigint, root bigint, several boolean"
+
+
+def compared(dealt: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """uid, links, root, several of each text that a block pair of ``dealt`` links."""
+    return cut(dealt.repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj", "uid").mapInArrow(compare_blocks(threshold, tolerance), PAIRS))
+
+
+def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes of equal texts (uid, copy_id, n_copies), candidate groups (uid, comp, size), and the groups' texts (uid, comp, size, text)."""
     texts = with_uid(bounded(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).where("uid is not null")
     keyed = texts.mapInArrow(band_keys, "doc_id bigint, uid bigint, bands array<bigint>")
     classes = cut(keyed.groupBy("uid").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n_copies"), F.first("bands").alias("bands")))
@@ -216,36 +227,89 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     stars = banded.join(buckets, "band").where("uid <> least").select(F.col("uid").alias("a"), F.col("least").alias("b"))
     groups = components(stars)
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
-    members = (
-        groups.join(sizes, "root")
-        .select(F.col("node").alias("uid"), F.col("root").alias("comp"), F.ceil(F.col("size") / block).cast("int").alias("n_blocks"))
-        .withColumn("block", F.pmod(F.xxhash64("uid"), F.col("n_blocks")).cast("int"))
-        .join(classes.select("uid", "copy_id"), "uid")
-    )
+    members = groups.join(sizes, "root").select(F.col("node").alias("uid"), F.col("root").alias("comp"), "size")
     # One row of each class, joined by both keys so that many copies don't meet in one partition.
     of = texts.select(F.col("uid").alias("of_uid"), F.col("doc_id").alias("of_doc"), "text")
-    wanted = of.join(members, (F.col("of_uid") == F.col("uid")) & F.col("of_doc").eqNullSafe(F.col("copy_id")))
-    dealt = wanted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
-        "comp", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "n_blocks", "uid", "text"
-    )
-    found = cut(
-        dealt.repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj", "uid").mapInArrow(compare_blocks(threshold, tolerance), "uid bigint, links bigint, root bigint, several boolean")
+    named = members.join(classes.select("uid", "copy_id"), "uid")
+    wanted = of.join(named, (F.col("of_uid") == F.col("uid")) & F.col("of_doc").eqNullSafe(F.col("copy_id"))).select("uid", "comp", "size", "text")
+    return classes.select("uid", "copy_id", "n_copies"), members, wanted
+
+
+def link(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
+    """uid, copy_id (least doc_id of the equal texts), n_copies, class_id (least doc_id of all that links connect), n_links (other texts), root (a uid that names what links connect)."""
+    classes, _, wanted = candidates(docs)
+    blocked = wanted.withColumn("n_blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("uid"), F.col("n_blocks")).cast("int"))
+    dealt = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
+        "comp", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "n_blocks", "uid", F.col("uid").alias("cls"), "text"
     )
+    found = compared(dealt, threshold, tolerance)
     roots = found.where("not several").select("uid", "root")
     if not found.where("several").isEmpty():
         across = components(found.where("several").select(F.col("uid").alias("a"), F.col("root").alias("b")))
         roots = roots.unionByName(across.select(F.col("node").alias("uid"), "root"))
     linked = found.groupBy("uid").agg(F.sum("links").alias("n_links")).join(roots, "uid").join(classes.select("uid", "copy_id"), "uid")
     named = linked.join(linked.groupBy("root").agg(F.min("copy_id").alias("class_id")), "root").select("uid", "n_links", "class_id", "root")
-    return classes.select("uid", "copy_id", "n_copies").join(named, "uid", "left").select(
+    return classes.join(named, "uid", "left").select(
         "uid", "copy_id", "n_copies", F.coalesce("class_id", "copy_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "uid").alias("root")
     )
 
 
+def cross_blocks(members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Block pairs that hold every pair of different classes of a group; ``members``: comp, cls, uid, text.
+
+    A group's largest class is in blocks of its own that meet only those of
+    the other texts, so a text is dealt once for each block of the others (or
+    of the whole group, if it is one of the others).
+    """
+    sizes = members.groupBy("comp", "cls").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("comp").agg(F.max(F.struct("n", "cls")).alias("top"), F.sum("n").alias("size"))
+    most = most.select("comp", F.col("top.cls").alias("top_cls"), F.ceil(F.col("top.n") / block).cast("int").alias("own"), F.ceil((F.col("size") - F.col("top.n")) / block).cast("int").alias("rest"))
+    most = most.groupBy("comp", F.pmod("own", F.lit(1)).alias("z")).agg(F.first("top_cls").alias("top_cls"), F.first("own").alias("own"), F.first("rest").alias("rest")).drop("z").where("rest > 0")
+    top = F.col("cls") == F.col("top_cls")
+    placed = members.join(most, "comp").withColumn("block", F.when(top, F.pmod(F.xxhash64("uid"), F.col("own"))).otherwise(F.col("own") + F.pmod(F.xxhash64("uid"), F.col("rest"))).cast("int"))
+    others = F.when(top, F.sequence(F.col("own"), F.col("own") + F.col("rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("own") + F.col("rest") - 1))
+    return placed.withColumn("other", F.explode(others)).select("comp", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", F.lit(2).alias("n_blocks"), "uid", "cls", "text")
+
+
+def connect(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
+    """uid, copy_id, n_copies, root: what links connect, without counting links.
+
+    Texts of a group are compared within blocks, then one for each class that
+    was found, and so on while that halves them; only texts of classes that are
+    then still apart are compared across blocks. Near copies of one text, however
+    many, take time and shuffles in proportion to their number, and no link
+    between different classes is lost.
+    """
+    classes, members, wanted = candidates(docs)
+    texts = cut(wanted)
+    several = texts.where(F.col("size") > block)
+    left, edges = texts.select("uid", "comp", "size", "text"), []
+    size = None
+    for turn in range(64):
+        blocked = left.withColumn("n_blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64(F.lit(turn), "uid"), F.col("n_blocks")).cast("int"))
+        found = compared(blocked.select("comp", F.col("block").alias("bi"), F.col("block").alias("bj"), "block", "n_blocks", "uid", F.col("uid").alias("cls"), "text"), threshold, tolerance)
+        edges.append(found.select("uid", "root"))
+        gone = found.where("uid <> root").select("uid")
+        apart = left.where(F.col("size") > block).join(gone, "uid", "left_anti").drop("size")
+        sizes = apart.groupBy("comp", F.pmod("comp", F.lit(1)).alias("z")).agg(F.count("*").alias("size")).drop("z").where("size > 1")  # see components
+        apart = cut(apart.join(sizes, "comp").select("uid", "comp", "size", "text"))
+        now = apart.count()
+        if not now or (size is not None and 2 * now > size):
+            break
+        left, size = apart, now
+    joined = components(reduce(DataFrame.unionByName, edges).select(F.col("uid").alias("a"), F.col("root").alias("b")))
+    if not several.isEmpty():
+        named = several.join(joined.select(F.col("node").alias("uid"), "root"), "uid", "left").select("comp", F.coalesce("root", "uid").alias("cls"), "uid", "text")
+        found = compared(cross_blocks(named, block), threshold, tolerance)
+        edges.append(found.select("uid", "root"))
+        joined = components(reduce(DataFrame.unionByName, edges).select(F.col("uid").alias("a"), F.col("root").alias("b")))
+    return classes.join(joined.select(F.col("node").alias("uid"), "root"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+
+
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class: the one with the least doc_id (then text hash; null ids last). Rows with a null text stay."""
     first = F.min(F.struct(F.col("copy_id").isNull().alias("unnamed"), "copy_id", "uid")).alias("first")
-    found = link(docs, threshold).groupBy("root").agg(first).select(F.col("first.uid").alias("kept_uid"), F.col("first.copy_id").alias("kept_id"))
+    found = connect(docs, threshold).groupBy("root").agg(first).select(F.col("first.uid").alias("kept_uid"), F.col("first.copy_id").alias("kept_id"))
     rows = with_uid(packed(docs, "doc_id", "text")).drop("text")
     kept = rows.join(found, (F.col("uid") == F.col("kept_uid")) & F.col("doc_id").eqNullSafe(F.col("kept_id")))
     nth = F.row_number().over(Window.partitionBy("uid", "doc_id").orderBy("uid"))  # only repeated rows are left to part

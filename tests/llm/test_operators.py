@@ -966,3 +966,40 @@ def test_op10_linear(unit):
 def test_op10_quoted():
     assert html.main_text('<p title="a > b" data-x="<i>no</i>" id=\'it"s\'>yes <b =">and</b> no', html.start_weights()).startswith("yes")
     assert html.main_text('<p title="x"">yes', html.start_weights()) == "yes"
+
+
+@pytest.mark.parametrize("block", [24, 1000])
+def test_connect(spark, block):
+    """Classes are those of all links, for near copies, chains across blocks, and texts that are nearly near."""
+    r = random.Random(block)
+    base = [f"w{r.randint(0, 5000)}" for _ in range(120)]
+    texts = []
+    for k in range(160):
+        w = base.copy()
+        for _ in range(r.randint(0, 5)):
+            w[r.randrange(120)] = f"e{r.randint(0, 99)}"
+        texts.append(" ".join(w))
+    chain = base.copy()
+    for k in range(60):  # each is near the one before only
+        chain[2 * k % 120] = f"c{k}"
+        texts.append(" ".join(chain))
+    rows = list(enumerate(texts)) + [(1000 + k, " ".join(f"z{k}y{j}" for j in range(30))) for k in range(5)] + [(2000, texts[1]), (None, texts[2]), (3, None)]
+    want = links_of(rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {x.uid: x.root for x in jaccard.connect(df, block=block).collect()}
+    uid = {x.text: x.uid for x in jaccard.with_uid(df).collect() if x.text is not None}
+    assert len(got) == len(want)
+    classes = lambda of: sorted(sorted(t for t in want if of(t) == c) for c in {of(t) for t in want})
+    assert classes(lambda t: got[uid[t]]) == classes(lambda t: want[t][0])
+
+
+def test_cross_blocks(spark):
+    """One large class and a few other texts: each is dealt in proportion, and every pair of classes meets."""
+    rows = [(1, 7, k, "t") for k in range(1000)] + [(1, 10_000 + k, 10_000 + k, "t") for k in range(12)] + [(2, 5, 20_000 + k, "t") for k in range(500)]
+    dealt = jaccard.cross_blocks(spark.createDataFrame(rows, "comp bigint, cls bigint, uid bigint, text string"), block=50).collect()
+    assert {r.comp for r in dealt} == {1} and len(dealt) <= 1000 + 12 * 22
+    meet = collections.defaultdict(set)
+    for r in dealt:
+        meet[r.uid].add((r.bi, r.bj))
+    assert all(meet[a] & meet[b] for a in range(0, 1000, 37) for b in range(10_000, 10_012))
+    assert all(meet[a] & meet[b] for a in range(10_000, 10_012) for b in range(10_000, 10_012))
