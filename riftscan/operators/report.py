@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riftscan.functions.levels import RISK, diagnostic_severity, ordinal
@@ -155,6 +155,10 @@ def security_posture(risks: DataFrame) -> DataFrame:
 
 def first_pairs(pairs: DataFrame, k: int = 3) -> DataFrame:
     """file, the first ``k`` overlapping pairs as text, and how many more there are."""
-    text = lambda x: F.format_string("A %d-%d / B %d-%d", x["a_start_line"], x["a_end_line"], x["b_start_line"], x["b_end_line"])
-    all_ = pairs.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("a_start_line", "a_end_line", "b_start_line", "b_end_line"))).alias("all"))
-    return all_.select("file", F.array_join(F.transform(F.slice("all", 1, k), text), "; ").alias("shown"), F.greatest(F.lit(0), F.size("all") - k).cast("int").alias("more"))
+    order = ["a_start_line", "a_end_line", "b_start_line", "b_end_line"]
+    text = F.format_string("A %d-%d / B %d-%d", *order)
+    # Only the first of each task's pairs of a file are shuffled, and counts: no list of all pairs is made.
+    first = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("file").orderBy(*order))).where(F.col("nth") <= k)
+    shown = first.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("nth", text.alias("text")))).alias("all"))
+    counts = pairs.groupBy("file").agg(F.count("*").alias("n"))
+    return shown.join(counts, "file").select("file", F.array_join(F.transform("all", lambda x: x["text"]), "; ").alias("shown"), F.greatest(F.lit(0), F.col("n") - k).cast("int").alias("more"))

@@ -121,30 +121,19 @@ def git_result(pair: BranchPair) -> DataFrame:
 def sweep_branches(spark: SparkSession, path: str, main: str = MAIN) -> DataFrame:
     """Predicted conflicts of the current branch with every other branch, with alerts, in one plan."""
     refs = gitrepo.load(spark, path, "refs")
-    root = gitrepo.open_repository(path)["root"]
     now = refs.where("is_current").first()
     empty = spark.createDataFrame([], "branch string, file string, risk string, score int, level string, message string")
     if now is None:
         return empty
     current, tip = now["short_name"], commits.resolve_ref(refs, main)[1]
-    others = [r["short_name"] for r in ranges.other_branches(refs.where("not is_remote"), refs.where("is_remote"), current, main).orderBy("short_name").collect()]
-
-    def side(name: str) -> tuple[DataFrame, DataFrame]:
-        sha = commits.resolve_ref(refs, name)[1]
-        _, files, found = changes(spark, path, gitrepo.merge_base(root, tip, sha), sha)
-        return files.select(F.col("path").alias("file")), found.withColumnRenamed("path", "file")
-
-    files_a, ranges_a = side(current)
-    swept = []
-    for name in others:
-        try:
-            files_b, ranges_b = side(name)
-        except ScanError:  # a branch that can't be read is left out; the others are still swept
-            continue
-        swept.append((files_b.withColumn("branch", F.lit(name)), ranges_b.withColumn("branch", F.lit(name))))
-    if not swept:
-        return empty
-    files_b, ranges_b = (reduce(DataFrame.unionByName, x) for x in zip(*swept))
-    names = spark.createDataFrame([(n,) for n in others], "branch string")
-    keys = ("branch", "file")
-    return ranges.alerts(ranges.predict_conflicts(ranges_a.join(F.broadcast(names)), ranges_b, files_a.join(F.broadcast(names)), files_b, keys), current)  # a handful of names
+    others = ranges.other_branches(refs.where("not is_remote"), refs.where("is_remote"), current, main).select(F.col("short_name").alias("asked"))
+    asked = others.union(spark.createDataFrame([(current,)], "asked string"))
+    known = commits.resolve_refs(refs, asked).where("sha is not null").orderBy("asked").collect()  # names and commits of branches
+    both = gitrepo.load(spark, path, "branch_diffs", ref=tip, branches="\n".join(f"{r['asked']}\t{r['sha']}" for r in known))
+    keys = ["branch", "file"]
+    files = diff.name_status(both.select(F.col("branch").alias("diff_id"), F.col("name_status").alias("raw"))).select(F.col("diff_id").alias("branch"), F.col("path").alias("file"))
+    found = diff.changed_ranges(both.select(F.col("branch").alias("diff_id"), "raw")).where("start_line is not null").drop("seq").withColumnsRenamed({"diff_id": "branch", "path": "file"})
+    own = F.col("branch") == current
+    theirs = files.where(~own).distinct()
+    beside = lambda mine: mine.where(own).drop("branch").join(theirs, "file")  # noqa: E731  # each file of this branch beside the branches that changed it
+    return ranges.alerts(ranges.predict_conflicts(beside(found).select(*keys, *[c for c in found.columns if c not in keys]), found.where(~own), beside(files).select(*keys), theirs, tuple(keys)), current)

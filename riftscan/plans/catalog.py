@@ -260,8 +260,9 @@ def cross_branch_sweep(s: SparkSession, d: str) -> DataFrame:
     local = s.createDataFrame([("work",), ("main",), ("b0",)], "short_name string")
     remote = s.createDataFrame([("b1",), ("b2",), ("origin/HEAD",), ("origin/work",), ("origin/main",)], "short_name string")
     others = ranges.other_branches(local, remote, "work").withColumnRenamed("short_name", "branch")
-    a = a.join(F.broadcast(others))  # a handful of branch names
+    b = b.join(F.broadcast(others), "branch", "left_semi")  # a handful of branch names
     keys = ("branch", "file")
+    a = a.join(b.select(*keys).distinct(), "file")  # each file beside the branches that changed it
     found = ranges.predict_conflicts(a, b, a.select(*keys), b.select(*keys), keys)
     return ranges.alerts(found, "work").select("branch", "file", "risk", "score", "message")
 

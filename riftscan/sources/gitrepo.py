@@ -2,8 +2,10 @@
 
 ``spark.read.format("gitrepo").option("path", p).option("table", t).load()``
 with a table of: refs, commits, edges, tree, files, name_status, diff,
-merge_tree, status. ``ref`` and ``base`` name the commits (tree, files, diff
-and so on); files are read in parallel, a partition for each part of the tree.
+branch_diffs, merge_tree, status. ``ref`` and ``base`` name the commits (tree,
+files, diff and so on); files are read in parallel, a partition for each part
+of the tree. branch_diffs compares each of ``branches`` (lines of name, tab,
+commit) with where it left ``ref``, a partition for each branch.
 The repository must be at the same path on every executor.
 """
 
@@ -28,10 +30,13 @@ SCHEMAS = {
     "files": "ref string, path string, source string",
     "name_status": "diff_id string, raw string",
     "diff": "diff_id string, raw string",
+    "branch_diffs": "branch string, name_status string, raw string",
     "merge_tree": "diff_id string, raw string",
     "status": "is_clean boolean, staged array<string>, modified array<string>, untracked array<string>",
 }
 PARTS = 16
+# What two commits are compared by.
+RENAMES, CONTEXT, NAMES_ONLY = "-M90%", ("-U3",), ("--name-status",)
 
 
 def find_root(path: str) -> str:
@@ -85,8 +90,11 @@ class GitReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.root = open_repository(options["path"])["root"]
         self.table, self.ref, self.base = options.get("table", "refs"), options.get("ref", "HEAD"), options.get("base")
+        self.branches = options.get("branches", "").splitlines()
 
     def partitions(self) -> list[InputPartition]:
+        if self.table == "branch_diffs":
+            return [Part([b]) for b in self.branches] or [Part([])]
         if self.table != "files":
             return [Part(None)]
         paths = self.tree()
@@ -124,14 +132,36 @@ class GitReader(DataSourceReader):
             yield self.ref, p
 
     def read_files(self, part: Part) -> Iterator[tuple]:
-        for p in part.paths or []:
-            yield self.ref, p, git(self.root, "show", f"{self.ref}:{p}", codes=(0, 128))
+        """One process for all files of a partition; a file at a time is held."""
+        with subprocess.Popen(["git", "-C", self.root, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE, env=os.environ | {"LC_ALL": "C"}) as run:
+            for p in part.paths or []:
+                if "\n" in p:
+                    yield self.ref, p, git(self.root, "show", f"{self.ref}:{p}", codes=(0, 128))
+                    continue
+                run.stdin.write(f"{self.ref}:{p}\n".encode())
+                run.stdin.flush()
+                head = run.stdout.readline().split()
+                found = len(head) == 3 and head[1] == b"blob"
+                raw = run.stdout.read(int(head[2]) + 1)[:-1] if len(head) == 3 and head[2].isdigit() else b""
+                yield self.ref, p, raw.decode(errors="replace") if found else ""
+            run.stdin.close()
+
+    def compare(self, what: tuple[str, ...], base: str, ref: str) -> str:
+        return git(self.root, "-c", "core.quotepath=off", "diff", *what, RENAMES, f"{base}..{ref}")
 
     def read_name_status(self, part: Part) -> Iterator[tuple]:
-        yield f"{self.base}..{self.ref}", git(self.root, "-c", "core.quotepath=off", "diff", "--name-status", "-M90%", f"{self.base}..{self.ref}")
+        yield f"{self.base}..{self.ref}", self.compare(NAMES_ONLY, self.base, self.ref)
 
     def read_diff(self, part: Part) -> Iterator[tuple]:
-        yield f"{self.base}..{self.ref}", git(self.root, "-c", "core.quotepath=off", "diff", "-U3", "-M90%", f"{self.base}..{self.ref}")
+        yield f"{self.base}..{self.ref}", self.compare(CONTEXT, self.base, self.ref)
+
+    def read_branch_diffs(self, part: Part) -> Iterator[tuple]:
+        for name, sha in (line.split("\t") for line in part.paths or []):
+            try:
+                base = merge_base(self.root, self.ref, sha)
+                yield name, self.compare(NAMES_ONLY, base, sha), self.compare(CONTEXT, base, sha)
+            except ScanError:  # a branch that can't be read is left out; the others are still swept
+                continue
 
     def read_merge_tree(self, part: Part) -> Iterator[tuple]:
         # Exit code 1 says that there are conflicts. Messages are left out: only paths follow the tree's name.

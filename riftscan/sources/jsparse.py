@@ -52,7 +52,8 @@ def scan(text: str, line: int, out: list[Token]) -> int:
         elif c.isspace():
             at += 1
         elif text.startswith("//", at) or (c == "#" and at == 0 and text.startswith("#!")):
-            at = text.find("\n", at) if "\n" in text[at:] else n
+            end = text.find("\n", at)
+            at = n if end < 0 else end
         elif text.startswith("/*", at):
             end = text.find("*/", at + 2)
             end = n if end < 0 else end + 2
