@@ -1,9 +1,15 @@
 """The corpus pipeline: five stages over documents, each reading what its predecessor wrote.
 
 Every stage but the last returns the columns of documents, so stages can be
-run, kept and repeated one by one; the last returns the packed pieces. Null
-texts: the quality stage rejects them (no words), and every later stage has a
-defined result for them should it be given any.
+run, kept and repeated one by one; the last returns the packed pieces.
+
+Defined results, for a stage given any of these: null and empty texts are
+rejected by the quality stage (no words) and kept by the others, a null or
+empty text being packed as the end token alone; a very long text is judged,
+redacted and packed as a whole; repeated rows are judged alike, and one of them
+stays after near_duplicates; of tied copies the least doc_id (then text hash)
+stays, null ids last; an empty table gives an empty result; other columns, with
+whatever names, are kept up to the last stage, which ignores them.
 """
 
 from __future__ import annotations
