@@ -26,7 +26,9 @@ PROVIDERS = (
     ("JSON Web Token", r"()(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", "high", "critical"),
 )
 ENV_FILE = r"(\A\s*(?:export\s+)?[A-Z][A-Z0-9_]*(?:SECRET|TOKEN|PASSWORD|KEY)[A-Z0-9_]*\s*=\s*[\"']?)([^\s\"'#]{8,})"
-GENERIC = r"((?i:api_?key|apikey|secret|token|passw(?:or)?d|auth|credential)[A-Za-z0-9_]*\s*[:=]\s*[\"'])([A-Za-z0-9+/=_.-]{16,})[\"']"
+#: A value is masked even if its closing quote is missing.
+GENERIC_OPEN = r"((?i:api_?key|apikey|secret|token|passw(?:or)?d|auth|credential)[A-Za-z0-9_]*\s*[:=]\s*[\"'])([A-Za-z0-9+/=_.-]{16,})"
+GENERIC = GENERIC_OPEN + "[\"']"
 LOOSE = r"([\"'])([A-Za-z0-9+/=_-]{20,})[\"']"
 PLACEHOLDER = r"(?i)your[-_]|change[-_ ]?me|example|placeholder|dummy|sample|xxxx|<[^>]+>|todo|replace"
 ENVIRONMENT = r"process\.env|os\.environ|getenv|\$\{|\$\("
@@ -46,7 +48,7 @@ def masked(content: Column) -> Column:
         out = F.regexp_replace(out, pattern, "$1" + MASK + after)
     out = F.regexp_replace(out, ENV_FILE, "$1" + MASK)
     out = F.regexp_replace(out, r"(\b(?:sk|pk|rk)-)[A-Za-z0-9_-]{8,}", "$1" + MASK)
-    out = F.regexp_replace(out, GENERIC.removesuffix("[\"']"), "$1" + MASK)
+    out = F.regexp_replace(out, GENERIC_OPEN, "$1" + MASK)
     return F.regexp_replace(out, r"([\"'])[A-Za-z0-9+/=_-]{20,}", "$1" + MASK)
 
 

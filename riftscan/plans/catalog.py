@@ -126,6 +126,15 @@ def injection_lookahead(s: SparkSession, d: str) -> DataFrame:
     return rules.scan_injections(view(s, d, "code_lines")).where(F.col("rule_name").isin(*LOOKAHEAD)).select("file", "line", "rule_name")
 
 
+# What each kind of line comes to is written out: no pattern is shared with the rules.
+LITERALS_SQL = "SELECT file, line, CASE WHEN kind IN (3, 4) THEN 'Unsafe eval()' WHEN kind IN (8, 9) THEN 'Unsafe Function() Constructor' ELSE 'Unsanitized innerHTML Assignment' END AS rule_name, CASE WHEN kind IN (12, 14) THEN 'medium' ELSE 'high' END AS suggested_level FROM literal_lines WHERE kind IN (3, 4, 8, 9, 12, 14)"
+
+
+@query(with_views(LITERALS_SQL, "literal_lines"))
+def injection_literals(s: SparkSession, d: str) -> DataFrame:
+    return rules.scan_injections(view(s, d, "literal_lines")).select("file", "line", "rule_name", "suggested_level")
+
+
 @query(with_views("""SELECT file, line, array_to_string(list(content) OVER (PARTITION BY file ORDER BY line, content ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), chr(10)) AS surrounding FROM code_lines""", "code_lines"))
 def surrounding_lines(s: SparkSession, d: str) -> DataFrame:
     return diff.surrounding(view(s, d, "code_lines")).select("file", "line", F.array_join("surrounding", "\n").alias("surrounding"))
@@ -148,6 +157,26 @@ def secret_findings(s: SparkSession, d: str) -> DataFrame:
     return secrets.scan_secrets(lines).select("file", "line", "rule_name", "confidence")
 
 
+BITS_SQL = "list_sum(list_transform(list_distinct(string_split({v}, '')), lambda c: -((length({v}) - length(replace({v}, c, ''))) / length({v})) * log2((length({v}) - length(replace({v}, c, ''))) / length({v}))))"
+# Rule and masked line of each kind, written out; only for generic and loose values does the measure of randomness decide.
+MASKED_SQL = f""", kinds AS (SELECT *, CASE WHEN kind IN (0, 17) THEN 'AWS Access Key ID' WHEN kind = 1 THEN 'AWS Secret Access Key' WHEN kind = 2 THEN 'Private Key' WHEN kind = 3 THEN 'GitHub Token' WHEN kind = 4 THEN 'Database Connection String'
+  WHEN kind = 5 THEN 'Slack Token' WHEN kind = 6 THEN 'JSON Web Token' WHEN kind = 7 THEN '.env Secret' WHEN kind = 8 THEN 'Generic API Key or Token' WHEN kind IN (9, 16) THEN 'High-Entropy String' END AS rule_name,
+  CASE kind WHEN 0 THEN 'const id = "#";' WHEN 1 THEN 'aws_secret_access_key = "#"' WHEN 2 THEN '#' WHEN 3 THEN 'token = "#"' WHEN 4 THEN 'url = "postgres://admin:#@db.local:5432/x"' WHEN 5 THEN 'slack("#")' WHEN 6 THEN 'jwt #'
+   WHEN 7 THEN 'DB_PASSWORD=#' WHEN 8 THEN 'password: "#"' WHEN 9 THEN 'call("#")' WHEN 16 THEN 'key = "sk-#"' ELSE 'a("#"); token = "#"' END AS shown,
+  CASE kind WHEN 8 THEN {BITS_SQL.format(v="h")} WHEN 9 THEN {BITS_SQL.format(v="substr(content, 7, 64)")} WHEN 16 THEN {BITS_SQL.format(v="substr(content, 8, 67)")} END AS bits FROM secret_lines)
+SELECT file, line, rule_name, CASE WHEN kind = 8 THEN 'medium' WHEN kind IN (9, 16) THEN 'low' ELSE 'high' END AS confidence, CASE WHEN kind = 8 THEN 'high' WHEN kind IN (9, 16) THEN 'medium' ELSE 'critical' END AS suggested_level,
+  replace(shown, '#', '***REDACTED***') AS redacted_preview, false AS leaks FROM kinds WHERE rule_name IS NOT NULL AND CASE WHEN kind = 8 THEN bits >= 3.5 WHEN kind IN (9, 16) THEN bits > 4 ELSE true END"""
+
+
+@query(with_views(MASKED_SQL, "secret_lines"))
+def secret_masking(s: SparkSession, d: str) -> DataFrame:
+    """Findings with what they show; ``leaks`` tells whether any of their fields holds the beginning of the line's value."""
+    found = secrets.scan_secrets(view(s, d, "secret_lines"))
+    value = F.substring(F.md5(F.col("line").cast("string")), 1, 10)
+    everything = F.lower(F.concat_ws(" ", *[c for c, t in found.dtypes if t == "string"]))
+    return found.select("file", "line", "rule_name", "confidence", "suggested_level", "redacted_preview", F.contains(everything, value).alias("leaks"))
+
+
 @query(r"""WITH words AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_split_to_array(text, '\s+')) AS w FROM documents) WHERE length(w) >= 12), letters AS (SELECT w, unnest(string_split(w, '')) AS ch FROM words),
 p AS (SELECT w, ch, CAST(count(*) AS DOUBLE) / any_value(length(w)) AS p FROM letters GROUP BY w, ch) SELECT w AS word, round(abs(-sum(p * log2(p))), 6) AS bits FROM p GROUP BY w""")
 def entropy(s: SparkSession, d: str) -> DataFrame:
@@ -346,11 +375,15 @@ def js_signatures(s: SparkSession, d: str) -> DataFrame:
     return found.select("file", "name", F.array_join("params", ",").alias("params"))
 
 
-@query(with_views("SELECT caller_file AS file, called_function, count(*) AS n FROM call_sites WHERE ref = 'A' GROUP BY 1, 2", "call_sites"))
+CALL_LINES_SQL = """, functions AS (SELECT file, count(*) AS n FROM signatures WHERE ref = 'A' GROUP BY file)
+SELECT caller_file AS file, called_function, CAST(coalesce(n, 0) + row_number() OVER (PARTITION BY caller_file ORDER BY concat(called_function, CAST(line AS STRING))) AS INTEGER) AS line FROM call_sites LEFT JOIN functions ON file = caller_file WHERE ref = 'A'"""
+
+
+@query(with_views(CALL_LINES_SQL, "call_sites", "signatures"))
 def js_call_sites(s: SparkSession, d: str) -> DataFrame:
+    """Call sites with their lines in the rendered sources, where calls follow the functions."""
     jsparse.register(s)
-    found = s.sql("SELECT s.file, f.* FROM {src} s, LATERAL js_call_sites(s.source) f", src=js_sources(s, d))
-    return found.groupBy("file", "called_function").agg(F.count("*").alias("n"))
+    return s.sql("SELECT s.file, f.* FROM {src} s, LATERAL js_call_sites(s.source) f", src=js_sources(s, d))
 
 
 def all_risks(s: SparkSession, d: str) -> DataFrame:

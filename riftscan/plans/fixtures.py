@@ -64,7 +64,52 @@ STATUS_LINES = """SELECT CAST(p_partkey % 20 AS STRING) AS diff_id, CAST(p_partk
 MERGE_LINES = """SELECT CAST(p_partkey % 20 AS STRING) AS diff_id, CAST(p_partkey AS INT) AS pos, CASE p_partkey % 6 WHEN 0 THEN concat(md5(p_name), '01234567') WHEN 1 THEN concat('  src/', CAST(p_partkey % 60 AS STRING), '.js ', chr(13)) WHEN 2 THEN concat('fatal: ', p_name)
  WHEN 3 THEN '' WHEN 4 THEN concat('Auto-merging ', CAST(p_partkey % 60 AS STRING)) ELSE concat('x failed with exit code ', p_name) END AS text FROM part"""
 
+# Values in each provider's format and next to them those that are none; every kind's values follow from the key.
+SECRET_LINES = """SELECT CASE WHEN k % 18 = 7 THEN concat('app', CAST(k % 9 AS STRING), '/.env') ELSE concat('src/s', CAST(k % 40 AS STRING), '.js') END AS file, k AS line, h, CAST(k % 18 AS INT) AS kind,
+ CASE k % 18
+  WHEN 0 THEN concat('const id = "AKIA', upper(substr(h, 1, 16)), '";')
+  WHEN 1 THEN concat('aws_secret_access_key = "', h, substr(g, 1, 8), '"')
+  WHEN 2 THEN '-----BEGIN RSA PRIVATE KEY-----'
+  WHEN 3 THEN concat('token = "ghp_', h, substr(g, 1, 6), '"')
+  WHEN 4 THEN concat('url = "postgres://admin:', substr(h, 1, 12), '@db.local:5432/x"')
+  WHEN 5 THEN concat('slack("xoxb-', substr(h, 1, 12), '-', substr(g, 1, 20), '")')
+  WHEN 6 THEN concat('jwt eyJ', h, '.', g, '.', h)
+  WHEN 7 THEN concat('DB_PASSWORD=', h)
+  WHEN 8 THEN concat('password: "', h, '"')
+  WHEN 9 THEN concat('call("', h, upper(g), '")')
+  WHEN 10 THEN 'api_key = "your-api-key-goes-here"; secret = "CHANGE_ME_CHANGE_ME"'
+  WHEN 11 THEN concat('token = process.env.T_', upper(h))
+  WHEN 12 THEN concat('token = process.env["', upper(h), '"]')
+  WHEN 13 THEN 'secret = "aaaaaaaaaaaaaaaaaaaa"'
+  WHEN 14 THEN concat('password = "', substr(h, 1, 10), '"')
+  WHEN 15 THEN concat('url = "postgres://u:', chr(36), '{DB_PASS}@db.local/x"')
+  WHEN 16 THEN concat('key = "sk-', h, upper(g), '"')
+  ELSE concat('a("AKIA', upper(substr(h, 1, 16)), '"); token = "', h, '"') END AS content
+ FROM (SELECT CAST(o_orderkey AS INT) AS k, md5(CAST(o_orderkey AS STRING)) AS h, md5(concat('g', CAST(o_orderkey AS STRING))) AS g FROM orders) x"""
+
+# Calls of what the look-ahead rules watch, with literals and with values.
+LITERAL_LINES = """SELECT concat('src/l', CAST(o_custkey % 40 AS STRING), '.js') AS file, CAST(o_orderkey AS INT) AS line, CAST(o_orderkey % 16 AS INT) AS kind,
+ CASE o_orderkey % 16
+  WHEN 0 THEN 'eval("1 + 1")'
+  WHEN 1 THEN 'eval(''x'')'
+  WHEN 2 THEN 'eval(`x`)'
+  WHEN 3 THEN concat('eval(code', CAST(o_custkey AS STRING), ')')
+  WHEN 4 THEN concat('eval("a" + code', CAST(o_custkey AS STRING), ')')
+  WHEN 5 THEN concat('evaluate(code', CAST(o_custkey AS STRING), ')')
+  WHEN 6 THEN concat('EVAL(code', CAST(o_custkey AS STRING), ')')
+  WHEN 7 THEN 'new Function("return 1")'
+  WHEN 8 THEN concat('new Function(body', CAST(o_custkey AS STRING), ')')
+  WHEN 9 THEN concat('new Function("a", "return " + b', CAST(o_custkey AS STRING), ')')
+  WHEN 10 THEN 'el.innerHTML = "<b>x</b>";'
+  WHEN 11 THEN 'el.innerHTML = '''''
+  WHEN 12 THEN concat('el.innerHTML = v', CAST(o_custkey AS STRING), ';')
+  WHEN 13 THEN concat('el.innerHTML = DOMPurify.sanitize(v', CAST(o_custkey AS STRING), ');')
+  WHEN 14 THEN concat('el.innerHTML = "<b>" + v', CAST(o_custkey AS STRING), ';')
+  ELSE concat('db.query(`SELECT a FROM t WHERE id = ', chr(36), '1`, [v', CAST(o_custkey AS STRING), '])') END AS content FROM orders"""
+
 VIEWS = {
+    "secret_lines": SECRET_LINES,
+    "literal_lines": LITERAL_LINES,
     "code_lines": CODE_LINES,
     "branch_ranges": BRANCH_RANGES,
     "signatures": SIGNATURES,

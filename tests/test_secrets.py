@@ -58,3 +58,9 @@ def test_documents(spark):
             want.add(r.line)
     got = {r.line for r in secrets.scan_secrets(lines).where(F.col("rule_name") == GENERIC[0]).collect()}
     assert got == want and 460 in got
+
+
+@pytest.mark.parametrize("content, want", [(f'token = "{REAL}" + x', 'token = "***REDACTED***" + x'), ('token = "abcd1234efgh5678', 'token = "***REDACTED***')])
+def test_mask_leaves_quotes(spark, content, want):
+    rows = spark.createDataFrame([(content,)], "content string")
+    assert rows.select(secrets.masked(F.col("content"))).first()[0] == want
