@@ -2,34 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riftscan.functions import text
 from riftscan.functions.levels import health_color, overlap_label
 from riftscan.operators import commits, diff, findings, ranges, report, rules, score, secrets, semantic
-from riftscan.plans import analysis
+from riftscan.plans import analysis, gitqueries  # noqa: F401  registers its queries
 from riftscan.plans.fixtures import view, with_views
+from riftscan.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from riftscan.sources import jsparse
 from riftscan.streaming import events as ev
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function as a query, with its SQL."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
 
 def rendered(lines: DataFrame, key: str, order: str, value: str, separator: str = "\n") -> DataFrame:
     """diff_id, raw: the texts of a key joined in order."""
