@@ -3,9 +3,9 @@
 A tokenizer and two scans over its tokens: no syntax tree, so broken sources
 still give what can be told from their tokens. Recognised: function
 declarations; variables bound to a function or an arrow function; class
-methods; object methods; calls of an identifier or of a member. Not
-recognised: calls with explicit type arguments (``f<T>(x)``), computed and
-private names, optional calls (which are no plain calls).
+methods; object methods; calls of an identifier or of a member, with or
+without type arguments (``f<T>(x)``). Not recognised: computed and private
+names, optional calls (which are no plain calls).
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ OPERATOR = re.compile(r"\.\.\.|=>|\?\.(?![0-9])|===|!==|==|!=|<=|>=|&&|\|\||\?\?
 REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n]|\\.|\[(?:[^\\\]\n]|\\.)*\])+/[a-z]*")
 BEFORE_VALUE = set("return typeof instanceof in of new delete void throw case do else yield await default".split())
 STATEMENTS = set("if for while switch catch with return typeof await yield throw new delete void in of instanceof do else case function class super import async".split())
+TYPE_PARTS = {".", ",", "|", "&", "=>", "..."}
 MODIFIERS = set("static async get set public private protected readonly abstract override declare".split())
 
 
@@ -329,14 +330,37 @@ def signatures(source: str) -> list[Signature]:
     return [s for _, s in sorted(found, key=lambda x: x[0])]
 
 
+def type_arguments(toks: list[Token]) -> dict[int, int]:
+    """Index of the closing '>' of each '<' that follows a name and holds nothing but what types are made of."""
+    out, opened = {}, []  # -1 stands for a bracket
+    for k, t in enumerate(toks):
+        if t.kind != "op":
+            continue
+        if t.text in "([{":
+            opened.append(-1)
+        elif t.text in ")]}":
+            while opened and opened.pop() >= 0:
+                pass
+        elif t.text == "<" and k and toks[k - 1].kind == "id":
+            opened.append(k)
+        elif t.text == ">" and opened and opened[-1] >= 0:
+            out[opened.pop()] = k
+        elif t.text not in TYPE_PARTS:
+            while opened and opened[-1] >= 0:
+                opened.pop()
+    return out
+
+
 def call_sites(source: str) -> list[tuple[str, int]]:
     """(called function, line on which the call starts)."""
     toks = tokens(source)
     pairs = pairs_of(toks)
     defined = set(methods(toks, pairs, braces(toks, pairs)))
+    typed = type_arguments(toks)
     out = []
     for k, t in enumerate(toks[:-1]):
-        if t.kind != "id" or toks[k + 1].text != "(" or k in defined:
+        at = typed.get(k + 1, k) + 1
+        if t.kind != "id" or at >= len(toks) or toks[at].text != "(" or toks[at].kind != "op" or k in defined:
             continue
         last = toks[k - 1] if k else None
         member = last is not None and last.text == "."

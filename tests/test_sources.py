@@ -58,6 +58,15 @@ def test_call_sites():
     assert jsparse.call_sites("a.b.c(1); require('x'); f()(2)") == [("c", 1), ("require", 1), ("f", 1)]
 
 
+def test_call_sites_with_type_arguments():
+    names = lambda source: [n for n, _ in jsparse.call_sites(source)]
+    assert names("load<User>(id); api.get<Map<string, A[]>>(x); g<{ a: B; c?: D }, (x: E) => F>()") == ["load", "get", "g"]
+    assert names("class C { m<T>(x: T) { return x; } } function f<T>(x: T) {} new Map<string, number>(); const h = async <T>(x: T) => x;") == []
+    assert names("if (a < b && c > (d)) e(); for (i = 0; i < n; i++) x > (y);") == ["e"]
+    assert names("a<" * 20000 + "b>(c)") == ["a"]
+    assert names("f('('); s = '<'; g(1)") == ["f", "g"]
+
+
 @pytest.mark.parametrize("broken", ["function (", "class {", "const a = (", "`${", "/* never", "'open", "}{)(", "function f(a, {"])
 def test_broken_sources(broken):
     jsparse.signatures(broken)
