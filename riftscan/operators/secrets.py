@@ -3,8 +3,21 @@
 The rules are our own; what they must do is that provider formats are found
 with high confidence whatever their surroundings, generic assignments and
 random-looking strings with less, placeholders and references to the
-environment not at all, and that no raw value leaves the scanner: every match
-on a line is masked before the line is shown by any finding.
+environment not at all, and that no raw value leaves the scanner.
+
+What a finding shows of a line is masked before any other use: the places of
+all values that any rule could name are found on the line as it is, united,
+and replaced together, so that no replacement hides a value from the next
+rule. A mask takes the whole value, not the part that a rule needs to tell it:
+
+* a quoted value up to its closing quote, that is, the first one that something
+  follows which ends a value (a comma, a bracket, an operator, the line's end);
+  without one, all of the rest of the line;
+* the password of a connection string up to the last ``@`` of that value;
+* all that an environment file assigns, blanks and ``#`` included;
+* all of a line after the beginning of a private key.
+
+A mask may so take more than the value; what it shows is never part of one.
 """
 
 from __future__ import annotations
@@ -12,24 +25,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riftscan.functions.spans import group_spans, let, none, replaced, united
 from riftscan.functions.text import shannon_entropy, trim_all, truncate
 from riftscan.operators.rules import exploded, finding_fields
 
+DATABASE = r"(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp|mssql)://[^:/\s\"'`@]*:"
+#: What follows a quote that closes a value.
+CLOSES = r"\s*+(?:[;,)\]}:+|&?/#=<>.-]|\z)"
+
+
+def inside(quote: str) -> str:
+    """What a quoted value holds, up to the quote that closes it or the line's end."""
+    return rf"(?:\\.|(?!{quote}{CLOSES}).)*+"
+
+
 #: name, pattern (group 1 is shown, group 2 is masked), confidence, level.
 PROVIDERS = (
     ("AWS Access Key ID", r"()(AKIA[0-9A-Z]{16})", "high", "critical"),
-    ("AWS Secret Access Key", r"((?i:aws)[A-Za-z_]*(?i:secret)[A-Za-z_]*\s*[:=]\s*[\"'])([A-Za-z0-9/+=]{40})", "high", "critical"),
+    ("AWS Secret Access Key", r"((?i:aws)[A-Za-z_]*(?i:secret)[A-Za-z_]*[\"'`]?\s*[:=]\s*[\"'`]?)([A-Za-z0-9/+=]{40})(?![A-Za-z0-9/+=])", "high", "critical"),
     ("Private Key", r"()(-----BEGIN [A-Z ]*PRIVATE KEY-----)", "high", "critical"),
     ("GitHub Token", r"()(gh[pousr]_[A-Za-z0-9]{36,})", "high", "critical"),
-    ("Database Connection String", r"((?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp|mssql)://[^:/\s\"']*:)([^@\s\"']+)@", "high", "critical"),
+    ("Database Connection String", r"(" + DATABASE + r")([^\s\"'`]+)@", "high", "critical"),
     ("Slack Token", r"()(xox[baprs]-[0-9A-Za-z-]{10,})", "high", "critical"),
     ("JSON Web Token", r"()(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", "high", "critical"),
 )
-ENV_FILE = r"(\A\s*(?:export\s+)?[A-Z][A-Z0-9_]*(?:SECRET|TOKEN|PASSWORD|KEY)[A-Z0-9_]*\s*=\s*[\"']?)([^\s\"'#]{8,})"
-#: A value is masked even if its closing quote is missing.
-GENERIC_OPEN = r"((?i:api_?key|apikey|secret|token|passw(?:or)?d|auth|credential)[A-Za-z0-9_]*\s*[:=]\s*[\"'])([A-Za-z0-9+/=_.-]{16,})"
-GENERIC = GENERIC_OPEN + "[\"']"
-LOOSE = r"([\"'])([A-Za-z0-9+/=_-]{20,})[\"']"
+ENV_NAME = r"\A\s*(?:export\s+)?[A-Z][A-Z0-9_]*(?:SECRET|TOKEN|PASSWORD|KEY)[A-Z0-9_]*\s*=\s*"
+ENV_FILE = ENV_NAME + r"(?:\"[^\"]{8,}|'[^']{8,}|[^\s\"'#]{8,})"
+NAMES = "api_?key|apikey|secret|token|passw(?:or)?d|auth|credential"
+GENERIC = rf"((?i:{NAMES})[A-Za-z0-9_]*\s*[:=]\s*[\"'`])([A-Za-z0-9+/=_.-]{{16,}})[\"'`]"
+LOOSE = r"([\"'`])([A-Za-z0-9+/=_-]{20,})[\"'`]"
+#: Marks of a key's kind, which a mask leaves.
+MARK = "(?:(?:sk|pk|rk)-)?"
+#: Patterns whose second group is masked.
+VALUES = (
+    r"()(AKIA[0-9A-Z]{16,}+)",
+    r"()(-----BEGIN [A-Z ]*PRIVATE KEY-----.*+)",
+    r"()(gh[pousr]_[A-Za-z0-9]{36,}+)",
+    r"()(xox[baprs]-[0-9A-Za-z-]{10,}+)",
+    r"()(eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_.-]{8,}+)",
+    r"(\b(?:sk|pk|rk)-)([A-Za-z0-9_-]{8,}+)",
+    rf"({ENV_NAME}[\"'`]?)(.+?)(?=[\"'`]?\s*\z)",
+    *[rf"((?i:{NAMES}|key|pwd|passphrase)[A-Za-z0-9_-]{{0,64}}+[\"'`]?\s*+[:=]\s*+{q}{MARK})({inside(q)})" for q in ("\"", "'", "`")],
+    rf"((?i:{NAMES}|key|pwd|passphrase)[A-Za-z0-9_-]{{0,64}}+\s*+[:=]\s*+)(?=[^\s\"'`();,]*[0-9])([^\s\"'`();,{{}}\[\]]{{16,}}+)",
+    *[rf"({q}{MARK})(?=[A-Za-z0-9+/=_-]{{20}})({inside(q)})" for q in ("\"", "'", "`")],
+)
+#: Connection strings in quotes, and any; of group 2 what stands before the last @ is the password.
+QUOTED_DATABASE = tuple(rf"({q}{DATABASE})(?![0-9]+(?:[/?]|{q}|\z))({inside(q)})" for q in ("\"", "'", "`"))
+ANY_DATABASE = rf"({DATABASE})(.*+)"
 PLACEHOLDER = r"(?i)your[-_]|change[-_ ]?me|example|placeholder|dummy|sample|xxxx|<[^>]+>|todo|replace"
 ENVIRONMENT = r"process\.env|os\.environ|getenv|\$\{|\$\("
 #: A quoted name of an environment variable: no value.
@@ -40,16 +82,17 @@ GENERIC_ENTROPY, LOOSE_ENTROPY = 3.5, 4.0
 MASK = "***REDACTED***"
 
 
+def before_at(value: Column) -> Column:
+    """Length of what stands before the last @; 0 if there is none."""
+    return F.when(F.contains(value, F.lit("@")), F.length(value) - F.length(F.substring_index(value, "@", -1)) - 1).otherwise(0)
+
+
 def masked(content: Column) -> Column:
-    """The line with every value that any rule could find masked."""
-    out = content
-    for _, pattern, _, _ in PROVIDERS:
-        after = "@" if pattern.endswith(")@") else ""
-        out = F.regexp_replace(out, pattern, "$1" + MASK + after)
-    out = F.regexp_replace(out, ENV_FILE, "$1" + MASK)
-    out = F.regexp_replace(out, r"(\b(?:sk|pk|rk)-)[A-Za-z0-9_-]{8,}", "$1" + MASK)
-    out = F.regexp_replace(out, GENERIC_OPEN, "$1" + MASK)
-    return F.regexp_replace(out, r"([\"'])[A-Za-z0-9+/=_-]{20,}", "$1" + MASK)
+    """The line with every value that any rule could name masked."""
+    spans = [group_spans(content, "(?s)" + p) for p in VALUES]
+    databases = [group_spans(content, "(?s)" + p, before_at) for p in (*QUOTED_DATABASE, ANY_DATABASE)]
+    spans.append(F.when(F.contains(content, F.lit("://")), F.concat(*databases)).otherwise(none()))
+    return let(united(F.concat(*spans)), lambda found: replaced(content, found, MASK))
 
 
 def benign(value: Column) -> Column:
@@ -59,11 +102,16 @@ def benign(value: Column) -> Column:
 
 def real_password(pattern: str) -> Column:
     """Whether a connection string of the line holds a password itself."""
-    return F.exists(F.regexp_extract_all("content", F.lit(pattern), F.lit(2)), lambda v: ~v.rlike(ENVIRONMENT))
+    real = lambda v: ~v.rlike(ENVIRONMENT)
+    held = F.exists(F.regexp_extract_all("content", F.lit(pattern), F.lit(2)), real)
+    for p in QUOTED_DATABASE:  # in quotes a password may hold blanks and other quotes
+        values = F.regexp_extract_all("content", F.lit("(?s)" + p), F.lit(2))
+        held = held | F.exists(values, lambda v: (before_at(v) > 0) & real(F.substring(v, F.lit(1), before_at(v))))
+    return F.contains(F.col("content"), F.lit("://")) & held
 
 
 #: What the line may hold for any rule to match: everything else is left out by one look.
-ANY = r"AKIA|(?i:secret|token|passw|key|auth|credential)|PRIVATE KEY|gh[pousr]_|://|xox|eyJ|[\"'][A-Za-z0-9+/=_-]{20}"
+ANY = r"AKIA|(?i:secret|token|passw|key|auth|credential)|PRIVATE KEY|gh[pousr]_|://|xox|eyJ|[\"'`][A-Za-z0-9+/=_-]{20}"
 HARDCODED = "hardcoded_secret"
 RULES = [(HARDCODED, "the line holds a value in this provider's format", name, confidence, level) for name, _, confidence, level in PROVIDERS] + [
     (HARDCODED, "an environment file assigns a secret", ".env Secret", "high", "critical"),

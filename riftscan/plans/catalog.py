@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riftscan.functions import text
 from riftscan.functions.levels import health_color, overlap_label
 from riftscan.operators import commits, diff, findings, ranges, report, rules, score, secrets, semantic
-from riftscan.plans import analysis, gitqueries  # noqa: F401  registers its queries
+from riftscan.plans import analysis, gitqueries, versions  # noqa: F401  registers their queries
 from riftscan.plans.fixtures import view, with_views
 from riftscan.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from riftscan.sources import jsparse
@@ -143,22 +143,24 @@ def secret_findings(s: SparkSession, d: str) -> DataFrame:
 
 BITS_SQL = "list_sum(list_transform(list_distinct(string_split({v}, '')), lambda c: -((length({v}) - length(replace({v}, c, ''))) / length({v})) * log2((length({v}) - length(replace({v}, c, ''))) / length({v}))))"
 # Rule and masked line of each kind, written out; only for generic and loose values does the measure of randomness decide.
-MASKED_SQL = f""", kinds AS (SELECT *, CASE WHEN kind IN (0, 17) THEN 'AWS Access Key ID' WHEN kind = 1 THEN 'AWS Secret Access Key' WHEN kind = 2 THEN 'Private Key' WHEN kind = 3 THEN 'GitHub Token' WHEN kind = 4 THEN 'Database Connection String'
-  WHEN kind = 5 THEN 'Slack Token' WHEN kind = 6 THEN 'JSON Web Token' WHEN kind = 7 THEN '.env Secret' WHEN kind = 8 THEN 'Generic API Key or Token' WHEN kind IN (9, 16) THEN 'High-Entropy String' END AS rule_name,
+MASKED_SQL = f""", kinds AS (SELECT *, CASE WHEN kind IN (0, 17, 22, 26) THEN 'AWS Access Key ID' WHEN kind IN (1, 23) THEN 'AWS Secret Access Key' WHEN kind IN (2, 18) THEN 'Private Key' WHEN kind = 3 THEN 'GitHub Token' WHEN kind IN (4, 19, 25) THEN 'Database Connection String'
+  WHEN kind = 5 THEN 'Slack Token' WHEN kind = 6 THEN 'JSON Web Token' WHEN kind IN (7, 20, 21) THEN '.env Secret' WHEN kind IN (8, 24) THEN 'Generic API Key or Token' WHEN kind IN (9, 16) THEN 'High-Entropy String' END AS rule_name,
   CASE kind WHEN 0 THEN 'const id = "#";' WHEN 1 THEN 'aws_secret_access_key = "#"' WHEN 2 THEN '#' WHEN 3 THEN 'token = "#"' WHEN 4 THEN 'url = "postgres://admin:#@db.local:5432/x"' WHEN 5 THEN 'slack("#")' WHEN 6 THEN 'jwt #'
-   WHEN 7 THEN 'DB_PASSWORD=#' WHEN 8 THEN 'password: "#"' WHEN 9 THEN 'call("#")' WHEN 16 THEN 'key = "sk-#"' ELSE 'a("#"); token = "#"' END AS shown,
-  CASE kind WHEN 8 THEN {BITS_SQL.format(v="h")} WHEN 9 THEN {BITS_SQL.format(v="substr(content, 7, 64)")} WHEN 16 THEN {BITS_SQL.format(v="substr(content, 8, 67)")} END AS bits FROM secret_lines)
-SELECT file, line, rule_name, CASE WHEN kind = 8 THEN 'medium' WHEN kind IN (9, 16) THEN 'low' ELSE 'high' END AS confidence, CASE WHEN kind = 8 THEN 'high' WHEN kind IN (9, 16) THEN 'medium' ELSE 'critical' END AS suggested_level,
-  replace(shown, '#', '***REDACTED***') AS redacted_preview, false AS leaks FROM kinds WHERE rule_name IS NOT NULL AND CASE WHEN kind = 8 THEN bits >= 3.5 WHEN kind IN (9, 16) THEN bits > 4 ELSE true END"""
+   WHEN 7 THEN 'DB_PASSWORD=#' WHEN 8 THEN 'password: "#"' WHEN 9 THEN 'call("#")' WHEN 16 THEN 'key = "sk-#"' WHEN 17 THEN 'a("#"); token = "#"' WHEN 18 THEN 'k = "#' WHEN 19 THEN 'url = "postgres://admin:#@db.local:5432/x"' WHEN 20 THEN 'DB_PASSWORD="#"'
+   WHEN 21 THEN 'export API_TOKEN=#' WHEN 22 THEN 'a("#"); token = "#";' WHEN 23 THEN 'aws_secret_access_key = #' WHEN 24 THEN 'const apiKey = `#`;' WHEN 25 THEN 'url = "mysql://root:#@db.local/x"' WHEN 26 THEN 'a("#", {{ "password": ''#' END AS shown,
+  CASE WHEN kind IN (8, 24) THEN {BITS_SQL.format(v="h")} WHEN kind = 9 THEN {BITS_SQL.format(v="substr(content, 7, 64)")} WHEN kind = 16 THEN {BITS_SQL.format(v="substr(content, 8, 67)")} END AS bits FROM secret_lines)
+SELECT file, line, rule_name, CASE WHEN kind IN (8, 24) THEN 'medium' WHEN kind IN (9, 16) THEN 'low' ELSE 'high' END AS confidence, CASE WHEN kind IN (8, 24) THEN 'high' WHEN kind IN (9, 16) THEN 'medium' ELSE 'critical' END AS suggested_level,
+  replace(shown, '#', '***REDACTED***') AS redacted_preview, false AS leaks FROM kinds WHERE rule_name IS NOT NULL AND CASE WHEN kind IN (8, 24) THEN bits >= 3.5 WHEN kind IN (9, 16) THEN bits > 4 ELSE true END"""
 
 
 @query(with_views(MASKED_SQL, "secret_lines"))
 def secret_masking(s: SparkSession, d: str) -> DataFrame:
-    """Findings with what they show; ``leaks`` tells whether any of their fields holds the beginning of the line's value."""
+    """Findings with what they show; ``leaks`` tells whether any of their fields holds a piece of the line's values."""
     found = secrets.scan_secrets(view(s, d, "secret_lines"))
-    value = F.substring(F.md5(F.col("line").cast("string")), 1, 10)
+    values = [F.md5(F.concat(F.lit(p), F.col("line").cast("string"))) for p in ("", "g")]
     everything = F.lower(F.concat_ws(" ", *[c for c, t in found.dtypes if t == "string"]))
-    return found.select("file", "line", "rule_name", "confidence", "suggested_level", "redacted_preview", F.contains(everything, value).alias("leaks"))
+    leaks = [F.contains(everything, F.substring(v, k, 6)) for v in values for k in (1, 3, 11, 27)]
+    return found.select("file", "line", "rule_name", "confidence", "suggested_level", "redacted_preview", F.greatest(*leaks).alias("leaks"))
 
 
 @query(r"""WITH words AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_split_to_array(text, '\s+')) AS w FROM documents) WHERE length(w) >= 12), letters AS (SELECT w, unnest(string_split(w, '')) AS ch FROM words),

@@ -65,8 +65,8 @@ MERGE_LINES = """SELECT CAST(p_partkey % 20 AS STRING) AS diff_id, CAST(p_partke
  WHEN 3 THEN '' WHEN 4 THEN concat('Auto-merging ', CAST(p_partkey % 60 AS STRING)) ELSE concat('x failed with exit code ', p_name) END AS text FROM part"""
 
 # Values in each provider's format and next to them those that are none; every kind's values follow from the key.
-SECRET_LINES = """SELECT CASE WHEN k % 18 = 7 THEN concat('app', CAST(k % 9 AS STRING), '/.env') ELSE concat('src/s', CAST(k % 40 AS STRING), '.js') END AS file, k AS line, h, CAST(k % 18 AS INT) AS kind,
- CASE k % 18
+SECRET_LINES = """SELECT CASE WHEN k % 28 IN (7, 20, 21) THEN concat('app', CAST(k % 9 AS STRING), '/.env') ELSE concat('src/s', CAST(k % 40 AS STRING), '.js') END AS file, k AS line, h, g, CAST(k % 28 AS INT) AS kind,
+ CASE k % 28
   WHEN 0 THEN concat('const id = "AKIA', upper(substr(h, 1, 16)), '";')
   WHEN 1 THEN concat('aws_secret_access_key = "', h, substr(g, 1, 8), '"')
   WHEN 2 THEN '-----BEGIN RSA PRIVATE KEY-----'
@@ -84,7 +84,17 @@ SECRET_LINES = """SELECT CASE WHEN k % 18 = 7 THEN concat('app', CAST(k % 9 AS S
   WHEN 14 THEN concat('password = "', substr(h, 1, 10), '"')
   WHEN 15 THEN concat('url = "postgres://u:', chr(36), '{DB_PASS}@db.local/x"')
   WHEN 16 THEN concat('key = "sk-', h, upper(g), '"')
-  ELSE concat('a("AKIA', upper(substr(h, 1, 16)), '"); token = "', h, '"') END AS content
+  WHEN 17 THEN concat('a("AKIA', upper(substr(h, 1, 16)), '"); token = "', h, '"')
+  WHEN 18 THEN concat('k = "-----BEGIN PRIVATE KEY-----', chr(92), 'n', h, '/', g, '"')
+  WHEN 19 THEN concat('url = "postgres://admin:p@', h, '@', g, '@db.local:5432/x"')
+  WHEN 20 THEN concat('DB_PASSWORD="', h, ' ', g, ' # ', h, '"')
+  WHEN 21 THEN concat('export API_TOKEN=', h, '#', g, ' ', h)
+  WHEN 22 THEN concat('a("AKIA', upper(substr(h, 1, 16)), '"); token = "', h, '!', g, ' it''s @ ', chr(92), '"', h, '";')
+  WHEN 23 THEN concat('aws_secret_access_key = ', h, substr(g, 1, 8))
+  WHEN 24 THEN concat('const apiKey = `', h, '`;')
+  WHEN 25 THEN concat('url = "mysql://root:', h, ' ''', g, ''' #@', g, '@db.local/x"')
+  WHEN 26 THEN concat('a("AKIA', upper(substr(h, 1, 16)), '", { "password": ''', substr(h, 1, 8), ' "', g, '" ', h, ''' })')
+  ELSE concat('b("redis://localhost:6379/", "me@', h, '.org"); pwd = ', g) END AS content
  FROM (SELECT CAST(o_orderkey AS INT) AS k, md5(CAST(o_orderkey AS STRING)) AS h, md5(concat('g', CAST(o_orderkey AS STRING))) AS g FROM orders) x"""
 
 # Calls of what the look-ahead rules watch, with literals and with values.
