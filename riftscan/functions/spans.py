@@ -1,66 +1,47 @@
-"""Places of pattern matches in a text, and texts with such places replaced."""
+"""Places of pattern matches in a text, and texts with such places replaced, as SQL expressions.
 
-from __future__ import annotations
-
-from collections.abc import Callable
+They are written as SQL text, which is parsed in one go: expressions of this
+size made call by call take longer to make than to run.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
-SPAN = "struct<start:int,end:int>"
+NONE = "cast(array() AS array<struct<start:int,end:int>>)"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)``, with ``value`` computed once for each row."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def none() -> Column:
-    return F.array().cast(f"array<{SPAN}>")
+def let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` for ``value``, computed once for each row."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def group_spans(text: Column, pattern: str, length: Callable[[Column], Column] = F.length) -> Column:
+def group_spans(column: str, pattern: str, length: str = "char_length(v)") -> str:
     """start and end (code points from 0, end exclusive) of group 2 of every match; group 1 is all that stands before it in a match.
 
-    ``length`` gives how much of the group's text counts; nothing at 0.
+    ``length`` says how much of the group's text ``v`` counts; nothing at 0.
     """
-    lit = F.lit(pattern)
-
-    def located(wholes: Column) -> Column:
-        parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), wholes.alias("whole"), F.regexp_extract_all(text, lit, F.lit(1)).alias("lead"), F.regexp_extract_all(text, lit, F.lit(2)).alias("value"))
-
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["at"] + F.length(x["gap"]) + F.length(x["lead"])
-            n = length(x["value"])
-            new = F.when(n > 0, F.array(F.struct(start.alias("start"), (start + n).alias("end")))).otherwise(none())
-            at = acc["at"] + F.length(x["gap"]) + F.length(x["whole"])
-            return F.struct(at.alias("at"), F.concat(acc["spans"], new).alias("spans"))
-
-        zero = F.struct(F.lit(0).alias("at"), none().alias("spans"))
-        # the last gap has no match behind it
-        return F.aggregate(F.filter(parts, lambda x: x["whole"].isNotNull()), zero, step, lambda acc: acc["spans"])
+    p = literal(pattern)
+    found = f"named_struct('w', w, 'gaps', split({column}, {p}, -1), 'leads', regexp_extract_all({column}, {p}, 1), 'values', regexp_extract_all({column}, {p}, 2))"
+    start = "acc.at + char_length(get(r.gaps, i)) + char_length(get(r.leads, i))"
+    n = let("get(r.values, i)", "v", length)
+    new = let(f"named_struct('start', {start}, 'n', cast({n} AS int))", "x", f"CASE WHEN x.n > 0 THEN array(named_struct('start', x.start, 'end', x.start + x.n)) ELSE {NONE} END")
+    step = f"named_struct('at', acc.at + char_length(get(r.gaps, i)) + char_length(get(r.w, i)), 'spans', concat(acc.spans, {new}))"
+    fold = f"aggregate(sequence(0, size(w) - 1), named_struct('at', 0, 'spans', {NONE}), (acc, i) -> {step}, acc -> acc.spans)"
+    return let(f"regexp_extract_all({column}, {p}, 0)", "w", f"CASE WHEN size(w) = 0 THEN {NONE} ELSE {let(found, 'r', fold)} END")
 
-    return let(F.regexp_extract_all(text, lit, F.lit(0)), lambda w: F.when(F.size(w) == 0, none()).otherwise(located(w)))
 
-
-def united(spans: Column) -> Column:
+def united(spans: str) -> str:
     """Disjoint spans in order that cover what the given ones cover."""
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & (x["start"] <= F.try_element_at(acc, F.lit(-1))["end"])
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
-        return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end")))))
-
-    return F.aggregate(F.sort_array(spans), none(), step)
+    last = "try_element_at(acc, -1)"
+    grown = f"concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', {last}.start, 'end', greatest({last}.end, x.end))))"
+    step = f"CASE WHEN size(acc) > 0 AND x.start <= {last}.end THEN {grown} ELSE concat(acc, array(x)) END"
+    return f"aggregate(array_sort({spans}), {NONE}, (acc, x) -> {step})"
 
 
-def replaced(text: Column, spans: Column, by: str) -> Column:
+def replaced(column: str, spans: str, by: str) -> str:
     """The text with each of some disjoint spans, in order, replaced."""
-
-    def step(acc: Column, x: Column) -> Column:
-        kept = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
-        return F.struct(x["end"].alias("at"), F.concat(acc["out"], kept, F.lit(by)).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    step = f"named_struct('at', x.end, 'out', concat(acc.out, substring({column}, acc.at + 1, x.start - acc.at), {literal(by)}))"
+    return f"aggregate({spans}, named_struct('at', 0, 'out', ''), (acc, x) -> {step}, acc -> concat(acc.out, substring({column}, acc.at + 1)))"

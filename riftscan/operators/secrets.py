@@ -22,10 +22,12 @@ A mask may so take more than the value; what it shows is never part of one.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riftscan.functions.spans import group_spans, let, none, replaced, united
+from riftscan.functions.spans import NONE, group_spans, let, replaced, united
 from riftscan.functions.text import shannon_entropy, trim_all, truncate
 from riftscan.operators.rules import exploded, finding_fields
 
@@ -82,17 +84,21 @@ GENERIC_ENTROPY, LOOSE_ENTROPY = 3.5, 4.0
 MASK = "***REDACTED***"
 
 
-def before_at(value: Column) -> Column:
-    """Length of what stands before the last @; 0 if there is none."""
-    return F.when(F.contains(value, F.lit("@")), F.length(value) - F.length(F.substring_index(value, "@", -1)) - 1).otherwise(0)
+#: Length of what stands before a value's last @; 0 if there is none.
+BEFORE_AT = "CASE WHEN contains(v, '@') THEN char_length(v) - char_length(substring_index(v, '@', -1)) - 1 ELSE 0 END"
+
+
+@cache
+def masked_sql(column: str) -> str:
+    spans = ", ".join(group_spans(column, "(?s)" + p) for p in VALUES)
+    databases = ", ".join(group_spans(column, "(?s)" + p, BEFORE_AT) for p in (*QUOTED_DATABASE, ANY_DATABASE))
+    every = f"concat({spans}, CASE WHEN contains({column}, '://') THEN concat({databases}) ELSE {NONE} END)"
+    return let(united(every), "found", replaced(column, "found", MASK))
 
 
-def masked(content: Column) -> Column:
+def masked(column: str = "content") -> Column:
     """The line with every value that any rule could name masked."""
-    spans = [group_spans(content, "(?s)" + p) for p in VALUES]
-    databases = [group_spans(content, "(?s)" + p, before_at) for p in (*QUOTED_DATABASE, ANY_DATABASE)]
-    spans.append(F.when(F.contains(content, F.lit("://")), F.concat(*databases)).otherwise(none()))
-    return let(united(F.concat(*spans)), lambda found: replaced(content, found, MASK))
+    return F.expr(masked_sql(column))
 
 
 def benign(value: Column) -> Column:
@@ -106,7 +112,7 @@ def real_password(pattern: str) -> Column:
     held = F.exists(F.regexp_extract_all("content", F.lit(pattern), F.lit(2)), real)
     for p in QUOTED_DATABASE:  # in quotes a password may hold blanks and other quotes
         values = F.regexp_extract_all("content", F.lit("(?s)" + p), F.lit(2))
-        held = held | F.exists(values, lambda v: (before_at(v) > 0) & real(F.substring(v, F.lit(1), before_at(v))))
+        held = held | F.exists(values, lambda v: F.contains(v, F.lit("@")) & ~F.startswith(v, F.lit("@")) & real(v))
     return F.contains(F.col("content"), F.lit("://")) & held
 
 
@@ -141,4 +147,4 @@ def scan_secrets(lines: DataFrame) -> DataFrame:
     is_loose = F.col("open") & ~F.col("in_env") & ~F.col("is_generic") & F.exists("loose", lambda v: ~benign(v) & (shannon_entropy(v) > LOOSE_ENTROPY))
     numbers = F.array(*[F.when(F.col(f"p{k}"), F.lit(k)) for k in range(n)], F.when(F.col("in_env"), F.lit(n)), F.when(F.col("is_generic"), F.lit(n + 1)), F.when(is_loose, F.lit(n + 2)))
     found = exploded(other.select("file", "line", "content", numbers.alias("numbers")))
-    return found.select("file", "line", "rule_pos", truncate(trim_all(masked(content))).alias("snippet")).select("file", "line", *finding_fields("secret_scanner", RULES))
+    return found.select("file", "line", "rule_pos", truncate(trim_all(masked())).alias("snippet")).select("file", "line", *finding_fields("secret_scanner", RULES))

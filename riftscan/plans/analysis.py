@@ -23,7 +23,7 @@ MAIN = "main"
 
 def security_risks(lines: DataFrame) -> DataFrame:
     """Merged risks of added lines (file, line, content), most severe first; secrets are masked in all of them."""
-    shown = text.truncate(text.trim_all(secrets.masked(F.col("content"))))
+    shown = text.truncate(text.trim_all(secrets.masked()))
     found = findings.all_findings(secrets.scan_secrets(lines), rules.scan_injections(lines, snippet=shown))
     return findings.ranked(findings.merge_findings(found))
 
