@@ -1,8 +1,10 @@
 """Changed files of two branches, overlap of their line ranges, and conflict candidates.
 
 Ranges stay exploded: file, branch or side, start_line, line_count, end_line,
-change_type. The interval join is an equi-join on the file and a block of
-lines with the distance as its residual condition.
+change_type. The interval join is an equi-join on the file and a bin of lines
+with the distance as its residual condition. Bins are blocks of lines, groups
+of eight blocks, of 64 and so on: a range sits in the largest bins that it
+fills, so a range of any length has a few rows for each level of bins.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ CONFLICT_POINTS, CONFLICT_REASON = 30, "Git merge-tree predicts an actual merge
 MANY_POINTS, MANY_REASON = 15, "Multiple overlapping hunks (%d)"
 TWO_POINTS, TWO_REASON = 8, "Two overlapping hunks"
 ALERT = "Proactive Alert: '%s' on your branch '%s' will conflict with already-pushed branch '%s' (%s)"
-#: Lines of a block in which ranges are joined.
-BLOCK = 64
+#: Lines of a block, the smallest bin in which ranges are joined; levels of bins, each of 2^GROWTH of the level below.
+BLOCK, GROWTH, LEVELS = 64, 3, 9
 
 
 def branch_files(status: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -60,23 +62,63 @@ def last_line(prefix: str) -> Column:
     return F.when(F.col(f"{prefix}_line_count") == 0, F.col(f"{prefix}_start_line")).otherwise(F.col(f"{prefix}_end_line"))
 
 
+def block(line: Column) -> Column:
+    return F.floor(line / BLOCK).cast("bigint")
+
+
+def bins(first: Column, last: Column) -> Column:
+    """Level and number of the largest bins that make up the blocks first to last."""
+    item = "array<struct<level:int,bin:bigint>>"
+
+    def filled(level: int) -> tuple[Column, Column]:
+        n = 1 << (GROWTH * level)
+        return F.ceil(first / n).cast("bigint"), (F.floor((last + 1) / n) - 1).cast("bigint")
+
+    def found(level: int) -> Column:
+        (lo, hi), (lo_above, hi_above), many = filled(level), filled(level + 1), 1 << GROWTH
+        run = lambda a, b: F.when(a <= b, F.transform(F.sequence(a, b), lambda x: F.struct(F.lit(level).alias("level"), x.alias("bin")))).otherwise(F.array().cast(item))
+        if level == LEVELS - 1:  # the largest bins are not grouped any further
+            return run(lo, hi)
+        return F.when(lo_above > hi_above, run(lo, hi)).otherwise(F.concat(run(lo, F.least(hi, lo_above * many - 1)), run(F.greatest(lo, (hi_above + 1) * many), hi)))
+
+    few = F.transform(F.sequence(first, last), lambda b: F.struct(F.lit(0).alias("level"), b.alias("bin")))
+    many = F.flatten(F.array(*[found(k) for k in range(LEVELS)]))
+    return F.when(last - first < (1 << GROWTH) - 1, few).otherwise(many)
+
+
 def overlaps(ranges_a: DataFrame, ranges_b: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFrame:
     """Pairs of ranges of one file that overlap or lie within five lines: keys, both ranges, level, shared lines.
 
-    Ranges are joined by file and block of lines, so that a file with very
-    many ranges is spread over its blocks and far ranges are never compared.
-    A pair that shares several blocks counts in the first.
+    Two ranges meet where a bin of one is a bin of the other or holds one. So A's
+    own bins are joined with B's own ones and those above them, and the bins
+    above A's with B's own; bins are only looked for above as far as any range
+    is long. A pair counts in the bin of its first common line, once. Far
+    ranges are never compared, and a file with very many ranges is spread over
+    its bins.
     """
     columns = ("start_line", "line_count", "end_line", "change_type")
     a = ranges_a.select(*keys, *[F.col(c).alias(f"a_{c}") for c in columns])
     b = ranges_b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in columns])
-    block = lambda line: F.floor(line / BLOCK).cast("int")
-    a = a.withColumn("a_last", last_line("a")).withColumn("a_block", block(F.col("a_start_line") - NEAR))
-    b = b.withColumn("b_last", last_line("b")).withColumn("b_block", block(F.col("b_start_line")))
-    a = a.withColumn("block", F.explode(F.sequence("a_block", F.greatest("a_block", block(F.col("a_last") + NEAR)))))
-    b = b.withColumn("block", F.explode(F.sequence("b_block", F.greatest("b_block", block(F.col("b_last"))))))
+    a = a.withColumn("a_last", last_line("a")).withColumn("a_from", block(F.col("a_start_line") - NEAR)).withColumn("a_to", F.greatest("a_from", block(F.col("a_last") + NEAR)))
+    b = b.withColumn("b_last", last_line("b")).withColumn("b_from", block(F.col("b_start_line"))).withColumn("b_to", F.greatest("b_from", block(F.col("b_last"))))
+    longest = a.select((F.col("a_to") - F.col("a_from")).alias("n")).unionByName(b.select((F.col("b_to") - F.col("b_from")).alias("n"))).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"))
+    top = F.when(longest.scalar() < (1 << GROWTH) - 1, 0).otherwise(LEVELS - 1)
+    a, b = a.withColumn("top", top), b.withColumn("top", top)
+    top = F.col("top")
+    above = lambda own: F.transform(F.when(own["level"] < top, F.sequence(own["level"] + 1, top)).otherwise(F.array().cast("array<int>")), lambda k: F.struct(k.alias("level"), F.floor(own["bin"] / F.pow(F.lit(2), (k - own["level"]) * GROWTH)).cast("bigint").alias("bin")))
+    # Way 0: A's own bin with what B has at it or below; way 1: B's own bin with what A has below.
+    row = lambda way, key, own: F.struct(F.lit(way).alias("way"), key["level"].alias("level"), key["bin"].alias("bin"), own["level"].alias("own_level"), own["bin"].alias("own_bin"))
+    every = lambda own, same, up: F.concat(F.array(*[row(w, own, own) for w in same]), F.transform(above(own), lambda k: row(up, k, own)))
+    a = a.withColumn("own", F.explode(bins(F.col("a_from"), F.col("a_to")))).withColumn("at", F.explode(every(F.col("own"), (0,), 1)))
+    b = b.withColumn("own", F.explode(bins(F.col("b_from"), F.col("b_to")))).withColumn("at", F.explode(F.filter(every(F.col("own"), (0, 1), 0), lambda x: (x["way"] == 0) | (x["level"] > 0))))
+    a = a.select(*[c for c in a.columns if c not in ("own", "at", "top")], *[F.col(f"at.{c}").alias(f"a_{c}") for c in ("way", "level", "bin", "own_level", "own_bin")])
+    b = b.select(*[c for c in b.columns if c not in ("own", "at", "top")], *[F.col(f"at.{c}").alias(f"b_{c}") for c in ("way", "level", "bin", "own_level", "own_bin")])
     near = (F.col("a_start_line") <= F.col("b_last") + NEAR) & (F.col("b_start_line") <= F.col("a_last") + NEAR)
-    same = near & (a["block"] == b["block"]) & (a["block"] == F.greatest("a_block", "b_block"))
+    first = F.greatest("a_from", "b_from")
+    small = lambda side: F.floor(first / F.pow(F.lit(2), F.col(f"{side}_own_level") * GROWTH)).cast("bigint") == F.col(f"{side}_own_bin")
+    same = near & F.when(F.col("a_way") == 0, small("b")).otherwise(small("a"))
+    for c in ("way", "level", "bin"):
+        same = same & (F.col(f"a_{c}") == F.col(f"b_{c}"))
     for k in keys:
         same = same & (a[k] == b[k])
     level, lines = pair_level(F.col("a_start_line"), F.col("a_last"), F.col("b_start_line"), F.col("b_last"))

@@ -220,11 +220,11 @@ def merge_branch_files(s: SparkSession, d: str) -> DataFrame:
     return merged_files(s, d)
 
 
-PAIRS_SQL = """, r AS (SELECT *, CASE WHEN line_count = 0 THEN start_line ELSE end_line END AS last FROM branch_ranges),
+PAIRS_SQL = """, r AS MATERIALIZED (SELECT *, CASE WHEN line_count = 0 THEN start_line ELSE end_line END AS last FROM branch_ranges),
 pairs AS (SELECT * FROM (SELECT a.file AS file, a.start_line AS a_start_line, a.line_count AS a_line_count, a.end_line AS a_end_line, a.change_type AS a_change_type, b.start_line AS b_start_line, b.line_count AS b_line_count, b.end_line AS b_end_line, b.change_type AS b_change_type,
  CASE WHEN greatest(a.start_line, b.start_line) <= least(a.last, b.last) THEN 'HIGH' WHEN least(abs(a.last - b.start_line), abs(b.last - a.start_line)) = 0 THEN 'MEDIUM' WHEN least(abs(a.last - b.start_line), abs(b.last - a.start_line)) <= 5 THEN 'LOW' ELSE 'SAFE' END AS level,
  CASE WHEN greatest(a.start_line, b.start_line) <= least(a.last, b.last) THEN least(a.last, b.last) - greatest(a.start_line, b.start_line) + 1 ELSE 0 END AS shared_lines
- FROM r a JOIN r b ON a.file = b.file AND a.branch = 'A' AND b.branch = 'B') WHERE level <> 'SAFE'),
+ FROM (SELECT * FROM r WHERE branch = 'A') a JOIN (SELECT * FROM r WHERE branch = 'B') b ON a.file = b.file) WHERE level <> 'SAFE'),
 worst AS (SELECT file, CASE max(CASE level WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END) WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS level, count(*) AS n_pairs,
  (array_agg(b_start_line ORDER BY a_start_line, a_end_line, b_start_line, b_end_line))[1] AS first_b_line FROM pairs GROUP BY file)"""
 
