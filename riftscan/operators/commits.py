@@ -1,36 +1,75 @@
 """Commit graph: reachability, commits ahead, merge bases, references.
 
-Edges are (child, parent). Reachability walks a frontier: each round joins
-only the newly found commits with the edges and leaves out visited ones, so a
-commit is expanded once whatever the number of merges. Each round's commits
-are kept as a part of their own; parts are written together once for every
-``PARTS`` rounds, so a long history isn't rewritten in each of them.
+Edges are (child, parent). The history is covered by chains: each commit goes
+on with one of its parents, and each parent with one of the children that
+chose it, so a chain is a stretch of history without forks. ``chain_index``
+gives each commit its chain and its place in it, by pointer doubling: after k
+rounds a commit knows its ancestor 4^k further, so rounds grow with the
+logarithm of the longest chain. The index depends on the edges alone and can be
+kept as a table.
+
+What a tip reaches is one place for each chain: all of the chain from there on.
+A round takes the edges that leave the newly covered stretch of each chain, all
+at once, and keeps the furthest place in which each other chain is entered. So
+rounds grow with how often a path must change chains (branches nested in
+branches), not with the number of commits or merges along them.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riftscan.errors import ScanError
 from riftscan.functions.lineage import cut
 
-PARTS = 32
-
-
-def reachable(edges: DataFrame, tips: DataFrame) -> DataFrame:
+#: Pointers that a round of the index follows, and rounds of a walk that are planned together before what they find is written.
+JUMPS, TOGETHER = 3, 2
+
+
+def chain_index(edges: DataFrame) -> DataFrame:
+    """node, chain (its last ancestor in the chain), pos (its distance from that) of every commit of the edges."""
+    nodes = edges.select(F.col("child").alias("node")).union(edges.select("parent")).where("node is not null").distinct()
+    chosen = edges.where("child is not null and parent is not null").groupBy("child").agg(F.max("parent").alias("at"))
+    links = chosen.groupBy("at").agg(F.max("child").alias("node"))
+    # A row is done when the commit that it points at is the chain's last one.
+    start = F.col("at").isNull()
+    state = cut(nodes.join(links, "node", "left").select("node", F.coalesce("at", "node").alias("at"), F.when(start, 0).otherwise(1).cast("bigint").alias("pos"), start.alias("done")))
+    reach, most = 1, state.count()
+    while not state.where("not done").isEmpty():
+        further = state.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("pos").alias("more"), F.col("done").alias("ends"))
+        moved = state.where("not done").drop("done")
+        for _ in range(JUMPS):  # the chain's last commit points at itself
+            moved = moved.join(further, "at").select("node", F.col("next").alias("at"), (F.col("pos") + F.col("more")).alias("pos"), F.col("ends").alias("done"))
+        state = cut(state.where("done").unionByName(moved))
+        reach *= JUMPS + 1
+        if reach > (JUMPS + 1) * most:  # further than any chain is long
+            raise ScanError("UNKNOWN", "the commit graph has a cycle")
+    return state.select("node", F.col("at").alias("chain"), "pos")
+
+
+def reachable(edges: DataFrame, tips: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """tip, node of every commit reachable from each tip, itself included."""
-    frontier = cut(tips.select("tip", F.col("tip").alias("node")).distinct())
-    parts = [frontier]
+    index = chain_index(edges) if index is None else index
+    end = lambda name: index.select(F.col("node").alias(name), F.col("chain").alias(f"{name}_chain"), F.col("pos").alias(f"{name}_pos"))
+    leaving = cut(edges.join(end("child"), "child").join(end("parent"), "parent").where("child_chain <> parent_chain").select("child_chain", "child_pos", "parent_chain", "parent_pos"))
+    tips = tips.select("tip").distinct()
+    held = tips.join(index.withColumnRenamed("node", "tip"), "tip")
+    # pos: how far a chain is reached; old: how far its edges were taken.
+    state = held.select("tip", "chain", F.lit(-1).cast("bigint").alias("old"), "pos")
     while True:
-        seen = reduce(DataFrame.unionByName, parts)
-        step = frontier.join(edges, frontier["node"] == edges["child"]).select("tip", F.col("parent").alias("node")).distinct()
-        frontier = cut(step.join(seen, ["tip", "node"], "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        parts = [cut(seen), frontier] if len(parts) == PARTS else [*parts, frontier]
+        for _ in range(TOGETHER):
+            fresh = state.where("pos > old")
+            found = fresh.join(leaving, (fresh["chain"] == leaving["child_chain"]) & (F.col("child_pos") > F.col("old")) & (F.col("child_pos") <= F.col("pos")))
+            entered = found.select("tip", F.col("parent_chain").alias("chain"), F.lit(-1).cast("bigint").alias("old"), F.col("parent_pos").alias("pos"))
+            state = state.select("tip", "chain", F.col("pos").alias("old"), "pos").unionByName(entered).groupBy("tip", "chain").agg(F.max("old").alias("old"), F.max("pos").alias("pos"))
+        state = cut(state)
+        if state.where("pos > old").isEmpty():
+            break
+    up_to = state.select("tip", "chain", F.col("pos").alias("reach"))
+    nodes = index.join(up_to, "chain").where("pos <= reach").select("tip", "node")
+    alone = tips.join(index.select(F.col("node").alias("tip")), "tip", "left_anti").select("tip", F.col("tip").alias("node"))
+    return nodes.unionByName(alone)
 
 
 def tips_of(edges: DataFrame, *tips: object) -> DataFrame:
