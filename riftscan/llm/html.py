@@ -21,6 +21,12 @@ with the weights learned from the others.
 Elements that are not article by their kind (menus, page headers, footers,
 asides, forms, scripts, styles) are always left out.
 
+Where a page has exactly one article element (or else one main element), that
+is the region: tags inside cost nothing, words outside count for nothing, so
+link lists and tables of the article stay. Inside it an element of a name that
+may be a section's title (``TITLED``) stays if it reads like text, that is, if
+less than half of its words are links. The weights decide on all other pages.
+
 Defined results: a null or empty page, or one without words outside such
 elements, has empty text; repeated rows get equal results; an unclosed element
 ends with its parent, or at the start tag that ends it in HTML (paragraphs,
@@ -35,6 +41,7 @@ import html as entities
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -44,8 +51,6 @@ from pyspark.sql import functions as F
 from riftscan.llm.base import bounded, cut, table
 
 SAMPLE = 300
-#: Pages that the perceptron sees have no more characters; names are counted on sampled pages of any length.
-MAX_PAGE = 60_000
 ROUNDS = 5
 #: Attributes end at the next start of a tag unless it is quoted, so that no unclosed tag is searched to the page's end.
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>"'=]|=\s*+(?:"[^"]*"|'[^']*')?+)*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>|<[!?][^>]*>""", re.S)
@@ -67,6 +72,10 @@ OWN = {"entry", "post", "article", "story", "content", "section"}
 HOLDERS = set("area bar block body box button buttons container entries form group holder icon icons inner item items line link links list outer panel post posts row section slot stories text unit wrap wrapper zone".split())
 #: What is also the title of an article's own section.
 TITLES = {"advertising", "consent", "copyright", "disclaimer", "discussion", "navigation", "notice", "notices", "promotion", "recommendations", "recommended", "related", "search"}
+#: Of these, names of what an article may be about: inside one, what the element holds decides.
+TITLED = {"copyright", "discussion", "navigation", "recommendations", "recommended", "related", "search"}
+#: Elements that are read as a whole without text, but not inside an article.
+QUIET = {"noscript", "svg"}
 #: What follows such a word in a name says what an element has, not what it is.
 HAS = {"has", "with", "without", "no", "is", "not"}
 BLOCKS = set(
@@ -168,6 +177,7 @@ def parts_of(page: str, weights: dict[str, float], elements: list[tuple[int, int
     out: list[Part] = []
     open_ = Open()
     at, last, headless = 0, page.rfind(">"), False
+    doubts: set[int] = set()  # first parts of elements whose name alone does not decide
 
     def text(piece: str) -> None:
         if piece:
@@ -181,7 +191,7 @@ def parts_of(page: str, weights: dict[str, float], elements: list[tuple[int, int
         if not name:
             continue
         name, closing, attrs = name.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
-        if not closing and name in RAW and not attrs.endswith("/"):
+        if not closing and name in RAW and not attrs.endswith("/") and not (name in QUIET and open_.articles):
             if name == "head" and headless:
                 continue
             end = re.compile(rf"</{re.escape(name)}\s*>" if name != "head" else r"</head\s*>|<body\b[^>]*>", re.I).search(page, at)
@@ -199,7 +209,9 @@ def parts_of(page: str, weights: dict[str, float], elements: list[tuple[int, int
         tokens = list(tokens_of(attrs)) if attrs else []
         words = {w for _, each in tokens for w in each}
         named = names_of(name, tokens)
-        other = min((weights.get(n, 0.0) for n in named), default=0.0) < LEFT_OUT or name in NOT_ARTICLE
+        bad = [n for n in named if weights.get(n, 0.0) < LEFT_OUT]
+        doubtful = bool(open_.articles) and bool(bad) and name not in NOT_ARTICLE and all(n[1:] in TITLED for n in bad)
+        other = (bool(bad) and not doubtful) or name in NOT_ARTICLE
         other = other or (not open_.articles and (name == "header" or ("header" in words and not words & OWN)))
         if name in ("article", "main") and not other:
             open_.left_out.clear()  # an article is not part of what was left open before it
@@ -207,13 +219,31 @@ def parts_of(page: str, weights: dict[str, float], elements: list[tuple[int, int
         out.append(Part(name, "", 0, bool(open_.left_out) or other))
         if name not in VOID and not attrs.endswith("/"):
             open_.push(name, other, len(out), named if name not in WHOLE else None)
+            if doubtful and not open_.left_out:
+                doubts.add(len(out))
     text(page[at:])
+    open_.pop_to(0, len(out))
+    if doubts:
+        links = linked_words(out)
+        total = list(accumulate((p.words for p in out), initial=0))
+        for a, b, _ in open_.closed:
+            if a in doubts and 2 * (links[b] - links[a]) >= total[b] - total[a]:
+                out[a:b] = [p._replace(out=True) for p in out[a:b]]
     if elements is not None:
-        open_.pop_to(0, len(out))
         elements += open_.closed
     return out
 
 
+def linked_words(parts: list[Part]) -> list[int]:
+    """Words inside links before each part, and in all."""
+    upto, inside = [0], False
+    for p in parts:
+        if p.kind in ("a", "/a"):
+            inside = p.kind == "a"
+        upto.append(upto[-1] + (p.words if inside else 0))
+    return upto
+
+
 def tokens_of(attrs: str) -> Iterator[tuple[str, list[str]]]:
     """The attribute and the words of each name in an element's class, id and role, up to a word that says what it has."""
     for attr, *groups in NAMED.findall(attrs):
@@ -280,11 +310,16 @@ def sides_of(page: str, weights: dict[str, float]) -> dict[str, bool]:
     return {n: v > 0 for n, v in balance.items()}
 
 
-def best_region(parts: list[Part], weights: dict[str, float]) -> tuple[int, int]:
-    """Half-open range of parts with the highest total; (0, 0) if there is no word."""
+def best_region(parts: list[Part], weights: dict[str, float], inside: tuple[int, int] | None = None) -> tuple[int, int]:
+    """Half-open range of parts with the highest total; (0, 0) if there is no word.
+
+    With ``inside``, words outside that range count for nothing and tags in it cost nothing.
+    """
     best, span, total, start = 0.0, (0, 0), 0.0, 0
     word = weights["text"]
-    for k, part in enumerate(parts):
+    first, last = inside or (0, len(parts))
+    for k in range(first, last):
+        part = parts[k]
         if part.kind == "text":
             if not part.words or part.out:
                 continue
@@ -293,11 +328,29 @@ def best_region(parts: list[Part], weights: dict[str, float]) -> tuple[int, int]
             total += word * part.words
             if total > best:
                 best, span = total, (start, k + 1)
-        elif not part.out:  # what is left out doesn't part what stays
+        elif not part.out and inside is None:  # what is left out doesn't part what stays
             total += weights.get(part.kind, INLINE_TAG)
     return span
 
 
+def own_article(parts: list[Part]) -> tuple[int, int] | None:
+    """What the page's only article element holds, or its only main element; elements inside of the same kind are part of it."""
+    for kind in ("article", "main"):
+        depth, found = 0, []
+        for k, p in enumerate(parts):
+            if p.kind == kind and not p.out:
+                if not depth:
+                    found.append([k + 1, len(parts)])
+                depth += 1
+            elif p.kind == "/" + kind and depth and not p.out:
+                depth -= 1
+                if not depth:
+                    found[-1][1] = k
+        if found:
+            return tuple(found[0]) if len(found) == 1 else None
+    return None
+
+
 def labelled_region(parts: list[Part]) -> tuple[int, int] | None:
     """What the page's only article element holds, from its first word to its last."""
     opens = [k for k, p in enumerate(parts) if p.kind == "article" and not p.out]
@@ -342,7 +395,7 @@ def learn(pages: list[str], weights: dict[str, float] | None = None, rounds: int
 
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     parts = parts_of(page or "", weights)
-    first, last = best_region(parts, weights)
+    first, last = best_region(parts, weights, own_article(parts))
     blocks: list[str] = []
     held: list[str] = []
 
@@ -378,8 +431,8 @@ def train(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
     # Names of the sampled pages alone, counted where the pages are.
     counts = chosen.select("html").mapInArrow(sides, "name string, inside boolean").groupBy("name").agg(F.count_if("inside").alias("a"), F.count_if(~F.col("inside")).alias("b")).collect()
     weights = moved(start, {r["name"]: r["a"] for r in counts}, {r["name"]: r["b"] for r in counts})
-    short = chosen.where(F.length("html") <= MAX_PAGE).collect()
-    return learn([r["html"] for r in sorted(short, key=lambda r: (r["page_id"] is None, r["page_id"], r["html"]))], weights)
+    pages_ = chosen.collect()
+    return learn([r["html"] for r in sorted(pages_, key=lambda r: (r["page_id"] is None, r["page_id"], r["html"]))], weights)
 
 
 def extract(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
