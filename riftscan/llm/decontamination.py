@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riftscan.llm.base import let, packed, table, unpacked
+from riftscan.llm.base import let, packed, running, table, unpacked
 
 WINDOW = 13
 #: Words of a window that its look-up key covers.
@@ -104,6 +104,19 @@ def covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), zero, add, lambda acc: acc["total"])
 
 
+def kept_stretches(spans: Column, n: Column) -> Column:
+    """from and to (exclusive) of the words that no span (at, size), in order of at, covers: one pass over the spans."""
+    item = "struct<from:int,to:int>"
+
+    def step(end: Column, x: Column) -> tuple[Column, Column]:
+        at = x["at"].cast("int")
+        gap = F.when(at > end, F.array(F.struct(end.alias("from"), at.alias("to")))).otherwise(F.array().cast(f"array<{item}>"))
+        return F.greatest(end, at + x["size"].cast("int")), gap
+
+    last = F.coalesce(F.array_max(F.transform(spans, lambda x: (x["at"] + x["size"]).cast("int"))), F.lit(0))
+    return F.concat(running(spans, F.lit(0), item, step), F.array(F.struct(last.alias("from"), F.greatest(last, n).alias("to"))))
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """The columns of ``docs`` with n_words, n_hit, items (sorted) and spans of hit words."""
     spark = docs.sparkSession
@@ -145,9 +158,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     elif remove == "spans":
         word = r"[0-9A-Za-z\x80-\x{10FFFF}]+"
         pieces = F.regexp_extract_all("text", F.lit(rf"[^0-9A-Za-z\x80-\x{{10FFFF}}]*{word}"), F.lit(0))
-        left = F.filter(pieces, lambda x, i: ~F.exists("hit_spans", lambda s: (i >= s["at"]) & (i < s["at"] + s["size"])))
+        text_left = let(pieces, lambda p: F.array_join(F.flatten(F.transform(kept_stretches(F.col("hit_spans"), F.size(p)), lambda x: F.slice(p, x["from"] + 1, x["to"] - x["from"]))), ""))
         tail = F.regexp_extract("text", r"[^0-9A-Za-z\x80-\x{10FFFF}]*\z", 0)
-        text = F.when(F.col("n_hit") > 0, F.concat(F.array_join(left, ""), tail)).otherwise(text)
+        text = F.when(F.col("n_hit") > 0, F.concat(text_left, tail)).otherwise(text)
     else:
         raise ValueError(remove)
     return unpacked(found, docs.columns, text=text)
