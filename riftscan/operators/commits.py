@@ -111,6 +111,18 @@ def resolve_refs(refs: DataFrame, names: DataFrame) -> DataFrame:
     return names.select("asked").distinct().join(best, "asked", "left").select("asked", "best.ref", "best.sha")
 
 
+def branches_exist(refs: DataFrame, names: DataFrame) -> DataFrame:
+    """asked, found: whether there is a branch or reference of each name."""
+    return resolve_refs(refs, names).select("asked", F.col("ref").isNotNull().alias("found"))
+
+
+def identical_branches(refs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, identical: whether the names of each pair point at one commit; false if either is unknown."""
+    known = resolve_refs(refs, pairs.select(F.col("a").alias("asked")).union(pairs.select("b")))
+    of = lambda name: known.select(F.col("asked").alias(name), F.col("sha").alias(f"{name}_sha"))
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce(F.col("a_sha") == F.col("b_sha"), F.lit(False)).alias("identical"))
+
+
 def resolve_ref(refs: DataFrame, name: str) -> tuple[str, str]:
     """(ref, sha) of one name; an error if there is no such branch or reference."""
     names = refs.sparkSession.createDataFrame([(name,)], "asked string")

@@ -74,11 +74,11 @@ def repo_risk(candidates: DataFrame, files: DataFrame, ahead_a: int, ahead_b: in
     return facts(candidates, files).select(score.alias("score"), score_level(score).alias("level"), text.alias("factors"))
 
 
-def health(risks: DataFrame) -> DataFrame:
-    """score and color of a list of risks; 100 for an empty one."""
+def health(risks: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """score and color of a list of risks, or of the risks of each ``keys`` (a file); 100 for an empty list."""
     penalty = F.coalesce(F.sum(pick(known_level(F.col("risk_level")), HEALTH_WEIGHT)), F.lit(0))
     score = F.greatest(F.lit(0).cast("bigint"), F.lit(100) - penalty)
-    return risks.agg(score.alias("score")).withColumn("color", health_color(F.col("score")))
+    return risks.groupBy(*keys).agg(score.alias("score")).withColumn("color", health_color(F.col("score")))
 
 
 def severity_breakdown(risks: DataFrame) -> DataFrame:

@@ -346,30 +346,30 @@ def call_graph(s: SparkSession, d: str) -> DataFrame:
     return graph.select("called_function", F.size("sites").cast("bigint").alias("n_sites"), F.array_join(F.transform("sites", lambda x: F.concat(x["caller_file"], F.lit(":"), x["line"].cast("string"))), "|").alias("sites"))
 
 
-def js_sources(s: SparkSession, d: str, ref: str = "A") -> DataFrame:
-    """Sources rendered from the derived signatures and call sites of a branch."""
-    functions = view(s, d, "signatures").where(F.col("ref") == ref).select("file", F.lit(0).alias("part"), F.col("name").alias("key"), F.format_string("function %s(%s) { return 1; }", F.col("name"), F.col("params")).alias("text"))
-    calls = view(s, d, "call_sites").where(F.col("ref") == ref).select(F.col("caller_file").alias("file"), F.lit(1).alias("part"), F.concat("called_function", F.col("line").cast("string")).alias("key"), F.format_string("obj.%s(1, 2); // %d", F.col("called_function"), F.col("line")).alias("text"))
-    rows = functions.unionByName(calls).groupBy("file").agg(F.sort_array(F.collect_list(F.struct("part", "key", "text"))).alias("all"))
-    return rows.select("file", F.array_join(F.transform("all", lambda x: x["text"]), "\n").alias("source")).where(text.is_js_path(F.col("file")) & text.has_js_suffix(F.col("file")))
+def js_sources(s: SparkSession, d: str) -> DataFrame:
+    """Sources of every ref, rendered from the derived signatures and call sites."""
+    functions = view(s, d, "signatures").select("ref", "file", F.lit(0).alias("part"), F.col("name").alias("key"), F.format_string("function %s(%s) { return 1; }", F.col("name"), F.col("params")).alias("text"))
+    calls = view(s, d, "call_sites").select("ref", F.col("caller_file").alias("file"), F.lit(1).alias("part"), F.concat("called_function", F.col("line").cast("string")).alias("key"), F.format_string("obj.%s(1, 2); // %d", F.col("called_function"), F.col("line")).alias("text"))
+    rows = functions.unionByName(calls).groupBy("ref", "file").agg(F.sort_array(F.collect_list(F.struct("part", "key", "text"))).alias("all"))
+    return rows.select("ref", "file", F.array_join(F.transform("all", lambda x: x["text"]), "\n").alias("source")).where(text.is_js_path(F.col("file")) & text.has_js_suffix(F.col("file")))
 
 
-@query(with_views("SELECT file, name, params FROM signatures WHERE ref = 'A'", "signatures"))
+@query(with_views("SELECT ref, file, name, params FROM signatures", "signatures"))
 def js_signatures(s: SparkSession, d: str) -> DataFrame:
     jsparse.register(s)
-    found = s.sql("SELECT s.file, f.* FROM {src} s, LATERAL js_signatures(s.source) f", src=js_sources(s, d))
-    return found.select("file", "name", F.array_join("params", ",").alias("params"))
+    found = s.sql("SELECT s.ref, s.file, f.* FROM {src} s, LATERAL js_signatures(s.source) f", src=js_sources(s, d))
+    return found.select("ref", "file", "name", F.array_join("params", ",").alias("params"))
 
 
-CALL_LINES_SQL = """, functions AS (SELECT file, count(*) AS n FROM signatures WHERE ref = 'A' GROUP BY file)
-SELECT caller_file AS file, called_function, CAST(coalesce(n, 0) + row_number() OVER (PARTITION BY caller_file ORDER BY concat(called_function, CAST(line AS STRING))) AS INTEGER) AS line FROM call_sites LEFT JOIN functions ON file = caller_file WHERE ref = 'A'"""
+CALL_LINES_SQL = """, functions AS (SELECT ref, file, count(*) AS n FROM signatures GROUP BY ref, file)
+SELECT c.ref, caller_file AS file, called_function, CAST(coalesce(n, 0) + row_number() OVER (PARTITION BY c.ref, caller_file ORDER BY concat(called_function, CAST(line AS STRING))) AS INTEGER) AS line FROM call_sites c LEFT JOIN functions f ON f.file = caller_file AND f.ref = c.ref"""
 
 
 @query(with_views(CALL_LINES_SQL, "call_sites", "signatures"))
 def js_call_sites(s: SparkSession, d: str) -> DataFrame:
     """Call sites with their lines in the rendered sources, where calls follow the functions."""
     jsparse.register(s)
-    return s.sql("SELECT s.file, f.* FROM {src} s, LATERAL js_call_sites(s.source) f", src=js_sources(s, d))
+    return s.sql("SELECT s.ref, s.file, f.* FROM {src} s, LATERAL js_call_sites(s.source) f", src=js_sources(s, d))
 
 
 def all_risks(s: SparkSession, d: str) -> DataFrame:
@@ -396,10 +396,11 @@ def risk_report(s: SparkSession, d: str) -> DataFrame:
     return all_risks(s, d).drop("redacted_preview").withColumn("affected_files", F.array_join("affected_files", ","))
 
 
-@query(with_views(REPORT_SQL + """, h AS (SELECT greatest(0, 100 - coalesce(sum(CASE risk_level WHEN 'critical' THEN 40 WHEN 'high' THEN 20 WHEN 'medium' THEN 5 ELSE 1 END), 0)) AS score FROM report WHERE id LIKE '%1_')
-SELECT CAST(score AS BIGINT) AS score, CASE WHEN score >= 75 THEN '#2ed573' WHEN score >= 50 THEN '#ffa502' WHEN score >= 25 THEN '#ff6348' ELSE '#ff4757' END AS color FROM h""", *REPORT_VIEWS))
+@query(with_views(REPORT_SQL + """, h AS (SELECT file, greatest(0, 100 - sum(CASE risk_level WHEN 'critical' THEN 40 WHEN 'high' THEN 20 WHEN 'medium' THEN 5 ELSE 1 END)) AS score FROM report GROUP BY file)
+SELECT file, CAST(score AS BIGINT) AS score, CASE WHEN score >= 75 THEN '#2ed573' WHEN score >= 50 THEN '#ffa502' WHEN score >= 25 THEN '#ff6348' ELSE '#ff4757' END AS color FROM h""", *REPORT_VIEWS))
 def health_score(s: SparkSession, d: str) -> DataFrame:
-    return score.health(all_risks(s, d).where("id like '%1_'"))
+    """The health of each file, by all its risks."""
+    return score.health(all_risks(s, d), ("file",))
 
 
 @query(with_views(REPORT_SQL + """ SELECT l.risk_level AS risk_level, count(report.id) AS n, 100.0 * count(report.id) / (SELECT count(*) FROM report) AS pct FROM (SELECT 'critical' AS risk_level UNION ALL SELECT 'high' UNION ALL SELECT 'medium' UNION ALL SELECT 'low') l LEFT JOIN report ON report.risk_level = l.risk_level GROUP BY 1""", *REPORT_VIEWS))
@@ -510,6 +511,26 @@ def resolve_ref(s: SparkSession, d: str) -> DataFrame:
     return commits.resolve_refs(refs, names)
 
 
+def customer_refs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    customers = s.read.parquet(f"{d}/customer.parquet")
+    place = F.expr("CASE c_custkey % 4 WHEN 0 THEN 'refs/heads/' WHEN 1 THEN 'refs/remotes/' WHEN 2 THEN '' ELSE 'refs/tags/' END")
+    return customers.select(F.concat(place, "c_name").alias("name"), F.md5("c_mktsegment").alias("sha")), customers
+
+
+@query("SELECT c_name AS asked, c_custkey % 4 <> 3 AS found FROM customer")
+def branch_exists(s: SparkSession, d: str) -> DataFrame:
+    """Names of heads, remotes and whole references are found, those of tags are not."""
+    refs, customers = customer_refs(s, d)
+    return commits.branches_exist(refs, customers.select(F.col("c_name").alias("asked")))
+
+
+@query("SELECT x.c_name AS a, y.c_name AS b, coalesce(x.c_custkey % 4 <> 3 AND y.c_custkey % 4 <> 3 AND x.c_mktsegment = y.c_mktsegment, false) AS identical FROM customer x JOIN customer y ON y.c_custkey = x.c_custkey + 1")
+def identical_branches(s: SparkSession, d: str) -> DataFrame:
+    refs, customers = customer_refs(s, d)
+    after = customers.select((F.col("c_custkey") - 1).alias("c_custkey"), F.col("c_name").alias("b"))
+    return commits.identical_branches(refs, customers.select("c_custkey", F.col("c_name").alias("a")).join(after, "c_custkey").select("a", "b"))
+
+
 @query("SELECT md5(c_name) AS sha, substr(md5(c_name), 1, 7) AS short_sha, c_name AS author, concat(c_name, '@x.org') AS email, '2024-01-01T00:00:00Z' AS date, c_mktsegment AS message FROM customer")
 def commit_info(s: SparkSession, d: str) -> DataFrame:
     nul = F.lit("\0")

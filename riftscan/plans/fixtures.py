@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-CODE_LINES = """SELECT concat('src/f', CAST(o_custkey % 40 AS STRING), '.js') AS file, CAST(o_orderkey AS INT) AS line,
+CODE_LINES = """SELECT concat('src/f', CAST(o_custkey AS STRING), '.js') AS file, CAST(o_orderkey AS INT) AS line,
  CASE o_orderkey % 16
   WHEN 0 THEN concat('const q = "SELECT * FROM orders WHERE id = " + v', CAST(o_custkey AS STRING), ';')
   WHEN 1 THEN concat('db.query(`SELECT ', chr(36), '{v', CAST(o_custkey AS STRING), '}`);')
