@@ -167,10 +167,15 @@ def compared(gap: tuple):
     return (lambda side, line, h: sides[side].append(h)), (lambda: [(gap[-2] + i + 1, gap[-1] + j + 1, n) for i, j, n in shortest(*sides)])
 
 
+def digest() -> Column:
+    """What tells contents apart; a null is none of them."""
+    return F.unhex(F.md5(F.coalesce(F.concat(F.lit("+"), "content"), F.lit("-"))))
+
+
 def matches(old: DataFrame, new: DataFrame, keys: list[str], small: int = SMALL) -> DataFrame:
     """keys, a, b, n: runs of n lines from a (old) and from b (new) that are the same and in order."""
-    side = lambda df, k: df.select(*keys, F.lit(k).alias("side"), F.lit(0).cast("bigint").alias("ga"), F.lit(0).cast("bigint").alias("gb"), F.col("line").cast("bigint").alias("line"), F.unhex(F.md5(F.coalesce(F.concat(F.lit("+"), "content"), F.lit("-")))).alias("h"))
-    rows = cut(side(old, OLD).unionByName(side(new, NEW)))
+    side = lambda df, k: df.select(*keys, F.lit(k).alias("side"), F.lit(0).cast("bigint").alias("ga"), F.lit(0).cast("bigint").alias("gb"), F.col("line").cast("bigint").alias("line"), digest().alias("h"))
+    rows = side(old, OLD).unionByName(side(new, NEW))
     gap, found = [*keys, "ga", "gb"], []
     of = lambda k, x: F.when(F.col("side") == k, x)
     while True:
@@ -179,7 +184,9 @@ def matches(old: DataFrame, new: DataFrame, keys: list[str], small: int = SMALL)
         short = rows.join(sizes.where(F.col("na") + F.col("nb") <= small), gap).select(*gap, "side", "line", "h")
         found.append(scanned(short, keys, ["side", "line"], compared).select(*keys, "a", "b", "n"))
         sizes = sizes.where(F.col("na") + F.col("nb") > small)
-        both = rows.join(sizes, gap)
+        both = cut(rows.join(sizes, gap))  # only lines of gaps that take rounds are written
+        if both.isEmpty():
+            return reduce(DataFrame.unionByName, found)
         both = both.withColumn("k", F.col("line") - of(OLD, F.col("ga")).otherwise(F.col("gb"))).withColumn("e", of(OLD, F.col("na")).otherwise(F.col("nb")) - F.col("k") + 1)
 
         def common(at: str, name: str) -> DataFrame:
@@ -190,8 +197,6 @@ def matches(old: DataFrame, new: DataFrame, keys: list[str], small: int = SMALL)
 
         ends = common("k", "head").join(common("e", "tail"), gap).join(sizes, gap).withColumn("tail", F.least("tail", F.least("na", "nb") - F.col("head")))
         ends = cut(ends)
-        if ends.isEmpty():
-            return reduce(DataFrame.unionByName, found)
         head = ends.where("head > 0").select(*keys, (F.col("ga") + 1).alias("a"), (F.col("gb") + 1).alias("b"), F.col("head").alias("n"))
         tail = ends.where("tail > 0").select(*keys, (F.col("ga") + F.col("na") - F.col("tail") + 1).alias("a"), (F.col("gb") + F.col("nb") - F.col("tail") + 1).alias("b"), F.col("tail").alias("n"))
         inner = both.join(ends.select(*gap, "head", "tail"), gap).where("k > head and e > tail")
@@ -293,9 +298,9 @@ def merge_chunks(base: DataFrame, a: DataFrame, b: DataFrame, keys: tuple[str, .
     equal_long = (F.col("a.hi") - F.col("a.lo")) == (F.col("b.hi") - F.col("b.lo"))
     texts = shared.where(equal_long)
     # Texts of equal length are compared line by line, by their place in the chunk.
-    side = lambda s, df: texts.where(F.col(f"{s}.hi") > F.col(f"{s}.lo")).select(*ks, "island", F.col(f"{s}.lo").alias("lo"), F.explode(F.sequence(F.col(f"{s}.lo"), F.col(f"{s}.hi") - 1)).alias("line")).join(df.select(*ks, F.col("line").cast("bigint").alias("line"), "content"), [*ks, "line"]).select(*ks, "island", (F.col("line") - F.col("lo")).alias("at"), "content")
-    lines = side("a", a).unionByName(side("b", b)).groupBy(*ks, "island", "at").agg(F.count_distinct(F.coalesce(F.concat(F.lit("+"), "content"), F.lit("-"))).alias("n"))
-    differ = lines.where("n > 1").select(*ks, "island").distinct().withColumn("differs", F.lit(True))
+    side = lambda s, df: texts.where(F.col(f"{s}.hi") > F.col(f"{s}.lo")).select(*ks, "island", F.col(f"{s}.lo").alias("lo"), F.explode(F.sequence(F.col(f"{s}.lo"), F.col(f"{s}.hi") - 1)).alias("line")).join(df.select(*ks, F.col("line").cast("bigint").alias("line"), digest().alias("h")), [*ks, "line"]).select(*ks, "island", (F.col("line") - F.col("lo")).alias("at"), "h")
+    lines = side("a", a).unionByName(side("b", b)).groupBy(*ks, "island", "at").agg((F.min("h") != F.max("h")).cast("int").alias("n"))
+    differ = lines.where("n > 0").select(*ks, "island").distinct().withColumn("differs", F.lit(True))
     status = F.when(F.col("b").isNull(), "a").when(F.col("a").isNull(), "b").when(~equal_long | F.coalesce("differs", F.lit(False)), "conflict").otherwise("same")
     return chunks.join(differ, [*ks, "island"], "left").select(*ks, F.col("start").alias("base_start"), (F.col("end") - F.col("start")).alias("base_count"), status.alias("status"))
 

@@ -10,6 +10,8 @@ make of them.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,21 +30,28 @@ RULES = {
 }
 
 
+def lines_of(s: SparkSession, d: str, lines: str) -> DataFrame:
+    """file, line, content of an array of lines of each document."""
+    documents = s.read.parquet(f"{d}/documents.parquet").where("text is not null")
+    rows = documents.select(F.col("doc_id").cast("string").alias("file"), F.posexplode(F.expr(lines)).alias("line", "content"))
+    return rows.select("file", (F.col("line") + 1).alias("line"), "content")
+
+
+def content_of(numbered: bool) -> str:
+    return "concat(CAST(i AS STRING), ': ', x)" if numbered else "x"
+
+
 def base_lines(s: SparkSession, d: str, numbered: bool) -> DataFrame:
-    """doc_id, file, line, content of the documents' lines."""
-    lines = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    content = F.concat(F.col("line").cast("string"), F.lit(": "), "content") if numbered else F.col("content")
-    return lines.select("doc_id", F.col("doc_id").cast("string").alias("file"), (F.col("line") + 1).alias("line"), content.alias("content"))
+    return lines_of(s, d, f"transform(split(text, '\n'), (x, i) -> {content_of(numbered)})")
 
 
-def version(base: DataFrame, branch: str) -> DataFrame:
-    """file, line, content of a branch's version; its line numbers are counted in each document."""
-    deleted, replaced, followed, mark = map(F.expr, RULES[branch])
-    kept = F.when(~deleted, F.when(replaced, F.concat(F.lit("edit "), mark, F.lit(" "), "content")).otherwise(F.col("content")))
-    added = F.when(followed, F.concat(F.lit("new "), mark, F.lit(" "), F.col("line").cast("string")))
-    parts = F.filter(F.array(F.struct(F.lit(0).alias("part"), kept.alias("content")), F.struct(F.lit(1).alias("part"), added.alias("content"))), lambda x: x["content"].isNotNull())
-    texts = base.select("file", "line", parts.alias("parts")).groupBy("file").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("line", "parts"))), lambda x: x["parts"])).alias("all"))
-    return texts.select("file", F.posexplode("all").alias("line", "x")).select("file", (F.col("line") + 1).alias("line"), F.col("x.content").alias("content"))
+def version(s: SparkSession, d: str, branch: str, numbered: bool) -> DataFrame:
+    """file, line, content of a branch's version, made inside each document's row."""
+    deleted, replaced, followed, mark = (re.sub(r"\bline\b", "(i + 1)", rule) for rule in RULES[branch])
+    content = content_of(numbered)
+    kept = f"CASE WHEN NOT ({deleted}) THEN CASE WHEN {replaced} THEN concat('edit ', {mark}, ' ', {content}) ELSE {content} END END"
+    added = f"CASE WHEN {followed} THEN concat('new ', {mark}, ' ', CAST(i + 1 AS STRING)) END"
+    return lines_of(s, d, f"flatten(transform(split(text, '\n'), (x, i) -> filter(array({kept}, {added}), y -> y IS NOT NULL)))")
 
 
 def versions_sql(numbered: bool) -> str:
@@ -71,7 +80,7 @@ BIG = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in ("old_start", "old_count"
 @query(versions_sql(True) + f"\nSELECT file, {BIG} FROM changes_a")
 def line_changes(s: SparkSession, d: str) -> DataFrame:
     base = base_lines(s, d, True)
-    return linediff.changes(base, version(base, "a"))
+    return linediff.changes(base, version(s, d, "a", True))
 
 
 HUNKS_SQL = """,
@@ -86,7 +95,7 @@ SELECT file, CAST(CASE WHEN last < first THEN greatest(1, first - 1) ELSE first
 @query(versions_sql(True) + HUNKS_SQL)
 def line_hunks(s: SparkSession, d: str) -> DataFrame:
     base = base_lines(s, d, True)
-    new = version(base, "a")
+    new = version(s, d, "a", True)
     lengths = base.groupBy("file").agg(F.count("*").alias("na")).join(new.groupBy("file").agg(F.count("*").alias("nb")), "file", "left").select("file", "na", F.coalesce("nb", F.lit(0)).alias("nb"))
     return linediff.hunks(linediff.changes(base, new), lengths)
 
@@ -95,7 +104,7 @@ def line_hunks(s: SparkSession, d: str) -> DataFrame:
 def line_diff_applied(s: SparkSession, d: str) -> DataFrame:
     """What the changes between lines as they are, repeated ones included, make of the base: the branch's text."""
     base = base_lines(s, d, False)
-    new = version(base, "a")
+    new = version(s, d, "a", False)
     made = linediff.applied(base, new, linediff.changes(base, new))
     texts = made.groupBy("file").agg(F.count("*").alias("n_lines"), F.sort_array(F.collect_list(F.struct("line", "content"))).alias("all"))
     return texts.select("file", "n_lines", F.md5(F.array_join(F.transform("all", lambda x: x["content"]), "\n")).alias("text_md5"))
@@ -115,7 +124,7 @@ FROM chunks c LEFT JOIN made x ON x.file = c.file AND x.island = c.island AND x.
 @query(versions_sql(True) + MERGE_SQL)
 def merge_chunks(s: SparkSession, d: str) -> DataFrame:
     base = base_lines(s, d, True)
-    return linediff.merge_chunks(base, version(base, "a"), version(base, "b"))
+    return linediff.merge_chunks(base, version(s, d, "a", True), version(s, d, "b", True))
 
 
 @query(f"SELECT DISTINCT file FROM ({versions_sql(True)}{MERGE_SQL}) WHERE status = 'conflict'")
