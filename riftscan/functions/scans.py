@@ -13,17 +13,22 @@ from pyspark.sql import functions as F
 SEGMENT = 1 << 16
 
 
-def carried(rows: DataFrame, keys: list[str], position: str, value: Column, name: str, segment: int = SEGMENT) -> DataFrame:
-    """``rows`` with the last non-null ``value`` at or before each row's position as ``name``; null before the first."""
-    cut = rows.withColumn("_segment", F.floor(F.col(position) / segment)).withColumn("_value", value)
+def carried_all(rows: DataFrame, keys: list[str], position: str, values: dict[str, Column], segment: int = SEGMENT) -> DataFrame:
+    """``rows`` with the last non-null of each of ``values`` at or before each row's position, by name; null before the first."""
+    names = list(values)
+    cut = rows.withColumn("_segment", F.floor(F.col(position) / segment)).withColumns({f"_value_{n}": v for n, v in values.items()})
     within = Window.partitionBy(*keys, "_segment").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    local = cut.withColumn("_local", F.last("_value", ignorenulls=True).over(within))
-    ends = cut.where("_value is not null").groupBy(*keys, "_segment").agg(F.max_by("_value", position).alias("_end"))
+    local = cut.withColumns({f"_local_{n}": F.last(f"_value_{n}", ignorenulls=True).over(within) for n in names})
     # a segment takes what the last segment before it ended with, if it is not a neighbour's too
-    every = cut.select(*keys, "_segment").distinct().join(ends, [*keys, "_segment"], "left")
+    ends = cut.groupBy(*keys, "_segment").agg(*[F.max_by(f"_value_{n}", F.when(F.col(f"_value_{n}").isNotNull(), F.col(position))).alias(f"_end_{n}") for n in names])
     before = Window.partitionBy(*keys).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
-    carry = every.select(*keys, "_segment", F.last("_end", ignorenulls=True).over(before).alias("_carry"))
-    return local.join(carry, [*keys, "_segment"], "left").select(*rows.columns, F.coalesce("_local", "_carry").alias(name))
+    carry = ends.select(*keys, "_segment", *[F.last(f"_end_{n}", ignorenulls=True).over(before).alias(f"_carry_{n}") for n in names])
+    return local.join(carry, [*keys, "_segment"], "left").select(*rows.columns, *[F.coalesce(f"_local_{n}", f"_carry_{n}").alias(n) for n in names])
+
+
+def carried(rows: DataFrame, keys: list[str], position: str, value: Column, name: str, segment: int = SEGMENT) -> DataFrame:
+    """``carried_all`` of one value."""
+    return carried_all(rows, keys, position, {name: value}, segment)
 
 
 def running_sum(rows: DataFrame, keys: list[str], position: str, value: Column, name: str, inclusive: bool = True, segment: int = SEGMENT) -> DataFrame:

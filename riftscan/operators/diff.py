@@ -1,8 +1,11 @@
 """Row-generating operators over diff text.
 
-Each takes one row for each diff (``diff_id``, ``raw``) and works within a
-diff by windows over its lines, so diffs are spread over the cluster and one
-diff's lines stay together.
+Each takes one row for each diff (``diff_id``, ``raw``), or with ``_of`` in its
+name the lines of diffs (``diff_id``, ``pos``, ``line``), as a file too large
+for one row gives them. A diff's lines are cut into segments of positions. What
+the lines mean is a state that each segment changes in a way that can be told
+before the state is known, so segments are scanned side by side, and only one
+row for each of them is put in order.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riftscan.functions.scans import SEGMENT, carried_all
 from riftscan.functions.text import strip_bom, trim_all
 
 # Line beginnings that carry no content.
@@ -29,8 +33,20 @@ def lines_of(diffs: DataFrame, raw: Column | None = None) -> DataFrame:
     return diffs.select("diff_id", F.posexplode(F.split(F.col("raw") if raw is None else raw, "\n")).alias("pos", "line"))
 
 
-def added_lines(diffs: DataFrame) -> DataFrame:
+def added_lines(diffs: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """diff_id, file, line, content, seq of each added line, numbered on the new side."""
+    return added_lines_of(lines_of(diffs.where("raw is not null")), segment)
+
+
+def added_lines_of(lines: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """``added_lines`` of lines (diff_id, pos, line).
+
+    A line's number is that of the last line that sets one (a file's or path's
+    header: 0; a hunk's header; the first added line of a part that names no
+    file: 1) and the added and context lines since. Whether an added line is
+    such a first one is the only thing that a segment can't tell alone: it is
+    kept as a candidate, at most one for each segment.
+    """
     line = F.col("line")
     header = line.rlike(r"^diff --git a/(.*) b/(.*)$")
     kind = (
@@ -45,39 +61,51 @@ def added_lines(diffs: DataFrame) -> DataFrame:
         .when(starts(line, "-", "\\"), "skip")
         .otherwise("context")
     )
-    in_order = Window.partitionBy("diff_id").orderBy("pos")
-    so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
-    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = lines_of(diffs.where("raw is not null")).withColumn("kind", kind)
-    opens = F.col("kind").isin("file", "path", "none")
+    # lines without any effect need not be moved, but for those that count as steps
+    rows = lines.withColumn("kind", kind).where("kind <> 'skip'").withColumn("part", F.floor(F.col("pos") / segment))
+    is_add = F.col("kind") == "add"
     name = F.when(F.col("kind") == "file", F.regexp_extract("line", r"^diff --git a/(.*) b/(.*)$", 2)).when(F.col("kind") == "path", F.substring("line", 7, 1 << 30))
-    rows = rows.withColumn("section", F.sum(opens.cast("int")).over(so_far)).withColumn("named", name)
-    of_section = Window.partitionBy("diff_id", "section").orderBy("pos")
-    rows = rows.withColumn("own", F.first("named").over(of_section.rowsBetween(Window.unboundedPreceding, 0)))
-    adds_before = F.coalesce(F.sum((F.col("kind") == "add").cast("int")).over(of_section.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("adds_before", adds_before)
-    first_of_unnamed = F.col("own").isNull() & (F.col("kind") == "add") & (F.col("adds_before") == 0)
-    base = F.when(F.col("kind").isin("file", "path"), 0).when(F.col("kind") == "hunk", F.regexp_extract("line", LOOSE_HUNK, 1).cast("bigint")).when(first_of_unnamed, 1)
-    opened = F.col("own").isNotNull() | (F.col("adds_before") > 0)
-    step = F.when(F.col("kind") == "add", 1).when((F.col("kind") == "context") & opened, 1).otherwise(0)
-    rows = rows.withColumn("base", base).withColumn("step", step).withColumn("piece", F.count("base").over(so_far))
-    of_piece = Window.partitionBy("diff_id", "piece").orderBy("pos")
-    at = F.coalesce(F.first("base").over(of_piece.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)) + F.coalesce(F.sum("step").over(of_piece.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("line_number", at).where("kind = 'add'").select(
-        "diff_id", F.coalesce("own", F.lit("unknown_file")).alias("file"), F.col("line_number").cast("int").alias("line"), F.substring("line", 2, 1 << 30).alias("content"), F.col("pos").alias("seq")
+    rows = rows.select(
+        "diff_id",
+        "part",
+        "pos",
+        "kind",
+        F.when(F.col("kind").isin("file", "path", "none"), F.struct(name.alias("named"))).alias("opens"),
+        F.when(F.col("kind").isin("file", "path"), 0).when(F.col("kind") == "hunk", F.regexp_extract("line", LOOSE_HUNK, 1).cast("bigint")).alias("sets"),
+        F.when(is_add, F.substring("line", 2, 1 << 30)).alias("content"),
+        is_add.cast("bigint").alias("adds"),
+        F.col("kind").isin("add", "context").cast("bigint").alias("steps"),
     )
-
-
-def sections(diffs: DataFrame) -> DataFrame:
-    """diff_id, section, path, is_binary, pos, line of each line below a file header (pos of the header included)."""
-    so_far = Window.partitionBy("diff_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("diff_id", "section")
-    rows = lines_of(diffs.where("raw is not null"), strip_bom(F.col("raw"))).withColumn("is_header", F.startswith("line", F.lit("diff --git ")))
-    rows = rows.withColumn("section", F.sum(F.col("is_header").cast("int")).over(so_far)).where("section > 0")
-    path = F.when(F.col("is_header"), trim_all(F.regexp_extract("line", r"diff --git a/.+ b/(.+)$", 1)))
-    binary = ~F.col("is_header") & (F.contains("line", F.lit("Binary files")) | F.contains("line", F.lit("GIT binary patch")))
-    rows = rows.withColumn("path", F.max(path).over(whole)).withColumn("is_binary", F.bool_or(binary).over(whole))
-    return rows.where("path <> '' and path <> '/dev/null'")
+    in_order = Window.partitionBy("diff_id", "part").orderBy("pos")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("adds_at", F.sum("adds").over(so_far) - F.col("adds")).withColumn("steps_at", F.sum("steps").over(so_far) - F.col("steps"))
+    opened = F.when(F.col("opens").isNotNull(), F.struct(F.col("opens.named").alias("named"), F.col("adds_at").alias("adds")))
+    rows = rows.withColumn("open", F.last(opened, ignorenulls=True).over(so_far))
+    first_of_unnamed = (F.col("kind") == "add") & F.col("open").isNotNull() & F.col("open.named").isNull() & (F.col("adds_at") == F.col("open.adds"))
+    in_doubt = (F.col("kind") == "add") & F.col("open").isNull() & (F.col("adds_at") == 0)
+    sets = F.when(first_of_unnamed, F.lit(1)).otherwise(F.col("sets")).cast("bigint")
+    based = F.struct(F.col("pos"), sets.alias("base"), F.col("steps_at").alias("steps"))
+    rows = rows.withColumn("based", F.when(sets.isNotNull(), based)).withColumn("doubt", F.when(in_doubt, F.struct(F.col("pos"), F.lit(1).cast("bigint").alias("base"), F.col("steps_at").alias("steps"))))
+
+    parts = rows.groupBy("diff_id", "part").agg(
+        F.sum("adds").alias("adds"), F.sum("steps").alias("steps"), F.max_by("open", "pos").alias("open"), F.max("based").alias("based"), F.max("doubt").alias("doubt")
+    )
+    before = Window.partitionBy("diff_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("adds_in", F.coalesce(F.sum("adds").over(before), F.lit(0))).withColumn("steps_in", F.coalesce(F.sum("steps").over(before), F.lit(0)))
+    carried_open = F.when(F.col("open").isNotNull(), F.struct(F.col("open.named").alias("named"), (F.col("adds_in") + F.col("open.adds")).alias("adds")))
+    parts = parts.withColumn("open_in", F.last(carried_open, ignorenulls=True).over(before))
+    holds = F.col("open_in.named").isNull() & (F.col("adds_in") == F.coalesce(F.col("open_in.adds"), F.lit(0)))
+    parts = parts.withColumn("doubt", F.when(holds, F.col("doubt")))
+    end = F.greatest("based", "doubt")
+    parts = parts.withColumn("end", F.when(end.isNotNull(), F.struct(end["base"].alias("base"), (F.col("steps_in") + end["steps"]).alias("steps"))))
+    parts = parts.select("diff_id", "part", "steps_in", "open_in", "doubt", F.last("end", ignorenulls=True).over(before).alias("end_in"))
+
+    # a part's last line that sets a number so far, in the segment or before it
+    rows = rows.withColumn("based", F.last("based", ignorenulls=True).over(so_far)).where("kind = 'add'").drop("doubt").join(parts, ["diff_id", "part"])
+    own = F.when(F.col("open").isNotNull(), F.col("open.named")).otherwise(F.col("open_in.named"))
+    local = F.greatest("based", F.when(F.col("doubt.pos") <= F.col("pos"), F.col("doubt")))
+    number = F.coalesce(local["base"] + F.col("steps_at") - local["steps"], F.col("end_in.base") + F.col("steps_in") + F.col("steps_at") - F.col("end_in.steps"))
+    return rows.select("diff_id", F.coalesce(own, F.lit("unknown_file")).alias("file"), number.cast("int").alias("line"), "content", F.col("pos").alias("seq"))
 
 
 def body_path(body: Column) -> Column:
@@ -86,25 +114,38 @@ def body_path(body: Column) -> Column:
     return F.when(found == "/dev/null", found).otherwise(trim_all(F.substring(found, 3, 1 << 30)))
 
 
-def changed_ranges(diffs: DataFrame) -> DataFrame:
+def changed_ranges(diffs: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """diff_id, path, seq, start_line, line_count, end_line, change_type.
 
     A path without ranges (a binary file) has one row with null ranges. A
     binary section takes back the ranges of earlier sections of its path.
     """
-    rows = sections(diffs)
-    of_path = Window.partitionBy("diff_id", "path")
-    last_binary = F.coalesce(F.max(F.when(F.col("is_binary"), F.col("section"))).over(of_path), F.lit(-1))
-    rows = rows.withColumn("valid", (F.col("section") > last_binary) & ~F.col("is_binary") & ~F.col("is_header"))
-    opens = F.startswith("line", F.lit("@@"))
-    so_far = Window.partitionBy("diff_id", "section").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("hunk", F.sum((opens & F.col("valid")).cast("int")).over(so_far))
+    return changed_ranges_of(lines_of(diffs.where("raw is not null")), segment)
+
+
+def changed_ranges_of(lines: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """``changed_ranges`` of lines (diff_id, pos, line).
+
+    Every line takes the last file and hunk headers with it; the rest is
+    aggregates by section and hunk, which combine before they are shuffled.
+    """
+    line = F.when(F.col("pos") == 0, strip_bom(F.col("line"))).otherwise(F.col("line"))
+    is_header = F.startswith("line", F.lit("diff --git "))
+    path = trim_all(F.regexp_extract("line", r"diff --git a/.+ b/(.+)$", 1))
+    marks = {"file": F.when(is_header, F.struct(F.col("pos").alias("section"), path.alias("path"))), "hunk": F.when(F.startswith("line", F.lit("@@")), F.col("pos"))}
+    rows = carried_all(lines.select("diff_id", "pos", line.alias("line")), ["diff_id"], "pos", marks, segment)
+    rows = rows.where("file is not null and file.path <> '' and file.path <> '/dev/null'").select("diff_id", "pos", "line", "file.section", "file.path", "hunk")
+    binary = (F.col("pos") > F.col("section")) & (F.contains("line", F.lit("Binary files")) | F.contains("line", F.lit("GIT binary patch")))
+    of_section = rows.groupBy("diff_id", "path", "section").agg(F.bool_or(binary).alias("is_binary"))
+    # by path: its last binary section
+    of_path = of_section.groupBy("diff_id", "path").agg(F.coalesce(F.max(F.when(F.col("is_binary"), F.col("section"))), F.lit(-1)).alias("last_binary"))
     is_hunk = F.col("line").rlike(HUNK)
     shown = F.when(is_hunk, F.regexp_replace("line", HUNK, "")).otherwise(F.col("line"))
     plus = F.startswith(shown, F.lit("+")) & ~F.startswith(shown, F.lit("+++"))
     minus = F.startswith(shown, F.lit("-")) & ~F.startswith(shown, F.lit("---"))
     head = F.when(is_hunk, F.struct(F.col("pos"), F.col("line")))
-    hunks = rows.where("valid and hunk > 0").groupBy("diff_id", "path", "section", "hunk").agg(F.min(head).alias("head"), F.bool_or(plus).alias("plus"), F.bool_or(minus).alias("minus")).where("head is not null")
+    hunks = rows.where("hunk > section").groupBy("diff_id", "path", "section", "hunk").agg(F.min(head).alias("head"), F.bool_or(plus).alias("plus"), F.bool_or(minus).alias("minus")).where("head is not null")
+    hunks = hunks.join(of_path, ["diff_id", "path"]).where("section > last_binary")
     count = F.coalesce(F.nullif(F.regexp_extract("head.line", HUNK, 4), F.lit("")).cast("int"), F.lit(1))
     first = F.regexp_extract("head.line", HUNK, 3).cast("int")
     ranges = hunks.select(
@@ -116,8 +157,7 @@ def changed_ranges(diffs: DataFrame) -> DataFrame:
         F.when(count == 0, F.greatest(F.lit(1), first)).otherwise(first + count - 1).alias("end_line"),
         F.when(count == 0, "removed").when(F.col("plus") & F.col("minus"), "modified").when(F.col("plus"), "added").when(F.col("minus"), "removed").otherwise("modified").alias("change_type"),
     )
-    paths = rows.select("diff_id", "path").distinct()
-    return paths.join(ranges, ["diff_id", "path"], "left")
+    return of_path.select("diff_id", "path").join(ranges, ["diff_id", "path"], "left")
 
 
 def name_status(outputs: DataFrame) -> DataFrame:

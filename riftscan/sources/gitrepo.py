@@ -214,3 +214,20 @@ def read_diff_texts(spark: SparkSession, path: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("diff_id"), F.col("value").alias("raw"))
+
+
+def read_diff_lines(spark: SparkSession, path: str) -> DataFrame:
+    """diff_id, pos, line of diff files of any size: a file is read by a task for each of its blocks.
+
+    Lines are numbered in their block, blocks by what is before them. The
+    empty line after a last line break, which the text as a whole has, is left out.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    read = spark.read.text(path, lineSep="\n")
+    rows = read.select(F.col("_metadata.file_path").alias("diff_id"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
+    before = Window.partitionBy("diff_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("diff_id", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first")).select("diff_id", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    # a block's lines follow one another in one task, so that their ids do
+    return rows.join(starts, ["diff_id", "_block"]).select("diff_id", (F.col("_start") + F.col("_id") - F.col("_first")).alias("pos"), "line")
