@@ -19,6 +19,11 @@ ACROSS_TEXT = 'Function "%s" signature changed from (%s) to (%s) on one branch,
 UPDATE_TEXT = "Update all call sites in %s to use the new signature."
 PENDING_START = "Pending AI response"
 ERROR_WORDS = ("unavailable", "skipped", "Verify")
+# What is shown where no explanation came: by whether a service was named, or only a key, or neither.
+FOLLOW_TEXT = "Follow the fix that the explanation gives."
+NO_SERVICE = ("Explanation unavailable: see that the named service answers and that its free scans are not used up.", "Start the service and scan again.")
+NOTHING_SET = ("Explanation unavailable: start a local service or set a key.", "Start the service and scan again.")
+NO_KEY_ANSWER = ("Explanation unavailable: verify the key.", "Check the key or the network.")
 
 
 def conflict_risks(candidates: DataFrame) -> DataFrame:
@@ -104,6 +109,52 @@ def enrich(risks: DataFrame, enrichments: DataFrame) -> DataFrame:
     return joined.select(*[fields[c].alias(c) if c in fields else F.col(c) for c in risks.columns])
 
 
+def enrich_by_path(risks: DataFrame, settings: DataFrame, service: DataFrame, direct: DataFrame) -> DataFrame:
+    """``risks`` (analysis_id, id, explanation, recommendation, ...) with what either path explains, and the ``path`` of their analysis.
+
+    ``settings``: analysis_id, has_service, has_key. ``service``: analysis_id,
+    id, explanation, an answer for each risk. ``direct``: analysis_id, id,
+    explanation, recommendation, seq, the answers to one request. A service is
+    asked where one is named or there is no key, and counts for all risks of an
+    analysis or for none: one risk without an answer is enough to leave it
+    ('service' otherwise). Then the key's answers are taken by id, as in
+    ``enrich`` ('direct'); where there are none at all, only texts that are
+    still pending say so ('direct failed'). Without a key all texts of the
+    analysis say so ('none').
+
+    Defined results: an answer with a null text is none; of several the greatest
+    text is taken; an analysis without settings has neither service nor key;
+    answers for unknown analyses or ids are ignored, as are null ids among
+    them, and a risk with a null id is one without an answer.
+    """
+    said = service.where("explanation is not null").groupBy("analysis_id", "id").agg(F.max("explanation").alias("said"))
+    last = direct.where("id is not null").groupBy("analysis_id", "id").agg(F.max_by(F.struct("explanation", "recommendation"), "seq").alias("new"))
+    asked = risks.join(said, ["analysis_id", "id"], "left").join(last, ["analysis_id", "id"], "left")
+    unanswered = risks.join(said, ["analysis_id", "id"], "left_anti").select("analysis_id").distinct().withColumn("unanswered", F.lit(True))
+    answered = direct.select("analysis_id").distinct().withColumn("answered", F.lit(True))
+    known = settings.select("analysis_id", "has_service", "has_key").join(unanswered, "analysis_id", "full").join(answered, "analysis_id", "full")
+    # Keyed by an expression, so that a large analysis is shuffled anew for this join and can be split.
+    rows = asked.join(known.withColumn("of", F.concat("analysis_id", F.lit(""))).drop("analysis_id"), F.col("analysis_id") == F.col("of"), "left")
+    has_service, has_key = (F.coalesce(c, F.lit(False)) for c in ("has_service", "has_key"))
+    path = (
+        F.when((has_service | ~has_key) & F.col("unanswered").isNull(), "service")
+        .when(~has_key, "none")
+        .when(F.col("answered").isNull(), "direct failed")
+        .otherwise("direct")
+    )
+    pending = F.startswith(F.coalesce("explanation", F.lit("")), F.lit(PENDING_START))
+
+    def text(c: str, k: int) -> Column:
+        from_service = F.col("said") if k == 0 else F.lit(FOLLOW_TEXT)
+        none = F.when(has_service, NO_SERVICE[k]).otherwise(NOTHING_SET[k])
+        failed = F.when(pending, NO_KEY_ANSWER[k]).otherwise(F.col(c))
+        by = path
+        return F.when(by == "service", from_service).when(by == "direct", or_else(F.col(f"new.{c}"), F.col(c))).when(by == "direct failed", failed).otherwise(none).alias(c)
+
+    fields = {c: text(c, k) for k, c in enumerate(("explanation", "recommendation"))}
+    return rows.select(*[fields.get(c, F.col(c)) for c in risks.columns], path.alias("path"))
+
+
 def parse_enrichments(responses: DataFrame) -> DataFrame:
     """id, explanation, recommendation, seq from a model's answers (``raw``, maybe in code fences); an answer that is no array gives no rows."""
     clean = F.btrim(F.regexp_replace(F.regexp_replace("raw", r"(?i)\A```(?:json)?\s*", ""), r"\s*```\s*\z", ""))

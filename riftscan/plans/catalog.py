@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riftscan.functions import text
 from riftscan.functions.levels import health_color, overlap_label
 from riftscan.operators import commits, diff, findings, ranges, report, rules, score, secrets, semantic
-from riftscan.plans import analysis, gitqueries, moves, versions  # noqa: F401  registers their queries
+from riftscan.plans import analysis, callers, enrichment, gitqueries, moves, runs, versions  # noqa: F401  registers their queries
 from riftscan.plans.fixtures import view, with_views
 from riftscan.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from riftscan.sources import jsparse
