@@ -107,7 +107,10 @@ def scanned(rows: DataFrame, keys: list[str], order: list, step) -> DataFrame:
     """keys, a, b, n: the runs that ``step`` finds in each gap, whose rows are read in ``order``.
 
     ``step(gap)`` returns (add, finish): ``add`` takes the columns after the
-    gap's, ``finish`` returns the gap's runs. Gaps are dealt over the cluster.
+    gap's, ``finish`` returns the gap's runs. Gaps are dealt over the cluster,
+    by an expression: an exchange by the columns of a join below would be left
+    out, and the join's own is read by mapper once it turns into a broadcast
+    join, which tears gaps apart.
     """
     gap = [*keys, "ga", "gb"]
     kinds = [rows.schema[k].dataType.simpleString() for k in keys]
@@ -140,7 +143,7 @@ def scanned(rows: DataFrame, keys: list[str], order: list, step) -> DataFrame:
             yield table()
 
     importable(rows.sparkSession)
-    return rows.repartition(*gap).sortWithinPartitions(*gap, *order).mapInArrow(of, schema)
+    return rows.repartition(F.xxhash64(*gap)).sortWithinPartitions(*gap, *order).mapInArrow(of, schema)
 
 
 def chained(gap: tuple):

@@ -93,6 +93,19 @@ def test_long_file(spark):
     assert took[100_000] < 6 * took[10_000]
 
 
+def test_gaps_stay_whole(spark):
+    """What is scanned gap by gap has an exchange of its own: that of a join by the same keys may be read by mapper (seen at sf0.1)."""
+    rows = spark.createDataFrame([("f", 0, 0, 0, 1, b"a"), ("f", 0, 0, 1, 1, b"a")], "file string, ga bigint, gb bigint, side int, line bigint, h binary")
+    gap = ["file", "ga", "gb"]
+    joined = rows.join(rows.groupBy(*gap).count().where("count > 0"), gap).select(*rows.columns)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = linediff.scanned(joined, ["file"], ["side", "line"], linediff.compared)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.index("MapInArrow") < plan.index("REPARTITION_BY_COL") < plan.index("SortMergeJoin")
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_rising(seed):
     r = random.Random(seed)
