@@ -62,7 +62,7 @@ def git_version(raw: Column) -> Column:
 
 
 def commit_record(raw: Column) -> Column:
-    """Six NUL-separated fields; null if there are fewer."""
-    parts = F.split(trim_all(raw), "\\x00")
+    """Six NUL-separated fields; null if there are fewer. The text is split once, not once for each field."""
     names = ("sha", "short_sha", "author", "email", "date", "message")
-    return F.when(F.size(parts) >= 6, F.struct(*[F.get(parts, F.lit(k)).alias(n) for k, n in enumerate(names)]))
+    of = lambda parts: F.when(F.size(parts) >= 6, F.struct(*[F.get(parts, F.lit(k)).alias(n) for k, n in enumerate(names)]))
+    return F.get(F.transform(F.array(F.split(trim_all(raw), "\\x00")), of), F.lit(0))

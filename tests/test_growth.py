@@ -1,0 +1,11 @@
+"""What a query's time grows by: work that is done once for a row, or not at all where nobody reads it."""
+
+from riftscan.plans.catalog import QUERIES
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_commit_record_is_split_once(spark, sf):
+    assert plan_of(QUERIES["commit_info"](spark, sf)).count("split(") == 1
