@@ -24,19 +24,25 @@ def merge_findings(findings: DataFrame) -> DataFrame:
     The highest level and confidence win, names are joined in order, the
     category is the first finding's, and the preview that of the first finding
     to reach the highest level (a missing one keeps the one before). All of it
-    is one aggregation with map-side partial results.
+    is one aggregation with map-side partial results. Previews are gathered
+    apart from the rest, so that where nobody reads them no line is masked.
     """
     level = ordinal(assigned_level(F.col("category"), F.col("confidence"), F.col("suggested_level")), RISK)
     rows = findings.withColumn("level", level).withColumn("sure", ordinal(F.col("confidence"), CONFIDENCE))
-    item = F.struct("seq", "rule_name", "category", "level", F.col("redacted_preview").alias("preview"))
-    merged = rows.groupBy("file", "line").agg(F.sort_array(F.collect_list(item)).alias("all"), F.max("level").alias("level"), F.max("sure").alias("sure"))
+    nth = F.struct("seq.scanner", "seq.rule_pos").alias("nth")  # of one file and line
+    merged = rows.groupBy("file", "line").agg(
+        F.sort_array(F.collect_list(F.struct(nth, "rule_name", "category"))).alias("all"),
+        F.sort_array(F.collect_list(F.struct(nth, "rule_name", "category", "level", F.col("redacted_preview").alias("preview")))).alias("shown"),
+        F.max("level").alias("level"),
+        F.max("sure").alias("sure"),
+    )
 
     def take(acc: Column, x: Column) -> Column:
         rises = x["level"] > acc["level"]
         return F.struct(F.greatest(acc["level"], x["level"]).alias("level"), F.when(rises, F.coalesce(x["preview"], acc["preview"])).otherwise(acc["preview"]).alias("preview"))
 
-    first = F.get("all", F.lit(0))
-    start = F.struct(first["level"].alias("level"), first["preview"].alias("preview"))
+    first, first_shown = F.get("all", F.lit(0)), F.get("shown", F.lit(0))
+    start = F.struct(first_shown["level"].alias("level"), first_shown["preview"].alias("preview"))
     return merged.select(
         F.lit("security_risk").alias("type"),
         first["category"].alias("category"),
@@ -45,9 +51,9 @@ def merge_findings(findings: DataFrame) -> DataFrame:
         named(F.col("level"), RISK).alias("risk_level"),
         F.array_join(F.transform("all", lambda x: x["rule_name"]), "; ").alias("rule_matched"),
         named(F.col("sure"), CONFIDENCE).alias("confidence"),
-        F.aggregate(F.slice(F.col("all"), 2, F.size("all")), start, take, lambda acc: acc["preview"]).alias("redacted_preview"),
+        F.aggregate(F.slice(F.col("shown"), 2, F.size("shown")), start, take, lambda acc: acc["preview"]).alias("redacted_preview"),
         F.lit(None).cast("string").alias("ai_explanation"),
-        first["seq"].alias("seq"),
+        F.struct(first["nth"]["scanner"].alias("scanner"), "file", "line", first["nth"]["rule_pos"].alias("rule_pos")).alias("seq"),
     )
 
 

@@ -21,11 +21,16 @@ from riftscan.sources import gitrepo, jsparse
 MAIN = "main"
 
 
-def security_risks(lines: DataFrame) -> DataFrame:
-    """Merged risks of added lines (file, line, content), most severe first; secrets are masked in all of them."""
+def merged_risks(lines: DataFrame) -> DataFrame:
+    """Merged risks of added lines (file, line, content), in no order; secrets are masked in all of them."""
     shown = text.truncate(text.trim_all(secrets.masked()))
     found = findings.all_findings(secrets.scan_secrets(lines), rules.scan_injections(lines, snippet=shown))
-    return findings.ranked(findings.merge_findings(found))
+    return findings.merge_findings(found)
+
+
+def security_risks(lines: DataFrame) -> DataFrame:
+    """``merged_risks``, most severe first."""
+    return findings.ranked(merged_risks(lines))
 
 
 def analyze_security(diffs: DataFrame) -> DataFrame:

@@ -373,7 +373,7 @@ def js_call_sites(s: SparkSession, d: str) -> DataFrame:
 
 
 def all_risks(s: SparkSession, d: str) -> DataFrame:
-    security = risks_of(s, d).withColumn("id", F.concat(F.lit("security_"), "file", F.lit("_"), F.col("line").cast("string")))
+    security = analysis.merged_risks(view(s, d, "code_lines")).withColumn("id", F.concat(F.lit("security_"), "file", F.lit("_"), F.col("line").cast("string")))
     found = semantic.semantic_conflicts(changes_of(s, d), view(s, d, "call_sites"))
     return report.all_risks(report.conflict_risks(candidates_of(s, d)), report.semantic_risks(found), findings.adapt_security(security))
 
