@@ -89,41 +89,57 @@ def bins(first: Column, last: Column) -> Column:
 def overlaps(ranges_a: DataFrame, ranges_b: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFrame:
     """Pairs of ranges of one file that overlap or lie within five lines: keys, both ranges, level, shared lines.
 
-    Two ranges meet where a bin of one is a bin of the other or holds one. So A's
-    own bins are joined with B's own ones and those above them, and the bins
-    above A's with B's own; bins are only looked for above as far as any range
-    is long. A pair counts in the bin of its first common line, once. Far
-    ranges are never compared, and a file with very many ranges is spread over
-    its bins.
+    Short ranges meet in their blocks. Pairs with a long one are made apart,
+    over all levels of bins; where no range is long that part reads its inputs
+    and makes no rows. A pair counts in the bin of its first common line, once.
+    Far ranges are never compared, and a file with very many ranges is spread
+    over its bins. Conditions on a range stand where the optimizer can't move
+    them below an exchange of the inputs, which other parts of a plan may share.
     """
     columns = ("start_line", "line_count", "end_line", "change_type")
     a = ranges_a.select(*keys, *[F.col(c).alias(f"a_{c}") for c in columns])
     b = ranges_b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in columns])
     a = a.withColumn("a_last", last_line("a")).withColumn("a_from", block(F.col("a_start_line") - NEAR)).withColumn("a_to", F.greatest("a_from", block(F.col("a_last") + NEAR)))
     b = b.withColumn("b_last", last_line("b")).withColumn("b_from", block(F.col("b_start_line"))).withColumn("b_to", F.greatest("b_from", block(F.col("b_last"))))
-    longest = a.select((F.col("a_to") - F.col("a_from")).alias("n")).unionByName(b.select((F.col("b_to") - F.col("b_from")).alias("n"))).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"))
-    top = F.when(longest.scalar() < (1 << GROWTH) - 1, 0).otherwise(LEVELS - 1)
-    a, b = a.withColumn("top", top), b.withColumn("top", top)
-    top = F.col("top")
-    above = lambda own: F.transform(F.when(own["level"] < top, F.sequence(own["level"] + 1, top)).otherwise(F.array().cast("array<int>")), lambda k: F.struct(k.alias("level"), F.floor(own["bin"] / F.pow(F.lit(2), (k - own["level"]) * GROWTH)).cast("bigint").alias("bin")))
-    # Way 0: A's own bin with what B has at it or below; way 1: B's own bin with what A has below.
-    row = lambda way, key, own: F.struct(F.lit(way).alias("way"), key["level"].alias("level"), key["bin"].alias("bin"), own["level"].alias("own_level"), own["bin"].alias("own_bin"))
-    every = lambda own, same, up: F.concat(F.array(*[row(w, own, own) for w in same]), F.transform(above(own), lambda k: row(up, k, own)))
-    a = a.withColumn("own", F.explode(bins(F.col("a_from"), F.col("a_to")))).withColumn("at", F.explode(every(F.col("own"), (0,), 1)))
-    b = b.withColumn("own", F.explode(bins(F.col("b_from"), F.col("b_to")))).withColumn("at", F.explode(F.filter(every(F.col("own"), (0, 1), 0), lambda x: (x["way"] == 0) | (x["level"] > 0))))
-    a = a.select(*[c for c in a.columns if c not in ("own", "at", "top")], *[F.col(f"at.{c}").alias(f"a_{c}") for c in ("way", "level", "bin", "own_level", "own_bin")])
-    b = b.select(*[c for c in b.columns if c not in ("own", "at", "top")], *[F.col(f"at.{c}").alias(f"b_{c}") for c in ("way", "level", "bin", "own_level", "own_bin")])
+    long = lambda s: F.col(f"{s}_to") - F.col(f"{s}_from") >= (1 << GROWTH) - 1
     near = (F.col("a_start_line") <= F.col("b_last") + NEAR) & (F.col("b_start_line") <= F.col("a_last") + NEAR)
+    near = F.coalesce(near, F.lit(False))
+    level, lines = pair_level(F.col("a_start_line"), F.col("a_last"), F.col("b_start_line"), F.col("b_last"))
+
+    def pairs(x: DataFrame, y: DataFrame, same: Column) -> DataFrame:
+        for k in keys:
+            same = same & (x[k] == y[k])
+        return x.join(y, same & near).select(*[x[k] for k in keys], *[f"a_{c}" for c in columns], *[f"b_{c}" for c in columns], level.alias("level"), lines.alias("shared_lines"))
+
+    short = lambda df, s: df.withColumn(f"{s}_bin", F.explode_outer(F.when(~long(s), F.sequence(f"{s}_from", f"{s}_to")))).where(F.col(f"{s}_bin").isNotNull())
     first = F.greatest("a_from", "b_from")
+    found = pairs(short(a, "a"), short(b, "b"), (F.col("a_bin") == F.col("b_bin")) & (F.col("a_bin") == first))
+    any_long = a.where(long("a")).select(F.lit(1).alias("n")).unionByName(b.where(long("b")).select(F.lit(1).alias("n"))).agg(F.count("n").alias("n")).scalar() > 0
+    kept = lambda df, s: df.where(F.when(any_long, F.col(f"{s}_start_line").isNotNull()))  # noqa: E731  names a column, so that it goes down to the scan
+    x, y = binned(kept(a, "a"), kept(b, "b"))
     small = lambda side: F.floor(first / F.pow(F.lit(2), F.col(f"{side}_own_level") * GROWTH)).cast("bigint") == F.col(f"{side}_own_bin")
-    same = near & F.when(F.col("a_way") == 0, small("b")).otherwise(small("a"))
+    same = F.when(F.col("a_way") == 0, small("b")).otherwise(small("a")) & (long("a") | long("b"))
     for c in ("way", "level", "bin"):
         same = same & (F.col(f"a_{c}") == F.col(f"b_{c}"))
-    for k in keys:
-        same = same & (a[k] == b[k])
-    level, lines = pair_level(F.col("a_start_line"), F.col("a_last"), F.col("b_start_line"), F.col("b_last"))
-    joined = a.join(b, same).select(*[a[k] for k in keys], *[f"a_{c}" for c in columns], *[f"b_{c}" for c in columns], level.alias("level"), lines.alias("shared_lines"))
-    return joined.where("level <> 'SAFE'")
+    return found.unionByName(pairs(x, y, same)).where("level <> 'SAFE'")
+
+
+def binned(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a row for each bin in which their ranges of any length meet.
+
+    Two ranges meet where a bin of one is a bin of the other or holds one. So
+    A's own bins are joined with B's own ones and those above them, and the
+    bins above A's with B's own.
+    """
+    top = F.lit(LEVELS - 1)
+    above = lambda own: F.transform(F.when(own["level"] < top, F.sequence(own["level"] + 1, top)).otherwise(F.array().cast("array<int>")), lambda k: F.struct(k.alias("level"), F.floor(own["bin"] / F.pow(F.lit(2), (k - own["level"]) * GROWTH)).cast("bigint").alias("bin")))
+    # Way 0: A's own bin with what B has at it or below; way 1: B's own bin with what A has below.
+    row = lambda way, key, own: F.struct(F.lit(way).alias("way"), key["level"].alias("level"), key["bin"].alias("bin"), own["level"].alias("own_level"), own["bin"].alias("own_bin"))
+    every = lambda own, same, up: F.concat(F.array(*[row(w, own, own) for w in same]), F.transform(above(own), lambda k: row(up, k, own)))
+    fields = ("way", "level", "bin", "own_level", "own_bin")
+    rows_a = a.withColumn("own", F.explode(bins(F.col("a_from"), F.col("a_to")))).withColumn("at", F.explode(every(F.col("own"), (0,), 1)))
+    rows_b = b.withColumn("own", F.explode(bins(F.col("b_from"), F.col("b_to")))).withColumn("at", F.explode(F.filter(every(F.col("own"), (0, 1), 0), lambda x: (x["way"] == 0) | (x["level"] > 0))))
+    return rows_a.select(*a.columns, *[F.col(f"at.{c}").alias(f"a_{c}") for c in fields]), rows_b.select(*b.columns, *[F.col(f"at.{c}").alias(f"b_{c}") for c in fields])
 
 
 def worst_levels(pairs: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFrame:

@@ -240,7 +240,12 @@ def worst_overlap(s: SparkSession, d: str) -> DataFrame:
 
 
 def candidates_of(s: SparkSession, d: str) -> DataFrame:
-    return ranges.conflict_candidates(merged_files(s, d), *sides(s, d), view(s, d, "conflicts"))
+    a, b = sides(s, d)
+    files = view(s, d, "branch_files")
+    side = lambda name: files.where(F.col("side") == name).drop("side")
+    # candidates read no additions and deletions, so these are not summed here
+    merged = ranges.merge_branch_files(side("A"), side("B"), a.withColumnRenamed("file", "path"), b.withColumnRenamed("file", "path"))
+    return ranges.conflict_candidates(merged, a, b, view(s, d, "conflicts"))
 
 
 CANDIDATES_SQL = (

@@ -1,6 +1,8 @@
 """What a query's time grows by: work that is done once for a row, or not at all where nobody reads it."""
 
-from riftscan.operators import secrets
+from pyspark.sql import functions as F
+
+from riftscan.operators import rules, secrets
 from riftscan.plans import analysis
 from riftscan.plans.catalog import QUERIES
 
@@ -23,3 +25,25 @@ def test_no_masks_unread(spark, sf):
     assert [tuple(r) for r in got.collect()] == [(r.file, r.line, r.risk_level, r.rule_matched) for r in rows] and len(rows) == 2
     assert secrets.MASK in rows[0].redacted_preview and "AKIAABCD" not in rows[0].redacted_preview
     assert secrets.MASK not in plan_of(QUERIES["security_risks"](spark, sf))
+
+
+def test_ranges_are_read_once(spark, sf):
+    """Overlaps and counts share the exchange of each side's ranges; nothing is made for bins above the blocks where no range is long."""
+    df = QUERIES["conflict_candidates"](spark, sf)
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString()
+    final = text.split("== Initial Plan ==")[0]
+    distinct = [x for x in final.splitlines() if "Exchange hashpartitioning(file" in x and "branch" in x and "Reused" not in x]
+    assert len(distinct) <= 4  # both sides, and both for long ranges
+    assert "change_type" not in " ".join(x for x in final.splitlines() if "sum(" in x)  # additions are not summed for candidates
+
+
+def test_words_of_rules_rule_nothing_out(spark):
+    """A rule's pattern never matches a line without any of its words, in either case."""
+    lines = ['x = "SELECT a" + b', "`Select ${x}`", "db.Query(x)", "EXEC(`a ${b}`)", "Spawn(a, { shell: true })", "OS.SYSTEM(x)", "subprocess.run(x)", "eval(x)", "new Function(x)", "a.innerHTML = x", "RES.send(req.body)", "Pickle.loads(x)", "YAML.load(x)", "db.raw(x)", "db.RUN(x)", "Delete From t where a = ' + b", "execKalter  x + y", "İnsert into t + x"]
+    frame = spark.createDataFrame([(x,) for x in lines], "content string")
+    content = F.col("content")
+    for rule in rules.INJECTION_RULES:
+        assert rule.words
+        row = frame.agg(F.count_if(rules.matches(rule, content)).alias("a"), F.count_if(rules.matches(rule, content, F.lower(content))).alias("b")).first()
+        assert row.a == row.b > 0
