@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riftscan.functions.scans import SEGMENT, carried_all
+from riftscan.functions.scans import SEGMENT
 from riftscan.functions.text import strip_bom, trim_all
 
 # Line beginnings that carry no content.
@@ -120,44 +120,75 @@ def changed_ranges(diffs: DataFrame, segment: int = SEGMENT) -> DataFrame:
     A path without ranges (a binary file) has one row with null ranges. A
     binary section takes back the ranges of earlier sections of its path.
     """
-    return changed_ranges_of(lines_of(diffs.where("raw is not null")), segment)
+    known = diffs.where("raw is not null")
+    return changed_ranges_of(lines_of(known), segment, lines_of(known.where(F.length("raw") >= segment)))
 
 
-def changed_ranges_of(lines: DataFrame, segment: int = SEGMENT) -> DataFrame:
+def changed_ranges_of(lines: DataFrame, segment: int = SEGMENT, reaching: DataFrame | None = None) -> DataFrame:
     """``changed_ranges`` of lines (diff_id, pos, line).
 
-    Every line takes the last file and hunk headers with it; the rest is
-    aggregates by section and hunk, which combine before they are shuffled.
+    Every line that counts goes to the last file and hunk headers of its
+    segment, as a few marks without its text; the rest is aggregates by section
+    and hunk, which combine before they are shuffled. Headers of earlier
+    segments are put to those aggregates, from one row for each segment after
+    a diff's first (these are broadcast). ``reaching``: the lines of all diffs
+    that go beyond one segment, if that is known (by default all lines). The
+    hunks of one path of a diff meet in one task.
     """
+    rows = hunk_marks(lines, segment)
+    within = Window.partitionBy("diff_id", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({n: F.last(n, ignorenulls=True).over(within) for n in ("file", "hunk")})
+    flags = lambda: [F.max("head").alias("head"), *[F.bool_or(c).alias(c) for c in ("plus", "minus", "is_binary")]]
+    rows = rows.groupBy("diff_id", "part", "file", "hunk").agg(*flags())
+    # positions rise, so the last mark before a segment is the greatest
+    before = Window.partitionBy("diff_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = hunk_marks(lines if reaching is None else reaching, segment).groupBy("diff_id", "part").agg(F.max("file").alias("file"), F.max("hunk").alias("hunk"))
+    carry = ends.select("diff_id", "part", F.max("file").over(before).alias("file_in"), F.max("hunk").over(before).alias("hunk_in")).where("file_in is not null or hunk_in is not null")
+    rows = rows.join(F.broadcast(carry), ["diff_id", "part"], "left").withColumn("file", F.coalesce("file", "file_in")).withColumn("hunk", F.coalesce("hunk", "hunk_in"))
+    rows = rows.where("file is not null and file.path <> '' and file.path <> '/dev/null'")
+    rows = rows.groupBy("diff_id", "file.path", "file.section", F.when(F.col("hunk") > F.col("file.section"), F.col("hunk")).alias("hunk")).agg(*flags())
+    # by path: its last binary section, and whether any range is left
+    of_path = Window.partitionBy("diff_id", "path")
+    rows = rows.withColumn("last_binary", F.coalesce(F.max(F.when(F.col("is_binary"), F.col("section"))).over(of_path), F.lit(-1)))
+    rows = rows.withColumn("left", F.col("hunk").isNotNull() & F.col("head").isNotNull() & (F.col("section") > F.col("last_binary")))
+    at = F.struct("section", "hunk")
+    rows = rows.withColumn("any_left", F.bool_or("left").over(of_path)).withColumn("is_first", F.min(at).over(of_path).eqNullSafe(at))
+    rows = rows.where(F.col("left") | (~F.col("any_left") & F.col("is_first")))
+    count, first = F.col("head.count"), F.col("head.first")
+    kind = F.when(count == 0, "removed").when(F.col("plus") & F.col("minus"), "modified").when(F.col("plus"), "added").when(F.col("minus"), "removed").otherwise("modified")
+    fields = {
+        "seq": F.col("head.pos"),
+        "start_line": F.when(count == 0, F.greatest(F.lit(1), first)).otherwise(first),
+        "line_count": count,
+        "end_line": F.when(count == 0, F.greatest(F.lit(1), first)).otherwise(first + count - 1),
+        "change_type": kind,
+    }
+    return rows.select("diff_id", "path", *[F.when(F.col("left"), x).alias(n) for n, x in fields.items()])
+
+
+def hunk_marks(lines: DataFrame, segment: int) -> DataFrame:
+    """diff_id, part, pos and what a line tells of files and hunks, of the lines that tell something."""
     line = F.when(F.col("pos") == 0, strip_bom(F.col("line"))).otherwise(F.col("line"))
-    is_header = F.startswith("line", F.lit("diff --git "))
+    rows = lines.select("diff_id", "pos", line.alias("line"))
+    line = F.col("line")
+    is_header, opens = F.startswith(line, F.lit("diff --git ")), F.startswith(line, F.lit("@@"))
     path = trim_all(F.regexp_extract("line", r"diff --git a/.+ b/(.+)$", 1))
-    marks = {"file": F.when(is_header, F.struct(F.col("pos").alias("section"), path.alias("path"))), "hunk": F.when(F.startswith("line", F.lit("@@")), F.col("pos"))}
-    rows = carried_all(lines.select("diff_id", "pos", line.alias("line")), ["diff_id"], "pos", marks, segment)
-    rows = rows.where("file is not null and file.path <> '' and file.path <> '/dev/null'").select("diff_id", "pos", "line", "file.section", "file.path", "hunk")
-    binary = (F.col("pos") > F.col("section")) & (F.contains("line", F.lit("Binary files")) | F.contains("line", F.lit("GIT binary patch")))
-    of_section = rows.groupBy("diff_id", "path", "section").agg(F.bool_or(binary).alias("is_binary"))
-    # by path: its last binary section
-    of_path = of_section.groupBy("diff_id", "path").agg(F.coalesce(F.max(F.when(F.col("is_binary"), F.col("section"))), F.lit(-1)).alias("last_binary"))
-    is_hunk = F.col("line").rlike(HUNK)
-    shown = F.when(is_hunk, F.regexp_replace("line", HUNK, "")).otherwise(F.col("line"))
-    plus = F.startswith(shown, F.lit("+")) & ~F.startswith(shown, F.lit("+++"))
-    minus = F.startswith(shown, F.lit("-")) & ~F.startswith(shown, F.lit("---"))
-    head = F.when(is_hunk, F.struct(F.col("pos"), F.col("line")))
-    hunks = rows.where("hunk > section").groupBy("diff_id", "path", "section", "hunk").agg(F.min(head).alias("head"), F.bool_or(plus).alias("plus"), F.bool_or(minus).alias("minus")).where("head is not null")
-    hunks = hunks.join(of_path, ["diff_id", "path"]).where("section > last_binary")
-    count = F.coalesce(F.nullif(F.regexp_extract("head.line", HUNK, 4), F.lit("")).cast("int"), F.lit(1))
-    first = F.regexp_extract("head.line", HUNK, 3).cast("int")
-    ranges = hunks.select(
+    is_hunk = opens & line.rlike(HUNK)
+    shown = F.when(is_hunk, F.regexp_replace("line", HUNK, "")).otherwise(line)
+    count = F.coalesce(F.nullif(F.regexp_extract("line", HUNK, 4), F.lit("")).cast("int"), F.lit(1))
+    first = F.regexp_extract("line", HUNK, 3).cast("int")
+    marks = rows.select(
         "diff_id",
-        "path",
-        F.col("head.pos").alias("seq"),
-        F.when(count == 0, F.greatest(F.lit(1), first)).otherwise(first).alias("start_line"),
-        count.alias("line_count"),
-        F.when(count == 0, F.greatest(F.lit(1), first)).otherwise(first + count - 1).alias("end_line"),
-        F.when(count == 0, "removed").when(F.col("plus") & F.col("minus"), "modified").when(F.col("plus"), "added").when(F.col("minus"), "removed").otherwise("modified").alias("change_type"),
+        F.floor(F.col("pos") / segment).alias("part"),
+        "pos",
+        F.when(is_header, F.struct(F.col("pos").alias("section"), path.alias("path"))).alias("file"),
+        F.when(opens, F.col("pos")).alias("hunk"),
+        F.when(is_hunk, F.struct("pos", first.alias("first"), count.alias("count"))).alias("head"),
+        (F.startswith(shown, F.lit("+")) & ~F.startswith(shown, F.lit("+++"))).alias("plus"),
+        (F.startswith(shown, F.lit("-")) & ~F.startswith(shown, F.lit("---"))).alias("minus"),
+        (~is_header & (F.contains(line, F.lit("Binary files")) | F.contains(line, F.lit("GIT binary patch")))).alias("is_binary"),
     )
-    return of_path.select("diff_id", "path").join(ranges, ["diff_id", "path"], "left")
+    return marks.where("file is not null or hunk is not null or plus or minus or is_binary")
 
 
 def name_status(outputs: DataFrame) -> DataFrame:

@@ -47,3 +47,16 @@ def test_words_of_rules_rule_nothing_out(spark):
         assert rule.words
         row = frame.agg(F.count_if(rules.matches(rule, content)).alias("a"), F.count_if(rules.matches(rule, content, F.lower(content))).alias("b")).first()
         assert row.a == row.b > 0
+
+
+def test_lines_of_diffs_are_not_shuffled(spark, sf):
+    """However many diffs there are, their lines stay where their texts are: no join moves them."""
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = QUERIES["diff_sections_and_hunks"](spark, sf)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "posexplode" in plan
+        assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "part#" in x]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
