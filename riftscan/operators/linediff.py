@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riftscan.functions.lineage import cut
-from riftscan.functions.scans import carried
+from riftscan.functions.scans import carried, carried_all
 from riftscan.functions.workers import importable
 
 OLD, NEW = 0, 1
@@ -239,12 +239,14 @@ def changes(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("file",), s
 def applied(old: DataFrame, new: DataFrame, found: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFrame:
     """keys, line, content of the version that the changes make of ``old``; of ``new`` only the changed lines are read."""
     ks = list(keys)
+    found = cut(found)  # read three times below, and a comparison of gaps each time
     # Each old line goes by what the changes before it add and take; changed lines are looked up by their place.
-    edges = found.select(*ks, F.col("old_start").alias("line"), F.struct("old_start", "old_count", "new_start", "new_count").alias("change")).where("change.old_count > 0")
+    change = F.struct("old_start", "old_count", "new_start", "new_count")
+    starts = found.where("old_count > 0").select(*ks, F.col("old_start").alias("line"), F.lit(None).cast("bigint").alias("shift"), change.alias("change"))
     shifts = found.select(*ks, (F.col("old_start") + F.col("old_count")).alias("line"), (F.col("new_start") + F.col("new_count") - F.col("old_start") - F.col("old_count")).alias("shift"))
+    marks = starts.unionByName(shifts, allowMissingColumns=True).groupBy(*ks, "line").agg(F.max("shift").alias("shift"), F.max("change").alias("change"))
     lines = old.select(*ks, F.col("line").cast("bigint").alias("line"), "content")
-    rows = lines.join(shifts, [*ks, "line"], "left").join(edges, [*ks, "line"], "left")
-    rows = carried(carried(rows, ks, "line", F.col("shift"), "by"), ks, "line", F.col("change"), "at")
+    rows = carried_all(lines.join(marks, [*ks, "line"], "left"), ks, "line", {"by": F.col("shift"), "at": F.col("change")})
     kept = rows.where(F.col("at").isNull() | (F.col("line") >= F.col("at.old_start") + F.col("at.old_count")))
     kept = kept.select(*ks, (F.col("line") + F.coalesce("by", F.lit(0))).alias("line"), "content")
     put = found.where("new_count > 0").select(*ks, F.explode(F.sequence(F.col("new_start"), F.col("new_start") + F.col("new_count") - 1)).alias("line"))

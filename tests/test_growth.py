@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from riftscan.operators import rules, secrets
+from riftscan.operators import linediff, rules, secrets
 from riftscan.plans import analysis
 from riftscan.plans.catalog import QUERIES
 
@@ -60,3 +60,12 @@ def test_lines_of_diffs_are_not_shuffled(spark, sf):
         assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "part#" in x]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+
+
+def test_changes_are_read_once(spark):
+    """What applies changes compares no gaps: the changes are made before, once, however often they are read."""
+    rows = lambda ls: spark.createDataFrame([("f", k + 1, x) for k, x in enumerate(ls)], "file string, line int, content string")
+    a, b = rows(["a", "b", "c", "d"]), rows(["a", "x", "c", "d", "e"])
+    made = linediff.applied(a, b, linediff.changes(a, b))
+    assert "MapInArrow" not in plan_of(made)
+    assert [r.content for r in made.orderBy("line").collect()] == ["a", "x", "c", "d", "e"]
