@@ -18,7 +18,11 @@ def all_findings(secrets: DataFrame, injections: DataFrame) -> DataFrame:
     return secrets.unionByName(injections).withColumn("seq", F.struct(scanner.alias("scanner"), "file", "line", "rule_pos"))
 
 
-def merge_findings(findings: DataFrame) -> DataFrame:
+#: Places of a scanner's rules in the order of merging.
+STEP = 1 << 20
+
+
+def merge_findings(findings: DataFrame, categories: tuple[list[str], list[str]] | None = None) -> DataFrame:
     """One risk for each file and line.
 
     The highest level and confidence win, names are joined in order, the
@@ -26,6 +30,9 @@ def merge_findings(findings: DataFrame) -> DataFrame:
     to reach the highest level (a missing one keeps the one before). All of it
     is one aggregation with map-side partial results. Previews are gathered
     apart from the rest, so that where nobody reads them no line is masked.
+    ``categories`` are those of each scanner's rules, by number: with them the
+    first finding's is told by its place alone, and where no names are read the
+    aggregation holds nothing but numbers.
     """
     level = ordinal(assigned_level(F.col("category"), F.col("confidence"), F.col("suggested_level")), RISK)
     rows = findings.withColumn("level", level).withColumn("sure", ordinal(F.col("confidence"), CONFIDENCE))
@@ -35,17 +42,24 @@ def merge_findings(findings: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct(nth, "rule_name", "category", "level", F.col("redacted_preview").alias("preview")))).alias("shown"),
         F.max("level").alias("level"),
         F.max("sure").alias("sure"),
+        F.min(F.col("seq.scanner").cast("bigint") * STEP + F.col("seq.rule_pos")).alias("place"),
     )
+    scanner, rule_pos = F.floor(F.col("place") / STEP).cast("int"), (F.col("place") % STEP).cast("int")
 
     def take(acc: Column, x: Column) -> Column:
         rises = x["level"] > acc["level"]
         return F.struct(F.greatest(acc["level"], x["level"]).alias("level"), F.when(rises, F.coalesce(x["preview"], acc["preview"])).otherwise(acc["preview"]).alias("preview"))
 
-    first, first_shown = F.get("all", F.lit(0)), F.get("shown", F.lit(0))
+    first_shown = F.get("shown", F.lit(0))
+    if categories is None:
+        category = F.get("all", F.lit(0))["category"]
+    else:
+        of = [F.get(F.array(*[F.lit(c) for c in names]), rule_pos) for names in categories]
+        category = F.when(scanner == 0, of[0]).otherwise(of[1])
     start = F.struct(first_shown["level"].alias("level"), first_shown["preview"].alias("preview"))
     return merged.select(
         F.lit("security_risk").alias("type"),
-        first["category"].alias("category"),
+        category.alias("category"),
         "file",
         "line",
         named(F.col("level"), RISK).alias("risk_level"),
@@ -53,7 +67,7 @@ def merge_findings(findings: DataFrame) -> DataFrame:
         named(F.col("sure"), CONFIDENCE).alias("confidence"),
         F.aggregate(F.slice(F.col("shown"), 2, F.size("shown")), start, take, lambda acc: acc["preview"]).alias("redacted_preview"),
         F.lit(None).cast("string").alias("ai_explanation"),
-        F.struct(first["nth"]["scanner"].alias("scanner"), "file", "line", first["nth"]["rule_pos"].alias("rule_pos")).alias("seq"),
+        F.struct(scanner.alias("scanner"), "file", "line", rule_pos.alias("rule_pos")).alias("seq"),
     )
 
 

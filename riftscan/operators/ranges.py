@@ -9,8 +9,13 @@ fills, so a range of any length has a few rows for each level of bins.
 
 from __future__ import annotations
 
+from decimal import Decimal
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from riftscan.functions.levels import OVERLAP, named, ordinal, pick
 
@@ -24,6 +29,8 @@ TWO_POINTS, TWO_REASON = 8, "Two overlapping hunks"
 ALERT = "Proactive Alert: '%s' on your branch '%s' will conflict with already-pushed branch '%s' (%s)"
 #: Lines of a block, the smallest bin in which ranges are joined; levels of bins, each of 2^GROWTH of the level below.
 BLOCK, GROWTH, LEVELS = 64, 3, 9
+#: Integers are from -HALF to HALF - 1.
+HALF = 1 << 31
 
 
 def branch_files(status: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -107,13 +114,20 @@ def overlaps(ranges_a: DataFrame, ranges_b: DataFrame, keys: tuple[str, ...] = (
     level, lines = pair_level(F.col("a_start_line"), F.col("a_last"), F.col("b_start_line"), F.col("b_last"))
 
     def pairs(x: DataFrame, y: DataFrame, same: Column) -> DataFrame:
-        for k in keys:
-            same = same & (x[k] == y[k])
-        return x.join(y, same & near).select(*[x[k] for k in keys], *[f"a_{c}" for c in columns], *[f"b_{c}" for c in columns], level.alias("level"), lines.alias("shared_lines"))
+        return x.join(y, same).select(*[x[k] for k in keys], *[f"a_{c}" for c in columns], *[f"b_{c}" for c in columns], level.alias("level"), lines.alias("shared_lines"))
+
+    def one(x: DataFrame, y: DataFrame) -> Column:
+        return reduce(and_, [x[k] == y[k] for k in keys])
+
+    def short(df: DataFrame, s: str) -> DataFrame:
+        rows = df.withColumn(f"{s}_bin", F.explode_outer(F.when(~long(s), F.sequence(f"{s}_from", f"{s}_to")))).where(reduce(and_, [F.col(c).isNotNull() for c in (f"{s}_bin", *keys)]))
+        return rows.withColumn(f"{s}_meet", F.xxhash64(*keys, f"{s}_bin"))
 
-    short = lambda df, s: df.withColumn(f"{s}_bin", F.explode_outer(F.when(~long(s), F.sequence(f"{s}_from", f"{s}_to")))).where(F.col(f"{s}_bin").isNotNull())
     first = F.greatest("a_from", "b_from")
-    found = pairs(short(a, "a"), short(b, "b"), (F.col("a_bin") == F.col("b_bin")) & (F.col("a_bin") == first))
+    # Joined, and so sorted, by one number; that keys and bins are equal is asked of each pair.
+    x, y = short(a, "a"), short(b, "b")
+    met = F.coalesce(one(x, y) & (F.col("a_bin") == F.col("b_bin")) & (F.col("a_bin") == first), F.lit(False))
+    found = pairs(x, y, (F.col("a_meet") == F.col("b_meet")) & met & near)
     any_long = a.where(long("a")).select(F.lit(1).alias("n")).unionByName(b.where(long("b")).select(F.lit(1).alias("n"))).agg(F.count("n").alias("n")).scalar() > 0
     kept = lambda df, s: df.where(F.when(any_long, F.col(f"{s}_start_line").isNotNull()))  # noqa: E731  names a column, so that it goes down to the scan
     x, y = binned(kept(a, "a"), kept(b, "b"))
@@ -121,7 +135,7 @@ def overlaps(ranges_a: DataFrame, ranges_b: DataFrame, keys: tuple[str, ...] = (
     same = F.when(F.col("a_way") == 0, small("b")).otherwise(small("a")) & (long("a") | long("b"))
     for c in ("way", "level", "bin"):
         same = same & (F.col(f"a_{c}") == F.col(f"b_{c}"))
-    return found.unionByName(pairs(x, y, same)).where("level <> 'SAFE'")
+    return found.unionByName(pairs(x, y, same & one(x, y) & near)).where("level <> 'SAFE'")
 
 
 def binned(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -143,11 +157,23 @@ def binned(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def worst_levels(pairs: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFrame:
-    """Keys, worst level, number of pairs, and start on side B of the first pair."""
-    first = F.min(F.struct("a_start_line", "a_end_line", "b_start_line", "b_end_line"))
-    return pairs.groupBy(*keys).agg(F.max(ordinal(F.col("level"), OVERLAP)).alias("worst"), F.count("*").alias("n_pairs"), first["b_start_line"].alias("first_b_line")).select(
-        *keys, named(F.col("worst"), OVERLAP).alias("level"), "n_pairs", "first_b_line"
-    )
+    """Keys, worst level, number of pairs, and start on side B of the first pair.
+
+    The order of pairs is made one number where lines are integers, so that the
+    aggregation holds numbers alone and pairs need not be sorted by their keys.
+    """
+    places = ("a_start_line", "a_end_line", "b_start_line")
+    if all(pairs.schema[c].dataType == IntegerType() for c in places):
+        digit = lambda c: F.coalesce((F.col(c).cast("bigint") + (HALF + 1)).cast("decimal(11,0)"), F.lit(0).cast("decimal(11,0)"))  # noqa: E731  a missing line comes first
+        base = F.lit(Decimal(2 * HALF + 1))
+        first = F.min(((digit(places[0]) * base + digit(places[1])) * base + digit(places[2])).cast("decimal(38,0)"))
+        first_b = (F.col("first") % base).cast("bigint") - (HALF + 1)
+        first_b = F.when(first_b >= -HALF, first_b.cast("int"))
+    else:
+        first = F.min(F.struct(*places))
+        first_b = F.col("first.b_start_line")
+    rows = pairs.groupBy(*keys).agg(F.max(ordinal(F.col("level"), OVERLAP)).alias("worst"), F.count("*").alias("n_pairs"), first.alias("first"))
+    return rows.select(*keys, named(F.col("worst"), OVERLAP).alias("level"), "n_pairs", first_b.alias("first_b_line"))
 
 
 def conflict_candidates(files: DataFrame, ranges_a: DataFrame, ranges_b: DataFrame, conflicts: DataFrame) -> DataFrame:

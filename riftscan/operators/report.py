@@ -178,7 +178,8 @@ def is_error_text(text: Column) -> Column:
 def diagnostics(risks: DataFrame, files: DataFrame, tag: str = "riftscan") -> DataFrame:
     """file, code, severity, line0, message of each risk whose file exists."""
     title = F.coalesce(F.when(F.col("type") == "semantic_conflict", F.col("function_name")).otherwise(F.col("category")), F.col("type"))
-    shown = risks.join(files.select("file").distinct(), "file", "left_semi")
+    # The distinct files of a task are few beside its risks: looked up in memory, neither side is sorted by paths.
+    shown = risks.join(files.select("file").distinct().hint("shuffle_hash"), "file", "left_semi")
     return shown.select(
         "file",
         F.col("id").alias("code"),

@@ -22,7 +22,8 @@ A mask may so take more than the value; what it shows is never part of one.
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,8 +117,10 @@ def real_password(pattern: str) -> Column:
     return F.contains(F.col("content"), F.lit("://")) & held
 
 
-#: What the line may hold for any rule to match: everything else is left out by one look.
-ANY = r"AKIA|(?i:secret|token|passw|key|auth|credential)|PRIVATE KEY|gh[pousr]_|://|xox|eyJ|[\"'`][A-Za-z0-9+/=_-]{20}"
+#: What the line may hold for any rule to match, as texts (the first ones in lower case) or by a pattern: everything else is left out by one look.
+ANY_NAME = ("secret", "token", "passw", "key", "auth", "credential")
+ANY_TEXT = ("AKIA", "PRIVATE KEY", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "://", "xox", "eyJ")
+ANY_VALUE = r"[\"'`][A-Za-z0-9+/=_-]{20}"
 HARDCODED = "hardcoded_secret"
 RULES = [(HARDCODED, "the line holds a value in this provider's format", name, confidence, level) for name, _, confidence, level in PROVIDERS] + [
     (HARDCODED, "an environment file assigns a secret", ".env Secret", "high", "critical"),
@@ -136,7 +139,10 @@ def scan_secrets(lines: DataFrame) -> DataFrame:
     """
     content, n = F.col("content"), len(PROVIDERS)
     held = [real_password(p) if name.startswith("Database") else content.rlike(p) for name, p, _, _ in PROVIDERS]
-    may = lines.where(content.isNotNull() & content.rlike(ANY))
+    # The filter stands above a generator, as in ``exploded``: each line is made once, not anew for every text that is looked for.
+    looks = [*[F.contains(F.col("low"), F.lit(w)) for w in ANY_NAME], *[F.contains(content, F.lit(w)) for w in ANY_TEXT], content.rlike(ANY_VALUE)]
+    made = lines.select("file", "line", "content", F.lower(content).alias("low"))
+    may = made.select("file", "line", F.explode_outer(F.when(reduce(or_, looks), F.array(content))).alias("content")).where("content is not null")
     every = lambda p: F.regexp_extract_all(F.regexp_replace("content", ENVIRONMENT_NAME, ""), F.lit(p), F.lit(2))
     flags = may.select("file", "line", "content", *[h.alias(f"p{k}") for k, h in enumerate(held)], every(GENERIC).alias("generic"), every(LOOSE).alias("loose"))
     provider = F.greatest(*[F.col(f"p{k}") for k in range(n)])

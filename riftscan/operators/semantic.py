@@ -44,7 +44,7 @@ def signature_changes(signatures: DataFrame, known: DataFrame | None = None) ->
 
 
 def sites_text(sites: Column) -> Column:
-    return F.array_join(F.array_sort(F.transform(sites, lambda s: F.concat(s["caller_file"], F.lit(":"), s["line"].cast("string")))), "|")
+    return F.array_join(F.sort_array(F.transform(sites, lambda s: F.concat(s["caller_file"], F.lit(":"), s["line"].cast("string")))), "|")
 
 
 def semantic_conflicts(changes: DataFrame, calls: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def merged_risks(lines: DataFrame) -> DataFrame:
     """Merged risks of added lines (file, line, content), in no order; secrets are masked in all of them."""
     shown = text.truncate(text.trim_all(secrets.masked()))
     found = findings.all_findings(secrets.scan_secrets(lines), rules.scan_injections(lines, snippet=shown))
-    return findings.merge_findings(found)
+    return findings.merge_findings(found, ([r[0] for r in secrets.RULES], [r.category for r in rules.INJECTION_RULES]))
 
 
 def security_risks(lines: DataFrame) -> DataFrame:

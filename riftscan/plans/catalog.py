@@ -243,8 +243,9 @@ def candidates_of(s: SparkSession, d: str) -> DataFrame:
     a, b = sides(s, d)
     files = view(s, d, "branch_files")
     side = lambda name: files.where(F.col("side") == name).drop("side")
-    # candidates read no additions and deletions, so these are not summed here
-    merged = ranges.merge_branch_files(side("A"), side("B"), a.withColumnRenamed("file", "path"), b.withColumnRenamed("file", "path"))
+    # candidates read no additions and deletions, so these are not summed here, and of the numbers of changes only whether there are any
+    changed = lambda rs: rs.select(F.col("file").alias("path")).distinct()
+    merged = ranges.merge_branch_files(side("A"), side("B"), changed(a), changed(b))
     return ranges.conflict_candidates(merged, a, b, view(s, d, "conflicts"))
 
 
